@@ -44,9 +44,6 @@ class ByteBpe:
                     pairs[left << _SHIFT | right] = rank
         self.pairs = pairs
         self._table(pairs)
-        lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
-        self._length, self._start = lengths, np.cumsum(lengths) - lengths
-        self._bytes = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.known: dict[str, bytes] = {}
 
@@ -220,12 +217,7 @@ class ByteBpe:
         return np.frombuffer(self.encode_batch([text])[0], dtype="<u4").tolist()
 
     def decode_bytes(self, ids: np.ndarray | list[int]) -> bytes:
-        """The bytes of the tokens, gathered from one buffer of all tokens."""
-        ids = np.asarray(ids, dtype=np.int64)
-        lengths = self._length[ids]
-        ends = np.cumsum(lengths)
-        shift = np.repeat(self._start[ids] - (ends - lengths), lengths)
-        return self._bytes[shift + np.arange(len(shift))].tobytes()
+        return b"".join(map(self.tokens.__getitem__, np.asarray(ids, dtype=np.int64).tolist()))
 
 
 @lru_cache(maxsize=4)
