@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from marginalia.catalog import table
-from marginalia.llm import byte_bpe
+from marginalia.llm import byte_bpe, packing, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,3 +34,35 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     done = byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN, with_ids=False)
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op2_packing")
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of at most 2048 tokens."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+@query("op5_simhash")
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and group."""
+    found = simhash.groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query(
+    "op4_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+    d AS (SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+    f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+    SELECT d.page_id, d.payload_bytes, d.payload_digest,
+           CASE WHEN f.first IS NULL OR f.first = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN f.first IS NULL OR f.first = d.page_id THEN NULL ELSE f.first END AS refers_to
+    FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND d.payload_bytes >= 100
+    """,
+)
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, as the archives give it back."""
+    found = warc.archive(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
