@@ -122,10 +122,10 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 100, file_bytes: int
     store, root = open_store(folder)
     store.create_dir(f"{root}/_temporary", recursive=True)
     base = pages.select(_ID, _URL, F.coalesce(_HTML, F.lit("")).alias("payload"), F.coalesce(_ID, F.lit(_LEAST_ID)).alias("pid"))
-    again = repeats(base, least_bytes).where("pid != first").select("pid", F.col("digest").alias("_digest"), "first")
+    again = repeats(base, least_bytes).where("pid != first").select(F.col("pid").alias("_pid"), F.col("digest").alias("_digest"), "first")
     # the payload only travels on where it is written; a revisit keeps its digest and length
     full = base.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
-    joined = full.join(again, (full["pid"] == again["pid"]) & (full["digest"] == again["_digest"]), "left").drop(again["pid"]).drop("_digest")
+    joined = full.join(again, (F.col("pid") == F.col("_pid")) & (F.col("digest") == F.col("_digest")), "left").drop("_pid", "_digest")
     lean = joined.withColumn("payload", F.when(F.col("first").isNull(), F.col("payload").cast("binary")))
     n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = lean.repartitionByRange(n, "pid").sortWithinPartitions("pid", "digest")
