@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.catalog import table
-from marginalia.llm import byte_bpe, packing, simhash, warc
+from marginalia.llm import byte_bpe, multiset, neardup_vectors, packing, secrets, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -66,3 +66,26 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record, as the archives give it back."""
     found = warc.archive(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op7_secrets")
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and spans of every document's secrets."""
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op6_multiset")
+def op6_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited form, and how alike they are."""
+    found = multiset.with_edits(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", "edited_sha256",
+        multiset.as_hex("lanes").alias("fingerprint"), multiset.as_hex("edited_lanes").alias("edited_fingerprint"),
+        multiset.likeness("lanes", "edited_lanes").alias("near_edited"), multiset.likeness("lanes", "next_lanes").alias("near_next"),
+    )
+
+
+@query("op3_neardup_vectors")
+def op3_neardup_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component."""
+    return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
