@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.catalog import table
-from marginalia.llm import byte_bpe, multiset, neardup_vectors, packing, secrets, simhash, warc
+from marginalia.llm import byte_bpe, lm, multiset, neardup_vectors, packing, quality, secrets, simhash, warc, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,3 +89,23 @@ def op6_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_neardup_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's links and component."""
     return neardup_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_lm")
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log-probability under unigrams and under the network."""
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op9_wordpiece")
+def op9_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words and word pieces."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wordpiece.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity, its language's threshold and what follows."""
+    found = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "lang", "perplexity", "threshold", "rejected")

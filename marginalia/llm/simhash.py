@@ -95,15 +95,14 @@ def _entry_links(fps: np.ndarray, ids: np.ndarray, distance: int) -> list[np.nda
 
 
 def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
-    """Links (a, b) between the rows (fp, rep) of ``distinct``, one per fingerprint: those within
-    ``distance`` bits, or fewer that connect the same rows."""
+    """Links (a, b) between the nodes of ``distinct``, rows (fp, node), one per fingerprint: those within
+    ``distance`` bits, or fewer that connect the same nodes."""
     masks = [sum(0xFF << 8 * p for p in chosen) for chosen in combinations(range(8), 8 - distance)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     entries = (
-        distinct.where("rep IS NOT NULL")
-        .select("fp", "rep", F.explode(F.array([F.struct(F.lit(k).cast("tinyint").alias("positions"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bytes")) for k, m in enumerate(signed)])).alias("entry"))
+        distinct.select("fp", "node", F.explode(F.array([F.struct(F.lit(k).cast("tinyint").alias("positions"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bytes")) for k, m in enumerate(signed)])).alias("entry"))
         .groupBy("entry.positions", "entry.bytes")
-        .agg(F.collect_list(F.struct("fp", "rep")).alias("listed"))
+        .agg(F.collect_list(F.struct("fp", "node")).alias("listed"))
         .where(F.size("listed") > 1)
         .select("listed")
     )
@@ -112,7 +111,7 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
         for batch in batches:
             lists = batch.column("listed")
             flat = lists.flatten()
-            fps, ids = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("fp", "rep"))
+            fps, ids = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("fp", "node"))
             ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             sizes = np.diff(ends)
             out = []
@@ -129,17 +128,30 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def groups(docs: DataFrame, words: int = 3, seed: int = 42, distance: int = 2, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Near-duplicate groups: one row per document with the columns ``keep``, ``fp`` and
-    ``component_id``, the smallest doc_id that links lead to, its own included.
+    """Near-duplicate groups: one row per document with the columns ``keep``, ``fp``, ``group`` (any
+    number of its group) and ``component_id``, the smallest doc_id that links lead to, its own included.
 
     Nulls: a null text is empty, empty texts have fingerprint 0 and link like any other; a null
     doc_id gets the group of its fingerprint but never names one (null if all there are null).
     Repeated rows each get a row; an empty table gives none. No document or fingerprint reaches the
-    driver: fingerprints are written, copies fold into one representative before the index, and
+    driver: fingerprints are written, copies fold into one node before the index, and
     adaptive execution splits the last join where a fingerprint is frequent.
     """
     found = written(fingerprints(docs, words, seed, keep), "simhash")
-    distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    group = components(links(distinct, distance))
-    named = distinct.join(group, distinct["rep"] == group["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return found.join(named, "fp")
+    folded = found.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    distinct = written(folded.select("fp", "rep", F.monotonically_increasing_id().alias("node")), "distinct")
+    linked = components(links(distinct.select("fp", "node"), distance))
+    grouped = written(distinct.join(linked, "node", "left").select("fp", "rep", F.coalesce("component", "node").alias("group")), "groups")
+    names = grouped.groupBy("group").agg(F.min("rep").alias("component_id"))
+    return found.join(grouped.select("fp", "group").join(names, "group"), "fp")
+
+
+def deduplicate(docs: DataFrame, **options) -> DataFrame:
+    """The rows and columns of ``docs`` with one document of each near-duplicate group: that with the
+    group's smallest doc_id, or where several of its texts share that, with the least hash. Rows that
+    repeat a document are one; a document without an id stays only if its whole group has none."""
+    keyed = docs.withColumns({"_key": F.coalesce("doc_id", F.lit(-(1 << 63))), "_hash": F.xxhash64("text")})
+    found = groups(keyed, keep=("doc_id", "_key", "_hash"), **options)
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "_key", "_hash")).alias("f")).select("f._key", "f._hash")
+    kept = keyed.join(first, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"])
+    return kept.select(docs.columns)

@@ -59,7 +59,7 @@ def test_links_connect_what_pairs_connect(spark, distance, size):
             value ^= 1 << low + rng.randrange(16)
         fps.setdefault(value, len(fps))
     ids = {i: v for v, i in fps.items()}
-    frame = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v, i) for i, v in ids.items()], "fp long, rep long")
+    frame = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v, i) for i, v in ids.items()], "fp long, node long")
     found = {r.node: r.component for r in simhash.components(simhash.links(frame, distance)).collect()}
     assert {i: found.get(i, i) for i in ids} == grouped(ids, distance)
 
