@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,8 +46,8 @@ def repeats(pages: DataFrame, least_bytes: int) -> DataFrame:
     return lean.join(counted.select("digest", "first"), "digest").distinct()
 
 
-def record(kind: str, page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, date: str) -> bytes:
-    """One WARC/1.1 record. A revisit has no payload; its headers tell the digest and ``size`` of
+def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+    """One WARC/1.1 record. A revisit has no payload; its headers tell the digest and length of
     the full one, and the record that holds it."""
     name = _NO_ID if page_id is None else str(page_id)
     lines = [
@@ -60,7 +59,7 @@ def record(kind: str, page_id: int | None, url: str | None, payload: bytes, size
         "Content-Type: text/html; charset=utf-8",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Page-ID: {name}",
-        f"X-Payload-Length: {size}",
+        f"X-Payload-Length: {len(payload)}",
     ]
     body = payload
     if kind == "revisit":
@@ -98,13 +97,56 @@ class _Shard:
         if self.size >= self.limit:
             self.close()
 
-    def close(self) -> None:
+    def close(self) -> list[tuple]:
         if self.out is not None:
             self.out.close()
             self.store.move(self.temporary, f"{self.root}/{self.name}")
             self.done.append((self.name, self.shard, self.records, self.size, self.sha.hexdigest(), self.first, self.last))
             self.out = None
             self.number += 1
+        return self.done
+
+
+def edges(pages: DataFrame, shards: int, width: int = 4096) -> list[int]:
+    """Ids at which shards 1, 2, ... begin, so that each holds about as many rows. They follow from the
+    rows alone, not from samples or partitions: ids are counted in ranges of equal width, and a range
+    with more than a shard's share is cut again. The driver gets counts of ranges, ``width`` at first
+    and as many for each range that is cut, of which there are fewer than shards."""
+    low, high, total = pages.agg(F.min("pid"), F.max("pid"), F.count("*")).first()
+    if shards < 2 or not total or low == high:
+        return []
+    counted: dict[int, int] = {}
+    open_ranges = [(low, high)]
+    while open_ranges:
+        step = {a: max(1, -(-(b - a + 1) // width)) for a, b in open_ranges}
+        start = F.lit(None).cast("long")
+        for a, b in open_ranges:  # in decimals, as differences of ids may not fit a long
+            d = [f"CAST('{x}' AS DECIMAL(38,0))" for x in (a, step[a])]
+            start = F.when(F.col("pid").between(a, b), F.expr(f"CAST({d[0]} + ((CAST(pid AS DECIMAL(38,0)) - {d[0]}) div {d[1]}) * {d[1]} AS BIGINT)")).otherwise(start)
+        rows = pages.select(start.alias("start")).where("start IS NOT NULL").groupBy("start").agg(F.count("*").alias("n")).collect()
+        further = []
+        for r in rows:
+            a, b = next((a, b) for a, b in open_ranges if a <= r.start <= b)
+            if r.n * shards > total and step[a] > 1:
+                further.append((r.start, min(r.start + step[a] - 1, b)))
+            else:
+                counted[r.start] = r.n
+        open_ranges = further
+    found, seen = [], 0
+    for start in sorted(counted):
+        if seen * shards >= total * (len(found) + 1):
+            found.append(start)
+        seen += counted[start]
+    return found
+
+
+def place(pid, starts: list[int]):
+    """How many of the sorted ``starts`` are at or before ``pid``, by binary search."""
+    if not starts:
+        return F.lit(0)
+    listed, n = F.array(*(F.lit(s).cast("long") for s in starts)), len(starts)
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(n.bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.element_at(listed, F.least(at + step, F.lit(n))) <= pid), at + step).otherwise(at))
 
 
 def write(pages: DataFrame, folder: str, least_bytes: int = 100, file_bytes: int = 64 << 20, shards: int | None = None, date: str = "2000-01-01T00:00:00Z", level: int = 3) -> DataFrame:
@@ -122,29 +164,37 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 100, file_bytes: int
     store, root = open_store(folder)
     store.create_dir(f"{root}/_temporary", recursive=True)
     base = pages.select(_ID, _URL, F.coalesce(_HTML, F.lit("")).alias("payload"), F.coalesce(_ID, F.lit(_LEAST_ID)).alias("pid"))
-    again = repeats(base, least_bytes).where("pid != first").select(F.col("pid").alias("_pid"), F.col("digest").alias("_digest"), "first")
-    # the payload only travels on where it is written; a revisit keeps its digest and length
-    full = base.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload").cast("long")})
-    joined = full.join(again, (F.col("pid") == F.col("_pid")) & (F.col("digest") == F.col("_digest")), "left").drop("_pid", "_digest")
-    lean = joined.withColumn("payload", F.when(F.col("first").isNull(), F.col("payload").cast("binary")))
+    # what a revisit refers to travels as a row of its own and sorts right before it, so that payloads
+    # are shuffled once
+    again = written(repeats(base, least_bytes).where("pid != first"), "revisits")
+    full = base.select(_ID, _URL, "payload", "pid", F.sha2("payload", 256).alias("digest"), F.lit(None).cast("long").alias("first"), F.lit(True).alias("page"))
+    told = again.select(F.lit(None).cast("long").alias(_ID), F.lit(None).cast("string").alias(_URL), F.lit(None).cast("string").alias("payload"), "pid", "digest", "first", F.lit(False).alias("page"))
     n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = lean.repartitionByRange(n, "pid").sortWithinPartitions("pid", "digest")
+    placed = full.union(told).withColumn("shard", place(F.col("pid"), edges(base, n)))
+    ordered = placed.repartition(n, "shard").sortWithinPartitions("shard", "pid", "digest", "page", _URL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = _Shard(folder, TaskContext.get().partitionId(), file_bytes)
-        before = None
+        shard, done = None, []
+        before, refers = None, None
         for batch in batches:
             for row in batch.to_pylist():
-                own = (row["pid"], row["digest"])
-                refers = row["first"]
-                if refers is None and own == before and row["size"] >= least_bytes:
-                    refers = row["pid"]
-                kind = "response" if refers is None else "revisit"
-                data = record(kind, row[_ID], row[_URL], row["payload"] or b"", row["size"], row["digest"], refers, date)
-                shard.add(_member(data, level), row[_ID])
+                own, same = (row["pid"], row["digest"]), (row["pid"], row["digest"]) == before
                 before = own
-        shard.close()
-        columns = list(zip(*shard.done)) or [()] * 7
+                if not row["page"]:
+                    refers = row["first"]
+                    continue
+                payload = row["payload"].encode("utf-8", "surrogatepass")
+                if not same:
+                    refers = None
+                if shard is None or shard.shard != row["shard"]:
+                    done += shard.close() if shard else []
+                    shard = _Shard(folder, row["shard"], file_bytes)
+                kind = "response" if refers is None else "revisit"
+                shard.add(_member(record(kind, row[_ID], row[_URL], payload, row["digest"], refers, date), level), row[_ID])
+                if refers is None and len(payload) >= least_bytes:
+                    refers = row["pid"]  # of rows that follow with the same id and payload
+        done += shard.close() if shard else []
+        columns = list(zip(*done)) or [()] * 7
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in MANIFEST.split(", ")])
 

@@ -43,6 +43,16 @@ def test_round_trip_rolls_and_is_deterministic(spark, tmp_path):
     assert all(r.url == f"http://x/{r.page_id}" for r in got)
 
 
+@pytest.mark.parametrize("ids", [list(range(1000)), [k * k * k for k in range(500)], [5] * 300 + [-(1 << 63), (1 << 63) - 1], [7]])
+def test_shards_hold_even_parts(spark, ids):
+    frame = spark.createDataFrame([(i,) for i in ids], "pid long")
+    starts = warc.edges(frame, 4, width=16)
+    counts = [r["count"] for r in frame.groupBy(warc.place(frame["pid"], starts).alias("s")).count().collect()]
+    assert sum(counts) == len(ids) and starts == sorted(set(starts))
+    if len(set(ids)) == len(ids) > 100:
+        assert len(counts) == 4 and max(counts) < len(ids) * 0.3
+
+
 def test_unlisted_files_are_not_read(spark, tmp_path):
     frame = spark.createDataFrame([(1, "u", "x" * 200)], "page_id long, url string, html string")
     warc.write(frame, f"file://{tmp_path}/w")
@@ -60,7 +70,7 @@ def test_frame_edges(spark):
 
 
 def test_broken_file():
-    data = warc._member(warc.record("response", 1, "u", b"abc", 3, hashlib.sha256(b"abc").hexdigest(), None, "2000-01-01T00:00:00Z"), 6)
+    data = warc._member(warc.record("response", 1, "u", b"abc", hashlib.sha256(b"abc").hexdigest(), None, "2000-01-01T00:00:00Z"), 6)
     assert [p for _, p in warc.records(io.BytesIO(data * 2))] == [b"abc"] * 2
     with pytest.raises(ValueError):
         list(warc.records(io.BytesIO(data[:-9])))
