@@ -856,3 +856,42 @@ def rollup_counts(spark, sf_dir):
 def topk_per_group(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     return table(spark, sf_dir, "orders").withColumn("k", F.row_number().over(w)).where("k <= 3").select("o_custkey", "o_orderkey", "k")
+
+
+# -- synthetic rows ------------------------------------------------------------------------------------------
+
+
+@query("synthetic_rows")
+def synthetic_rows(spark, sf_dir):
+    """As many rows as lineitem from a tree model of its pairwise marginals, taken without noise."""
+    from marginalia.plans import mechanisms, pgm, synth
+
+    cliques = [("rf", "ls"), ("ls", "mo"), ("qb", "pb"), ("pb", "rf"), ("mo", "ln"), ("db", "qb"), ("tb", "db")]
+    known = mechanisms.answers(marginals.dense(items(spark, sf_dir), ITEMS, cliques), ITEMS, cliques)
+    model = pgm.estimate(ITEMS, [pgm.Measurement(q, known[q], 1.0) for q in cliques], iterations=200)
+    return synth.rows(spark, model, seed=1)
+
+
+@query("aim_synthesis")
+def aim_synthesis(spark, sf_dir):
+    """Rows from AIM at eps 1 on the pairwise workload of orders."""
+    from marginalia.plans import mechanisms
+
+    made = mechanisms.aim(client_rows(spark, sf_dir), CLIENTS, workload.k_way(CLIENTS.attrs, 2), 1.0, 1e-6, seed=1, rounds=6)
+    return made.rows(spark, seed=1)
+
+
+@query("mst_synthesis")
+def mst_synthesis(spark, sf_dir):
+    """Rows from MST at eps 1 on orders."""
+    from marginalia.plans import mechanisms
+
+    return mechanisms.mst(client_rows(spark, sf_dir), CLIENTS, 1.0, 1e-6, seed=1).rows(spark, seed=1)
+
+
+@query("distributed_aim_synthesis")
+def distributed_aim_synthesis(spark, sf_dir):
+    """Rows from AIM over 25 clients, a Poisson cohort of them a round."""
+    from marginalia.plans import mechanisms
+
+    return mechanisms.distributed_aim(client_rows(spark, sf_dir), "client", CLIENTS, workload.k_way(CLIENTS.attrs, 2), 1.0, 1e-6, q=0.5, seed=1, rounds=4).rows(spark, seed=1)
