@@ -11,6 +11,7 @@ log-probabilities of all classes for all contexts, and scoring looks them up.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,9 +24,9 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import small_batches, written
 
-CLASSES, OWN = 128, 80  # OWN: the end and the most frequent words
+CLASSES, OWN = 96, 60  # OWN: the end and the most frequent words
 END = b""  # no word is empty
-HEAD = 1 << 17  # words whose counts every task has; all other words meet their counts in a join
+HEAD = 1 << 16  # words, at most, whose counts every task has; all other words meet their counts in a join
 _FLUSH = 200_000  # distinct words that a task holds before it passes their counts on
 _ADD = 0.1
 
@@ -59,6 +60,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The words above some count, ``most`` at most, most frequent first. The count is found from how
+    many words have counts of about a size, 16 sizes to a power of 2, so only those words are sent."""
+    sizes = counts.groupBy(F.floor(F.log2("c") * 16).alias("s")).agg(F.count("*").alias("n")).collect()
+    least, seen = math.inf, 0
+    for r in sorted(sizes, key=lambda r: -r.s):
+        seen += r.n
+        if seen > most:
+            break
+        least = r.s
+    if least == math.inf:
+        return []
+    rows = counts.where(F.floor(F.log2("c") * 16) >= least).collect()
+    return sorted(((bytes(r.word), r.c) for r in rows), key=lambda w: (-w[1], w[0]))
+
+
 class Classes:
     """Classes of words, and of the head words their counts."""
 
@@ -115,7 +132,7 @@ class LogBilinear:
             "far": np.eye(size) * 0.5, "near": np.eye(size), "bias": np.zeros(CLASSES),
         }
 
-    def train(self, trigrams: np.ndarray, counts: np.ndarray, steps: int = 2500, batch: int = 1024, noise: int = 16, rate: float = 0.02) -> None:
+    def train(self, trigrams: np.ndarray, counts: np.ndarray, steps: int = 2000, batch: int = 512, noise: int = 12, rate: float = 0.02) -> None:
         """Noise-contrastive estimation: tells drawn trigrams from the same contexts with classes drawn
         from the unigram distribution. Batches are drawn by the counts, all of them."""
         if not len(trigrams):
@@ -167,7 +184,7 @@ class LogBilinear:
 # -- scoring ---------------------------------------------------------------------------------
 
 
-def score(docs: DataFrame, folds: int = 10, head: int = HEAD, steps: int = 2500) -> DataFrame:
+def score(docs: DataFrame, folds: int = 10, head: int = HEAD, steps: int = 2000) -> DataFrame:
     """Scores every document by a model of those whose crc32(doc_id as text) mod ``folds`` isn't 0.
 
     ``docs`` has doc_id and text; other columns are not read. Returns doc_id, held_out, n_tokens,
@@ -182,7 +199,7 @@ def score(docs: DataFrame, folds: int = 10, head: int = HEAD, steps: int = 2500)
     training = docs.where("fold != 0")
     counts = written(word_counts(training), "words")
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(head).collect()]
+    top = frequent(counts, head)
     known = Classes(top or [(END, 0)])
     shared = spark.sparkContext.broadcast(known)
     sums = trigram_counts(training, shared).toPandas().sort_values("trigram")
