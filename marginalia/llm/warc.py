@@ -26,6 +26,7 @@ from marginalia.llm.common import shared_dir, small_batches, written
 _ID, _URL, _HTML = "page_id", "url", "html"
 _LEAST_ID = -(1 << 63)  # stands for a null id where ids are compared
 _NO_ID = "null"
+SHARD_BYTES = 16 << 20  # of payload in a shard, about, if the number of shards is not given
 _SPACE = uuid.UUID("7e0c0d7c-4f0b-5d54-8d5a-3f0f6f1b6c11")  # record ids are named in this space
 
 MANIFEST = "file string, shard int, records bigint, bytes bigint, sha256 string, first_id bigint, last_id bigint"
@@ -169,7 +170,10 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 100, file_bytes: int
     again = written(repeats(base, least_bytes).where("pid != first"), "revisits")
     full = base.select(_ID, _URL, "payload", "pid", F.sha2("payload", 256).alias("digest"), F.lit(None).cast("long").alias("first"), F.lit(True).alias("page"))
     told = again.select(F.lit(None).cast("long").alias(_ID), F.lit(None).cast("string").alias(_URL), F.lit(None).cast("string").alias("payload"), "pid", "digest", "first", F.lit(False).alias("page"))
-    n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if shards is None:
+        payload = base.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-payload // SHARD_BYTES))
+    n = max(1, shards)
     placed = full.union(told).withColumn("shard", place(F.col("pid"), edges(base, n)))
     ordered = placed.repartition(n, "shard").sortWithinPartitions("shard", "pid", "digest", "page", _URL)
 
