@@ -895,3 +895,181 @@ def distributed_aim_synthesis(spark, sf_dir):
     from marginalia.plans import mechanisms
 
     return mechanisms.distributed_aim(client_rows(spark, sf_dir), "client", CLIENTS, workload.k_way(CLIENTS.attrs, 2), 1.0, 1e-6, q=0.5, seed=1, rounds=4).rows(spark, seed=1)
+
+
+# -- rounds -----------------------------------------------------------------------------------------------------
+
+
+@query("rank_error", "WITH r AS (SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS a, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC, c_custkey) AS b FROM customer) SELECT c_nationkey, avg(abs(a - b)) AS error FROM r GROUP BY c_nationkey")
+def rank_error(spark, sf_dir):
+    from marginalia.operators import rounds
+
+    return rounds.rank_error(table(spark, sf_dir, "customer").withColumn("k", F.col("c_custkey")), "c_nationkey", "c_custkey", "c_acctbal", "k")
+
+
+@query("majority_vote", "SELECT event_type, count(*) AS votes FROM events GROUP BY event_type ORDER BY votes DESC, min(event_id) LIMIT 3")
+def majority_vote(spark, sf_dir):
+    from marginalia.operators import rounds
+
+    return rounds.majority(table(spark, sf_dir, "events"), "event_type", 3, "event_id")
+
+
+@query(
+    "ema_window",
+    """WITH s AS (SELECT user_id, event_id, list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS l FROM events),
+    e AS (SELECT user_id, event_id, len(l) AS n, l, unnest(generate_series(1, len(l))) AS k FROM s)
+    SELECT user_id, event_id, round(sum(l[k] * power(0.7, n - k)) / sum(power(0.7, n - k)), 9) AS mean FROM e GROUP BY user_id, event_id""",
+)
+def ema_window(spark, sf_dir):
+    from marginalia.operators import rounds
+
+    found = rounds.exponential_moving(table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value"), "user_id", ["ts", "event_id"], "value", 5, 0.3)
+    return found.select("user_id", "event_id", F.round("mean", 9).alias("mean"))
+
+
+@query("target_reached", "WITH m AS (SELECT user_id, event_id, avg(value) OVER w AS m, count(value) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) SELECT user_id, min(CASE WHEN n >= 3 AND m > 50 THEN event_id END) AS reached FROM m GROUP BY user_id")
+def target_reached(spark, sf_dir):
+    from marginalia.operators import rounds
+
+    return rounds.target_reached(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 3, 50.0)
+
+
+@query(
+    "prefix_noise",
+    f"""WITH s AS (SELECT CAST(range + 1 AS BIGINT) AS step FROM range(40)), n AS (SELECT step, CAST(range AS BIGINT) AS lv, (step >> range) - 1 AS node FROM s, range(10) WHERE (step >> range) & 1 = 1)
+    SELECT step, round(sum(2.0 * sqrt(-2 * ln({uniform_sql('1a', 'lv', 'node')})) * cos(6.283185307179586 * {uniform_sql('1b', 'lv', 'node')})), 6) AS noise FROM n GROUP BY step""",
+)
+def prefix_noise(spark, sf_dir):
+    from marginalia.operators import rounds
+
+    return rounds.prefix_noise(spark.range(40).select((F.col("id") + 1).alias("step")), 2.0, "1").select("step", F.round("noise", 6).alias("noise"))
+
+
+@query("worst_queries", f"WITH {CLIENTS_SQL}, m AS ({sets_sql(CLIENT_WORK, CLIENTS, by='client,')}), s AS (SELECT client, query_id, max(cnt) AS score FROM m GROUP BY ALL) SELECT client, query_id, CAST(k AS INTEGER) AS place FROM (SELECT client, query_id, row_number() OVER (PARTITION BY client ORDER BY score DESC, query_id) AS k FROM s) WHERE k <= 3")
+def worst_queries(spark, sf_dir):
+    from marginalia.operators import rounds
+
+    scored = marginals_by_client(spark, sf_dir).groupBy("client", "query_id").agg(F.max("cnt").alias("score"))
+    return rounds.worst(scored, "client", "query_id", "score", 3)
+
+
+@query("covering_clique", "SELECT * FROM (VALUES ('a', 'a,b'), ('b', 'a,b'), ('b,c', 'b,c'), ('a,c', 'a,b,c')) v(query_id, clique_id)")
+def covering_clique(spark, sf_dir):
+    from marginalia.operators import rounds
+
+    cliques = spark.createDataFrame([("a,b", ["a", "b"], 6), ("b,c", ["b", "c"], 12), ("a,b,c", ["a", "b", "c"], 24)], "clique_id string, attrs array<string>, size int")
+    return rounds.covering(workload.as_frame(spark, [("a",), ("b",), ("b", "c"), ("a", "c")]), cliques)
+
+
+@query("weighted_total", f"WITH {ITEMS_SQL}, m AS ({filled_sql([('rf',), ('mo', 'ls')])}), s AS (SELECT query_id, sum(cnt) AS s, count(*) AS n FROM m GROUP BY query_id) SELECT CAST(sum(s / (4.0 * n)) / sum(1 / (4.0 * n)) AS DOUBLE) AS total FROM s")
+def weighted_total(spark, sf_dir):
+    from marginalia.operators import rounds
+
+    return rounds.weighted_total(marginal_batched(spark, sf_dir).withColumn("sigma", F.lit(2.0)))
+
+
+@query(
+    "running_average",
+    "WITH m AS (SELECT event_type AS query_id, CAST(0 AS BIGINT) AS cell, CAST(date_part('day', ts) AS INTEGER) AS round, avg(value) AS v, count(*) AS n FROM events GROUP BY ALL) SELECT query_id, cell, round, round(sum(v * n) OVER (PARTITION BY query_id ORDER BY round) / sum(n) OVER (PARTITION BY query_id ORDER BY round), 9) AS v FROM m",
+)
+def running_average(spark, sf_dir):
+    by_day = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("query_id"), F.lit(0).cast("long").alias("cell"), F.dayofmonth("ts").alias("round")).agg(F.avg("value").alias("v"), F.count("*").alias("n"))
+    return updates.running_average(by_day).withColumn("v", F.round("v", 9))
+
+
+@query("trust_ratio", f"WITH {UPDATES_SQL}, w AS (SELECT idx % 4 AS layer, sqrt(sum(v * v)) AS w FROM u WHERE client_id = 0 GROUP BY ALL), g AS (SELECT idx % 4 AS layer, sqrt(sum(v * v)) AS g FROM u WHERE client_id = 1 GROUP BY ALL) SELECT CAST(layer AS INTEGER) AS layer, round(w / g, 9) AS ratio FROM w JOIN g USING (layer)")
+def trust_ratio(spark, sf_dir):
+    rows = vectors(spark, sf_dir).withColumn("layer", (F.col("idx") % 4).cast("int"))
+    return updates.trust_ratio(rows.where("client_id = 0"), rows.where("client_id = 1")).withColumn("ratio", F.round("ratio", 9))
+
+
+@query("random_sparse_mask", f"WITH {UPDATES_SQL}, m AS (SELECT idx, row_number() OVER (ORDER BY {uniform_sql('21', 'idx')}, idx) AS k FROM (SELECT DISTINCT idx FROM u)) SELECT client_id, u.idx, CASE WHEN k <= 32 THEN 0.0 ELSE v END AS v FROM u JOIN m ON u.idx = m.idx")
+def random_sparse_mask(spark, sf_dir):
+    return updates.random_masked(vectors(spark, sf_dir), 0.5, 21)
+
+
+@query("model_combination", f"WITH {UPDATES_SQL} SELECT a.idx, round(0.25 * a.v + 2.0 * b.v, 9) AS v FROM u a JOIN u b ON a.idx = b.idx WHERE a.client_id = 0 AND b.client_id = 1")
+def model_combination(spark, sf_dir):
+    rows = vectors(spark, sf_dir)
+    of = lambda k: rows.where(F.col("client_id") == k).select("idx", "v")
+    return updates.combined(of(0), 0.25, of(1), 2.0).withColumn("v", F.round("v", 9))
+
+
+@query("client_probabilities", "WITH c AS (SELECT c_nationkey AS client_id, avg(c_acctbal) / 1000 AS utility FROM customer GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY utility, client_id) - 1 AS k, count(*) OVER () AS n, max(utility) OVER () AS m FROM c), e AS (SELECT client_id, CASE WHEN k < floor(0.4 * n) THEN 0 ELSE exp(2.0 * (utility - m)) END AS e FROM r) SELECT client_id, round(e / sum(e) OVER (), 9) AS p FROM e")
+def client_probabilities(spark, sf_dir):
+    utility = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("client_id")).agg((F.avg("c_acctbal") / 1000).alias("utility"))
+    return shard.to_probability(utility, 0.4, 2.0).withColumn("p", F.round("p", 9))
+
+
+@query("capped_participation", f"WITH c AS (SELECT CAST(r.range AS BIGINT) AS round, CAST(n_nationkey AS INTEGER) AS client_id FROM nation, range(20) r WHERE {uniform_sql('9', 'r.range', 'n_nationkey')} < 0.2) SELECT round, client_id FROM (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY round) AS k FROM c) WHERE k <= 2")
+def capped_participation(spark, sf_dir):
+    return shard.capped(poisson_cohort(spark, sf_dir), 2)
+
+
+@query("poisson_arrivals", f"SELECT event_id, round(sum(-ln({uniform_sql('22', 'event_id')}) / 0.5) OVER (ORDER BY event_id), 6) AS start_time FROM events")
+def poisson_arrivals(spark, sf_dir):
+    from marginalia.streaming import simulate
+
+    return simulate.poisson_starts(table(spark, sf_dir, "events").select("event_id"), "event_id", 0.5, 22).select("event_id", F.round("start_time", 6).alias("start_time"))
+
+
+@query("training_durations", f"SELECT event_id, round(greatest(1.0, 30 * -ln({uniform_sql('23', 'event_id')})), 6) AS duration FROM events")
+def training_durations(spark, sf_dir):
+    from marginalia.streaming import simulate
+
+    return simulate.durations(table(spark, sf_dir, "events").select("event_id"), "exponential", 30.0, 0.0, "event_id", 23, 1.0).select("event_id", F.round("duration", 6).alias("duration"))
+
+
+@query("timed_out_trainings", f"WITH {ARRIVALS_SQL} SELECT event_id, duration >= 900 AS timed_out, least(duration, 900.0) AS duration FROM o")
+def timed_out_trainings(spark, sf_dir):
+    from marginalia.streaming import simulate
+
+    return simulate.timed_out(arrivals(spark, sf_dir), 900.0).select("event_id", "timed_out", "duration")
+
+
+@query("uniform_synthetic_rows", f"SELECT CAST(floor({uniform_sql('3st', 'range')} * 3) AS INTEGER) AS st, CAST(floor({uniform_sql('3pr', 'range')} * 5) AS INTEGER) AS pr, CAST(floor({uniform_sql('3tp', 'range')} * 16) AS INTEGER) AS tp FROM range(2000)")
+def uniform_synthetic_rows(spark, sf_dir):
+    from marginalia.sources import tabular
+
+    return tabular.uniform_rows(spark, CLIENTS, 2000, 3)
+
+
+@query("exact_fraction", f"SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY {uniform_sql('1034', 'o_orderkey')}, o_orderkey) AS k, count(*) OVER () AS n FROM orders) WHERE k <= floor(n * 0.2 + 0.5)")
+def exact_fraction(spark, sf_dir):
+    from marginalia.sources import tabular
+
+    return tabular.fraction(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 0.2)
+
+
+@query("zipf_client_rows")
+def zipf_client_rows(spark, sf_dir):
+    """Rows of 100 clients around client means from a Zipf law."""
+    from marginalia.sources import tabular
+
+    return tabular.zipf_clients(spark, 100, 50, 10, 2.0, 40, 1)
+
+
+@query("flaim_synthesis")
+def flaim_synthesis(spark, sf_dir):
+    """Rows from FLAIM over 25 clients."""
+    from marginalia.plans import federated
+
+    return federated.flaim(client_rows(spark, sf_dir), "client", CLIENTS, workload.k_way(CLIENTS.attrs, 2), 5.0, 1e-6, 3, 0.6, seed=1).rows(spark, seed=1)
+
+
+@query("local_generators")
+def local_generators(spark, sf_dir):
+    """Rows that each of 25 clients makes on its own."""
+    from marginalia.plans import federated
+
+    return federated.local_generators(client_rows(spark, sf_dir), "client", CLIENTS, 1.0)
+
+
+@query("public_reweighting")
+def public_reweighting(spark, sf_dir):
+    """Weights on uniform rows that fit noiseless marginals of orders."""
+    from marginalia.plans import mechanisms, pgm, public
+
+    work = [("st", "pr"), ("tp",)]
+    known = mechanisms.answers(marginals.dense(client_rows(spark, sf_dir), CLIENTS, work), CLIENTS, work)
+    return public.reweighted(uniform_synthetic_rows(spark, sf_dir), CLIENTS, [pgm.Measurement(q, known[q], 10.0) for q in work], 12)
