@@ -53,9 +53,9 @@ def timeline(epoch: Column, round_: Column, rounds_per_epoch: int) -> tuple[Colu
 def prefix_noise(steps: DataFrame, deviation: float, seed) -> DataFrame:
     """Adds ``noise`` to each whole ``step``: the sum of the noises of the tree nodes that make up the
     first ``step`` values, one per set bit, each drawn once for its node."""
-    bits = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda k: F.shiftright("step", k.cast("int")).bitwiseAND(F.lit(1)) == 1)
+    bits = F.expr("filter(sequence(0, 62), k -> (shiftright(step, k) & 1L) = 1L)")
     # the node of bit k covers the 2^k values that end where the step's higher and own bits end
-    nodes = steps.select(*steps.columns, F.explode(bits).alias("_level")).withColumn("_node", F.shiftright("step", F.col("_level").cast("int")) - 1)
+    nodes = steps.select(*steps.columns, F.explode(bits).alias("_level")).withColumn("_node", F.expr("shiftright(step, _level) - 1"))
     noisy = nodes.withColumn("_z", deviation * keyed_normal(seed, "_level", "_node"))
     return noisy.groupBy(*steps.columns).agg(F.sum("_z").alias("noise"))
 
