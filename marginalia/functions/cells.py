@@ -38,6 +38,7 @@ def cantor_pair(a: Column, b: Column) -> Column:
 
 
 def equal_width_bin(x: Column, low: Column | float, high: Column | float, bins: int) -> Column:
-    """Right-closed bins of equal width over [low, high]; the lowest edge belongs to bin 0."""
+    """Right-closed bins of equal width over [low, high]; the lowest edge belongs to bin 0.
+    Null stays null."""
     low, high = (v if isinstance(v, Column) else F.lit(float(v)) for v in (low, high))
-    return F.greatest(F.lit(0), F.ceil((x - low) / ((high - low) / bins)) - 1).cast("int")
+    return F.when(x.isNotNull(), F.greatest(F.lit(0), F.ceil((x - low) / ((high - low) / bins)) - 1)).cast("int")

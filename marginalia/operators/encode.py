@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.domain import Domain
 from marginalia.functions.cells import equal_width_bin
+from marginalia.operators.ordered import numbered
 
 
 def project(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -42,20 +43,9 @@ def discretise(df: DataFrame, bins: dict[str, int]) -> DataFrame:
 
 
 def codes_sorted(df: DataFrame, col: str) -> DataFrame:
-    """(value, code): places of the distinct values in ascending order; nulls get no code. Ranks are
-    taken in ranges of the values with counts of the ranges before, so no task sorts all values."""
+    """(value, code): places of the distinct values in ascending order; nulls get no code."""
     values = df.where(F.col(col).isNotNull()).select(F.col(col).alias("value")).distinct()
-    return _numbered(values, "value", "code")
-
-
-def _numbered(df: DataFrame, by: str, name: str) -> DataFrame:
-    """Adds 0, 1, ... in the order of the distinct values ``by``. Only a count per range of values
-    meets in one task."""
-    ranged = df.repartitionByRange(F.col(by)).withColumn("_range", F.spark_partition_id())
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_range").orderBy(by)
-    return ranged.withColumn("_k", F.row_number().over(inside)).join(F.broadcast(starts), "_range").withColumn(name, (F.col("_start") + F.col("_k") - 1).cast("long")).drop("_range", "_k", "_start")
+    return numbered(values, ["value"], "code")
 
 
 def factorise_sorted(df: DataFrame, col: str, code: str | None = None) -> DataFrame:
@@ -67,18 +57,13 @@ def factorise_sorted(df: DataFrame, col: str, code: str | None = None) -> DataFr
 def factorise_first_seen(df: DataFrame, col: str, row_id: str, code: str | None = None) -> DataFrame:
     """Adds the code of each value in the order in which ``row_id`` first shows it; -1 for null."""
     first = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.min(row_id).alias("_first"))
-    codes = _numbered(first, "_first", "_code").select("value", "_code")
+    codes = numbered(first, ["_first"], "_code").select("value", "_code")
     return df.join(codes, df[col] == codes["value"], "left").withColumn(code or f"{col}_code", F.coalesce("_code", F.lit(-1))).drop("value", "_code")
 
 
 def row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """A stable number for each row: its place among all rows sorted by all columns."""
-    keyed = df.withColumn("_key", F.to_json(F.struct(*df.columns)))
-    ranged = keyed.repartitionByRange(*df.columns).withColumn("_range", F.spark_partition_id())
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_range").orderBy(*df.columns)
-    return ranged.withColumn("_k", F.row_number().over(inside)).join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_k")).drop("_range", "_k", "_start", "_key")
+    """A stable number for each row: its place, from 1, among all rows sorted by all columns."""
+    return numbered(df, df.columns, "_k").withColumn(name, F.col("_k") + 1).drop("_k")
 
 
 def value_map(df: DataFrame, col: str, mapping: dict, default=None) -> DataFrame:

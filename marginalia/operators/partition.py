@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.cells import cantor_pair, coordinates
+from marginalia.operators.ordered import numbered
 
 
 def cells_of(spark: SparkSession, shape: Sequence[int]) -> DataFrame:
@@ -78,10 +79,8 @@ def by_workload(matrix: DataFrame, cells: DataFrame) -> DataFrame:
 
 def canonical(mapping: DataFrame) -> DataFrame:
     """Groups renumbered 0, 1, ... in the order in which cells first show them."""
-    from marginalia.operators.encode import _numbered
-
     first = mapping.groupBy("group").agg(F.min("cell").alias("_f"))
-    return mapping.join(_numbered(first, "_f", "_new").select("group", "_new"), "group").select("cell", F.col("_new").alias("group"))
+    return mapping.join(numbered(first, ["_f"], "_new").select("group", "_new"), "group").select("cell", F.col("_new").alias("group"))
 
 
 def combined(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -115,7 +114,5 @@ def bounding_boxes(mapping: DataFrame, shape: Sequence[int]) -> DataFrame:
 
 def complement_intervals(matrix: DataFrame, cells: DataFrame, width: int) -> DataFrame:
     """(cell, group): cells that no query touches, in intervals of ``width`` of them."""
-    from marginalia.operators.encode import _numbered
-
     free = cells.select("cell").join(matrix.where("val != 0").select("cell").distinct(), "cell", "left_anti")
-    return _numbered(free, "cell", "_k").select("cell", F.expr(f"_k div {width}").alias("group"))
+    return numbered(free, ["cell"], "_k").select("cell", F.expr(f"_k div {width}").alias("group"))

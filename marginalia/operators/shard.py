@@ -10,20 +10,11 @@ import re
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.rng import keyed_uniform
-from marginalia.operators.encode import _numbered
-
-
-def _placed(df: DataFrame, by: list[Column], tag: str = "_place") -> DataFrame:
-    """Adds 0, 1, ... in the given order, by ranges."""
-    ranged = df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id())
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_range").orderBy(*by)
-    return ranged.withColumn("_k", F.row_number().over(inside)).join(F.broadcast(starts), "_range").withColumn(tag, F.col("_start") + F.col("_k") - 1).drop("_range", "_k", "_start")
+from marginalia.operators.ordered import numbered
 
 
 def iid(df: DataFrame, key: str, clients: int, seed: int) -> DataFrame:
@@ -31,7 +22,7 @@ def iid(df: DataFrame, key: str, clients: int, seed: int) -> DataFrame:
     n = df.count()
     big, small = n % clients, n // clients
     edge = big * (small + 1)
-    placed = _placed(df.withColumn("_u", keyed_uniform(seed, key)), [F.col("_u"), F.col(key)])
+    placed = numbered(df.withColumn("_u", keyed_uniform(seed, key)), [F.col("_u"), F.col(key)], "_place")
     client = F.when(F.col("_place") < edge, F.expr(f"_place div {small + 1}")).otherwise(big + F.expr(f"(_place - {edge}) div {max(small, 1)}"))
     return placed.withColumn("client_id", client.cast("int")).drop("_u", "_place")
 
@@ -43,11 +34,11 @@ def random(df: DataFrame, key: str, shards: int, seed: int) -> DataFrame:
 
 def sequential(df: DataFrame, order: str, rows: int) -> DataFrame:
     """``rows`` rows a shard, in order."""
-    return _placed(df, [F.col(order)]).withColumn("shard", F.expr(f"_place div {rows}").cast("int")).drop("_place")
+    return numbered(df, [F.col(order)], "_place").withColumn("shard", F.expr(f"_place div {rows}").cast("int")).drop("_place")
 
 
 def round_robin(df: DataFrame, order: str, shards: int) -> DataFrame:
-    return _placed(df, [F.col(order)]).withColumn("shard", (F.col("_place") % shards).cast("int")).drop("_place")
+    return numbered(df, [F.col(order)], "_place").withColumn("shard", (F.col("_place") % shards).cast("int")).drop("_place")
 
 
 def broadcasted(df: DataFrame, shards: int) -> DataFrame:
@@ -151,7 +142,7 @@ def uniform(clients: DataFrame, per_round: int, rounds: DataFrame, seed: int, ke
 
 def round_robin_cohorts(clients: DataFrame, per_round: int, seed: int, epoch: int = 0, key: str = "client_id") -> DataFrame:
     """Every client once an epoch, in a random order, ``per_round`` a round."""
-    placed = _placed(clients.select(key).withColumn("_u", keyed_uniform(seed, F.lit(epoch), key)), [F.col("_u"), F.col(key)])
+    placed = numbered(clients.select(key).withColumn("_u", keyed_uniform(seed, F.lit(epoch), key)), ["_u", key], "_place")
     return placed.select(F.expr(f"_place div {per_round}").alias("round"), key)
 
 
@@ -175,7 +166,7 @@ def users_per_round(start: int, gamma: float, milestones: Sequence[int], round_:
 def to_probability(utilities: DataFrame, zero_share: float, temperature: float, key: str = "client_id", utility: str = "utility") -> DataFrame:
     """(client, p): softmax of temperature * utility over all but the lowest ``zero_share`` of clients."""
     n = utilities.count()
-    ranked = _placed(utilities, [F.col(utility), F.col(key)])
+    ranked = numbered(utilities, [F.col(utility), F.col(key)], "_place")
     top = F.broadcast(utilities.agg(F.max(utility).alias("_m")))  # one row
     raw = ranked.crossJoin(top).withColumn("_e", F.when(F.col("_place") < int(zero_share * n), 0.0).otherwise(F.exp(temperature * (F.col(utility) - F.col("_m")))))
     whole = F.broadcast(raw.agg(F.sum("_e").alias("_s")))
@@ -184,4 +175,4 @@ def to_probability(utilities: DataFrame, zero_share: float, temperature: float,
 
 def dense_ids(df: DataFrame, col: str, name: str) -> DataFrame:
     """Distinct values of a column numbered in ascending order."""
-    return _numbered(df.select(col).distinct(), col, name)
+    return numbered(df.select(col).distinct(), [col], name)

@@ -35,13 +35,13 @@ def flaim(df: DataFrame, client: str, domain: Domain, work: Sequence[Query], eps
     Clients' answers are one table by client; scores, choices and noise of a round are one plan over it,
     and the sums per chosen query come to the driver.
     """
-    from marginalia.operators.encode import _numbered
+    from marginalia.operators.ordered import numbered as in_order
 
     spark = df.sparkSession
     closed = workload.closure(work)
     weights = workload.scores(work)
     ones = [c for c in closed if len(c) == 1]
-    ids = _numbered(df.select(F.col(client).alias("client_id")).distinct(), "client_id", "_c").persist()
+    ids = in_order(df.select(F.col(client).alias("client_id")).distinct(), ["client_id"], "_c").persist()
     count = ids.count()
     coded = df.join(ids, df[client] == ids["client_id"]).select("_c", *domain.attrs)
     held = marginals.marginals(coded, domain, closed, "_c", count).persist()

@@ -217,12 +217,12 @@ def distributed_aim(df: DataFrame, client: str, domain: Domain, work: Sequence[Q
     """AIM over clients' rows: each round works from the summed answers of a Poisson cohort, scaled to
     all; with ``accumulate`` from those of every client seen so far. Clients' answers are taken once and
     kept; a round is a semi-join and a sum, and only the sums reach the driver."""
-    from marginalia.operators.encode import _numbered
+    from marginalia.operators.ordered import numbered as in_order
 
     closed = workload.closure(work)
     spark = df.sparkSession
     ids = df.select(F.col(client).alias("client_id")).distinct()
-    numbered = _numbered(ids, "client_id", "_c").persist()
+    numbered = in_order(ids, ["client_id"], "_c").persist()
     count = numbered.count()
     coded = df.join(numbered, df[client] == numbered["client_id"]).select("_c", *domain.attrs)
     held = marginals.marginals(coded, domain, closed, "_c", count).persist()

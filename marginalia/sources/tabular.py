@@ -8,13 +8,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.domain import Domain
 from marginalia.functions.cells import coordinates
 from marginalia.functions.rng import keyed_normal, keyed_uniform
 from marginalia.operators import encode
+from marginalia.operators.ordered import running_sum
 
 #: Separators of named tables that don't use a comma, and their label columns; fixed values.
 SEPARATORS = {"marketing": ";"}
@@ -149,20 +150,11 @@ def uniformity(spark: SparkSession, share: float, cells: int, total: int, seed:
 def sampled(counts: DataFrame, n: int, seed: str | int = 0) -> DataFrame:
     """(cell, cnt): ``n`` draws with replacement from a histogram, by where each draw's uniform number
     falls in the running shares; the lookup is a join on a bucket of the shares, not on all cells."""
-    from marginalia.operators.shard import _placed
-
     spark = counts.sparkSession
     total = counts.agg(F.sum("cnt")).first()[0] or 0
     if not total:
         return counts.limit(0)
-    placed = _placed(counts.where("cnt > 0"), [F.col("cell")])
-    stride = 1024
-    sums = placed.groupBy(F.expr(f"_place div {stride}").alias("_p")).agg(F.sum("cnt").alias("_s"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_b"))
-    inside = Window.partitionBy("_p").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
-    ends = placed.withColumn("_p", F.expr(f"_place div {stride}")).withColumn("_own", F.sum("cnt").over(inside)).join(starts, "_p")
-    spans = ends.select("cell", (F.col("_own") + F.col("_b")).alias("_end"), (F.col("_own") + F.col("_b") - F.col("cnt")).alias("_start"))
+    spans = running_sum(counts.where("cnt > 0").select("cell", "cnt"), ["cell"], "cnt", "_end").withColumn("_start", F.col("_end") - F.col("cnt"))
     width = max(1, total // 4096)
     listed = spans.withColumn("_k", F.explode(F.sequence(F.expr(f"_start div {width}"), F.expr(f"(_end - 1) div {width}"))))
     draws = spark.range(n).select(F.floor(keyed_uniform(seed, "id") * total).cast("long").alias("_x")).withColumn("_k", F.expr(f"_x div {width}"))

@@ -6,25 +6,21 @@ time, so that only a count per range meets in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.rng import keyed_exponential, keyed_normal, keyed_uniform
-from marginalia.operators.shard import _placed
+from marginalia.operators.ordered import numbered, running_max, running_sum
 
 
 def poisson_starts(df: DataFrame, order: str, rate: float, seed) -> DataFrame:
     """Adds start_time: running sums of exponential gaps."""
     gaps = df.withColumn("_gap", keyed_exponential(seed, order) / rate)
-    ranged = gaps.repartitionByRange(F.col(order)).withColumn("_range", F.spark_partition_id())
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("_range").agg(F.sum("_gap").alias("_s")).select("_range", F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_b"))
-    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return ranged.withColumn("_own", F.sum("_gap").over(inside)).join(F.broadcast(starts), "_range").withColumn("start_time", F.col("_own") + F.col("_b")).drop("_gap", "_range", "_own", "_b")
+    return running_sum(gaps, [order], "_gap", "start_time").drop("_gap")
 
 
 def constant_starts(df: DataFrame, order: str, gap: float) -> DataFrame:
-    return _placed(df, [F.col(order)]).withColumn("start_time", (F.col("_place") + 1) * gap).drop("_place")
+    return numbered(df, [order], "_place").withColumn("start_time", (F.col("_place") + 1) * gap).drop("_place")
 
 
 def durations(df: DataFrame, kind: str, mean: float, sd: float, key: str, seed, least: float = 0.0, examples: str | None = None) -> DataFrame:
@@ -43,17 +39,12 @@ def timeline(trainings: DataFrame) -> DataFrame:
     same time), and how many trainings run after each."""
     start = trainings.select("event_id", "client_id", F.lit("start").alias("kind"), F.col("start_time").alias("at"), F.lit(1).alias("step"))
     end = trainings.select("event_id", "client_id", F.lit("end").alias("kind"), F.col("end_time").alias("at"), F.lit(-1).alias("step"))
-    order = ["at", F.desc("kind"), "event_id"]
-    ranged = start.union(end).repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy("_range").agg(F.sum("step").alias("_s")).select("_range", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_b"))
-    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return ranged.withColumn("_own", F.sum("step").over(inside)).join(F.broadcast(sums), "_range").select("event_id", "client_id", "kind", "at", (F.col("_own") + F.col("_b")).alias("running"))
+    return running_sum(start.union(end), ["at", F.desc("kind"), "event_id"], "step", "running").drop("step")
 
 
 def buffered(trainings: DataFrame, size: int) -> DataFrame:
     """Adds version: how many buffers of ``size`` ended trainings came before this one's."""
-    return _placed(trainings, [F.col("end_time"), F.col("event_id")]).withColumn("version", F.expr(f"_place div {size}")).drop("_place")
+    return numbered(trainings, ["end_time", "event_id"], "_place").withColumn("version", F.expr(f"_place div {size}")).drop("_place")
 
 
 def staleness(trainings: DataFrame, size: int) -> DataFrame:
@@ -62,12 +53,8 @@ def staleness(trainings: DataFrame, size: int) -> DataFrame:
     own = buffered(trainings, size)
     made = own.groupBy("version").agg(F.max("end_time").alias("at"), F.count("*").alias("n")).where(F.col("n") == size).select("at", (F.col("version") + 1).alias("made"), F.lit(None).cast("bigint").alias("event_id"))
     asked = own.select(F.col("start_time").alias("at"), F.lit(None).cast("bigint").alias("made"), "event_id")
-    order = ["at", F.col("event_id").isNotNull()]
-    ranged = made.unionByName(asked).repartitionByRange("at").withColumn("_range", F.spark_partition_id())
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    tops = ranged.groupBy("_range").agg(F.max("made").alias("_m")).select("_range", F.max("_m").over(before).alias("_b"))
-    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    seen = ranged.withColumn("_own", F.max("made").over(inside)).join(F.broadcast(tops), "_range").where("event_id IS NOT NULL").select("event_id", F.coalesce("_own", "_b", F.lit(0)).alias("began"))
+    both = made.unionByName(asked).withColumn("_asks", F.col("event_id").isNotNull())
+    seen = running_max(both, ["at", "_asks", "event_id"], "made", "began").where("_asks").select("event_id", F.coalesce("began", F.lit(0)).alias("began"))
     return own.join(seen, "event_id").withColumn("staleness", F.col("version") - F.col("began")).drop("began")
 
 
@@ -83,6 +70,6 @@ def timed_out(trainings: DataFrame, wall: float) -> DataFrame:
 
 def time_estimates(trainings: DataFrame, per_round: int, wall: float) -> DataFrame:
     """One row: seconds of synchronous rounds (each as long as its slowest) and of one asynchronous run."""
-    rounds = _placed(timed_out(trainings, wall).select("event_id", "duration"), [F.col("event_id")]).groupBy(F.expr(f"_place div {per_round}").alias("round")).agg(F.max("duration").alias("m"))
+    rounds = numbered(timed_out(trainings, wall).select("event_id", "duration"), ["event_id"], "_place").groupBy(F.expr(f"_place div {per_round}").alias("round")).agg(F.max("duration").alias("m"))
     sync = rounds.agg(F.round(F.sum("m"), 6).alias("sync_seconds"))
     return sync.crossJoin(trainings.agg(F.round(F.max("end_time") - F.min("start_time"), 6).alias("async_seconds")))  # two rows

@@ -49,7 +49,7 @@ def test_fixed_point(spark, value, fixed):
 
 def test_fixed_to_float(spark):
     row = spark.range(1).select(updates.to_float(F.lit(85), 85.0), updates.to_float(F.lit(157), 85.0)).first()
-    assert list(row) == [1.0, 1.847058823529412]
+    assert list(row) == pytest.approx([1.0, 1.847058823529412])
 
 
 @pytest.mark.parametrize("how, models, want", [("sum", [1, 2], 3), ("average", [1, 2, 3, 4], 2.5), ("weighted_sum", [1, 2, 3, 4, 5, 6], 91)])
