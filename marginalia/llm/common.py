@@ -2,55 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the contracts: x20 and x09 to x0D, which is also what ``bytes.split()`` splits at.
-SPACE = "\\x20\\x09-\\x0D"
+from marginalia.storage import shared_dir, written
+
+__all__ = ["BATCH_ROWS", "components", "shared_dir", "small_batches", "written"]
 
 #: Rows of an Arrow batch; texts of 100 KB then make a batch of some 50 MB at most.
 BATCH_ROWS = 512
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where the session
-    has none, as in tests on one machine, is a temporary one made and set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='marginalia-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: lineage ends there, the
-    rows are fixed, and a lost executor costs no recomputation of what came before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bounds the rows of Arrow batches, so that long texts fit in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
-    """A number for each row. Fix the rows with written() before the number is used twice."""
-    return df.withColumn(name, F.monotonically_increasing_id())
-
-
-def lower_ascii(c: Column) -> Column:
-    """A-Z in lower case, all else as it is."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def _mark(df: DataFrame) -> tuple[int, int]:
     row = df.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo") % F.lit(1 << 30))).first()
     return row[0], row[1] or 0
