@@ -25,11 +25,6 @@ def coordinates(index: str, attrs: Sequence[str], shape: Sequence[int]) -> list[
     return out[::-1]
 
 
-def clamp_edge(attr: str, size: int) -> Column:
-    """Histogram rule: the last bin is closed, so value ``size`` counts as ``size - 1``."""
-    return F.when(F.col(attr) == size, size - 1).otherwise(F.col(attr))
-
-
 def cantor_pair(a: Column, b: Column) -> Column:
     """A number for each pair of non-negative whole numbers."""
     a, b = a.cast("long"), b.cast("long")

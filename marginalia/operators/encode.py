@@ -31,15 +31,22 @@ def ranges(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def discretise(df: DataFrame, bins: dict[str, int]) -> DataFrame:
-    """Replaces numeric columns by their equal-width bin over the column's range, which is taken in one
-    pass for all and joined as a single row; 0 or fewer bins leave a column as it is. Nulls stay null; a
-    column with one value is all in bin 0."""
+    """Replaces numeric columns by their equal-width bin over the column's range; 0 or fewer bins leave
+    a column as it is. The ranges are taken in one pass for all columns and stand in the plan as
+    numbers, so that filters on bins reach the scan. Nulls stay null; a column with one value is all in
+    bin 0."""
     on = {c: n for c, n in bins.items() if n > 0}
     if not on:
         return df
-    wide = df.join(F.broadcast(ranges(df, list(on))))  # one row
-    made = {c: F.when(F.col(f"{c}_low") == F.col(f"{c}_high"), F.when(F.col(c).isNotNull(), 0)).otherwise(equal_width_bin(F.col(c), F.col(f"{c}_low"), F.col(f"{c}_high"), n)) for c, n in on.items()}
-    return wide.withColumns(made).select(df.columns)
+    found = ranges(df, list(on)).first()
+    made = {}
+    for c, n in on.items():
+        low, high = found[f"{c}_low"], found[f"{c}_high"]
+        if low is None or low == high:
+            made[c] = F.when(F.col(c).isNotNull(), 0)
+        else:
+            made[c] = equal_width_bin(F.col(c), float(low), float(high), n)
+    return df.withColumns(made)
 
 
 def codes_sorted(df: DataFrame, col: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.domain import Domain
-from marginalia.functions.cells import cell, clamp_edge
+from marginalia.functions.cells import cell
 from marginalia.operators.workload import Query
 
 CHUNK = 31  # queries of one grouping-set plan
@@ -31,11 +31,11 @@ def name(query: Query) -> str:
 def counted_rows(df: DataFrame, domain: Domain, keep: Sequence[str] = ()) -> DataFrame:
     """Rows inside the domain: the last bin of an attribute is closed, all outside vanish, nulls too."""
     attrs = [a for a in domain.attrs if a not in keep]
-    edged = df.select(*keep, *(clamp_edge(a, domain[a]).cast("int").alias(a) for a in attrs))
     inside = F.lit(True)
     for a in attrs:
-        inside = inside & (F.col(a) >= 0) & (F.col(a) < domain[a])
-    return edged.where(inside)
+        inside = inside & F.col(a).between(0, domain[a])
+    # least() rather than a comparison, so that an attribute's expression is repeated as little as can be
+    return df.where(inside).select(*keep, *(F.least(F.col(a), F.lit(domain[a] - 1)).cast("int").alias(a) for a in attrs))
 
 
 def datavector(df: DataFrame, domain: Domain, query: Query, weight: str | None = None) -> DataFrame:

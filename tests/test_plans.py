@@ -161,10 +161,11 @@ def test_rows_follow_the_model(spark):
     assert synth.rows(spark, model, 0).count() == 0
 
 
-def test_salted_groups_still_follow_the_model(spark, monkeypatch):
-    monkeypatch.setattr(synth, "GROUP", 500)
+def test_chunks_still_follow_the_model(spark, monkeypatch):
+    monkeypatch.setattr(synth, "CHUNK", 500)
     model = pgm.estimate(D, [pgm.Measurement(("a",), np.array([300.0, 700.0]), 1.0)], iterations=300)
-    assert abs(synth.rows(spark, model, 4000, 2).where("a = 1").count() - 2800) <= 8
+    assert abs(synth.rows(spark, model, 4100, 2).where("a = 1").count() - 2870) <= 9
+    assert synth.rows(spark, model, 4100, 2).count() == 4100
 
 
 # -- mechanisms ---------------------------------------------------------------------------------
