@@ -1073,3 +1073,103 @@ def public_reweighting(spark, sf_dir):
     work = [("st", "pr"), ("tp",)]
     known = mechanisms.answers(marginals.dense(client_rows(spark, sf_dir), CLIENTS, work), CLIENTS, work)
     return public.reweighted(uniform_synthetic_rows(spark, sf_dir), CLIENTS, [pgm.Measurement(q, known[q], 10.0) for q in work], 12)
+
+
+# -- plans -----------------------------------------------------------------------------------------------------
+
+
+@query("linear_plans")
+def linear_plans(spark, sf_dir):
+    """Estimates of the price line by every plan at eps 1."""
+    import numpy as np
+
+    from marginalia.plans import linear
+
+    x = np.zeros(64)
+    for r in price_line(spark, sf_dir).collect():
+        x[r.v] = r.cnt
+    rows = [(name, k, float(v)) for name, plan in sorted(linear.PLANS.items()) for k, v in enumerate(plan(x, 1.0, np.random.default_rng(1)))]
+    return spark.createDataFrame(rows, "plan string, cell bigint, estimate double")
+
+
+@query("linear_plans_2d")
+def linear_plans_2d(spark, sf_dir):
+    """Estimates of a grid of quantity and price by every plan in two dimensions at eps 1."""
+    import numpy as np
+
+    from marginalia.plans import linear
+
+    x = np.zeros((16, 16))
+    for r in ranges.uniform_grid(price_grid(spark, sf_dir), 4).collect():
+        x[r.gx, r.gy] = r.total
+    rows = [(name, k, float(v)) for name, plan in sorted(linear.PLANS_2D.items()) for k, v in enumerate(plan(x, 1.0, np.random.default_rng(1)).ravel())]
+    return spark.createDataFrame(rows, "plan string, cell bigint, estimate double")
+
+
+@query(
+    "log_likelihood_independent",
+    f"""WITH {CLIENTS_SQL}, n AS (SELECT count(*) AS n FROM enc),
+    s AS (SELECT st AS v, count(*) AS c FROM enc GROUP BY ALL), p AS (SELECT pr AS v, count(*) AS c FROM enc GROUP BY ALL)
+    SELECT round((SELECT -sum(c * ln(c / n)) FROM s, n) + (SELECT -sum(c * ln(c / n)) FROM p, n) + (SELECT n * ln(16.0) FROM n), 3) AS nll""",
+)
+def log_likelihood_independent(spark, sf_dir):
+    """Rows of orders under a model of two single attributes that leaves the third uniform."""
+    import numpy as np
+
+    from marginalia.plans import mechanisms, pgm, utility
+
+    ones = [("st",), ("pr",)]
+    rows = client_rows(spark, sf_dir)
+    known = mechanisms.answers(marginals.dense(rows, CLIENTS, ones), CLIENTS, ones)
+    model = pgm.GraphicalModel(CLIENTS, [("st",), ("pr",), ("tp",)], float(known[("st",)].sum()))
+    for q in ones:
+        with np.errstate(divide="ignore"):
+            model.potentials[q] = pgm.Factor(CLIENTS.project(q), np.maximum(np.log(known[q]), -700))
+    model.marginals = model.belief_propagation(model.potentials)
+    return utility.negative_log_likelihood(rows, model).select(F.round("nll", 3).alias("nll"))
+
+
+@query("private_bayes_rows")
+def private_bayes_rows(spark, sf_dir):
+    """Rows of a private Bayes network of orders at eps 5."""
+    from marginalia.plans import structure, synth
+
+    model, _ = structure.private_bayes(client_rows(spark, sf_dir), CLIENTS, 5.0, 2, 1)
+    return synth.rows(spark, model, seed=1)
+
+
+@query("synthetic_utility")
+def synthetic_utility(spark, sf_dir):
+    """Scores of a classifier of order status, trained on rows from MST and on the rows themselves."""
+    from marginalia.plans import utility
+
+    real = client_rows(spark, sf_dir).drop("client")
+    rows = [(name, k, float(v)) for name, train in (("real", real), ("mst", mst_synthesis(spark, sf_dir))) for k, v in utility.classifier_utility(train, real, "st", trees=5).items()]
+    return spark.createDataFrame(rows, "trained_on string, score string, value double")
+
+
+@query("federated_training")
+def federated_training(spark, sf_dir):
+    """Log loss by round of a logistic model of order status, trained over clients' rows."""
+    from marginalia.operators import training
+
+    rows = client_rows(spark, sf_dir).select(F.col("client").cast("bigint").alias("client_id"), F.array(F.lit(1.0), F.col("pr") / 4.0, F.col("tp") / 16.0).alias("x"), (F.col("st") == 0).cast("int").alias("y"))
+    clients = rows.select("client_id").distinct()
+    _, losses = training.train(rows, lambda t: clients, 3, 3, 0.5, training.ServerOptimizer("fedavg"))
+    return spark.createDataFrame(list(enumerate(losses)), "round bigint, loss double")
+
+
+@query("half_precision_channel")
+def half_precision_channel(spark, sf_dir):
+    """Embeddings after a channel of 16-bit floats."""
+    from marginalia.operators import training
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", training.half_precision(F.col("embedding").cast("array<double>")).alias("v"))
+
+
+@query("product_quantisation")
+def product_quantisation(spark, sf_dir):
+    """Codes of embeddings' blocks of eight components."""
+    from marginalia.operators import training
+
+    return training.product_quantised(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("client_id"), F.col("embedding").cast("array<double>").alias("v")), 8, 16)
