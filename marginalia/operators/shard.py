@@ -176,3 +176,19 @@ def to_probability(utilities: DataFrame, zero_share: float, temperature: float,
 def dense_ids(df: DataFrame, col: str, name: str) -> DataFrame:
     """Distinct values of a column numbered in ascending order."""
     return numbered(df.select(col).distinct(), [col], name)
+
+
+def by_clusters(df: DataFrame, features: Sequence[str], clients: int, components: int = 2, seed: int = 0) -> DataFrame:
+    """Feature skew: each row to the client of its cluster, by k-means on the leading principal
+    components of the scaled features. (Neighbour embeddings before clustering are not available.)"""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+
+    steps = [
+        VectorAssembler(inputCols=list(features), outputCol="_x"),
+        StandardScaler(inputCol="_x", outputCol="_z", withMean=True),
+        PCA(k=min(components, len(features)), inputCol="_z", outputCol="_p"),
+        KMeans(k=clients, seed=seed, featuresCol="_p", predictionCol="client_id", maxIter=20),
+    ]
+    return Pipeline(stages=steps).fit(df).transform(df).drop("_x", "_z", "_p")

@@ -1173,3 +1173,88 @@ def product_quantisation(spark, sf_dir):
     from marginalia.operators import training
 
     return training.product_quantised(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("client_id"), F.col("embedding").cast("array<double>").alias("v")), 8, 16)
+
+
+# -- set operations, streams --------------------------------------------------------------------------------------
+
+
+@query("merged_clients", f"WITH {CLIENTS_SQL} SELECT client, st, pr, tp FROM enc")
+def merged_clients(spark, sf_dir):
+    """The union of the rows of three groups of clients."""
+    from marginalia.operators import sets
+
+    rows = client_rows(spark, sf_dir)
+    return sets.merged([rows.where(F.col("client") % 3 == k) for k in range(3)])
+
+
+@query("region_intersections", "SELECT * FROM (VALUES ('a,b,c'), ('b,c,d'), ('c,d,e'), ('b,c'), ('c,d'), ('c')) v(query_id)")
+def region_intersections(spark, sf_dir):
+    from marginalia.operators import sets
+
+    closed = sets.intersections(workload.as_frame(spark, [("a", "b", "c"), ("b", "c", "d"), ("c", "d", "e")]))
+    return closed.select(F.concat_ws(",", "attrs").alias("query_id"))
+
+
+@query("disjunct_queries", "SELECT CAST(a.range AS BIGINT) AS q, CAST(b.range AS BIGINT) AS r, CAST(x.range AS BIGINT) AS x, CAST(y.range AS BIGINT) AS y, CAST(CASE WHEN x.range <= a.range OR y.range = b.range THEN 1 ELSE 0 END AS DOUBLE) AS val FROM range(4) a, range(3) b, range(4) x, range(3) y")
+def disjunct_queries(spark, sf_dir):
+    from marginalia.operators import sets
+
+    pairs = spark.range(16).select(F.expr("id div 4").alias("q"), (F.col("id") % 4).alias("x"))
+    same = spark.range(9).select(F.expr("id div 3").alias("r"), (F.col("id") % 3).alias("y"))
+    return sets.disjunct(pairs.withColumn("val", (F.col("x") <= F.col("q")).cast("double")), same.withColumn("val", (F.col("y") == F.col("r")).cast("double")))
+
+
+@query("intersect_except", "(SELECT o_custkey AS c FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def intersect_except(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    of = lambda s: orders.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("c"))
+    return of("F").intersect(of("O")).subtract(of("P"))
+
+
+@query("cluster_feature_skew")
+def cluster_feature_skew(spark, sf_dir):
+    """Orders to five clients by clusters of their columns."""
+    return shard.by_clusters(client_rows(spark, sf_dir).drop("client"), ["st", "pr", "tp"], 5, seed=1)
+
+
+def streamed(frame: DataFrame, mode: str) -> DataFrame:
+    """The result of a stream over what is there now, run to its end."""
+    import uuid
+
+    name = f"stream_{uuid.uuid4().hex}"
+    running = frame.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return frame.sparkSession.table(name)
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files."""
+    folder = sf_dir.rstrip("/")
+    # a pattern, as a stream takes a plain path for a folder
+    return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{folder}/events.parque[t]")
+
+
+@query("streaming_windows", "SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def streaming_windows(spark, sf_dir):
+    """Hourly counts and sums from Structured Streaming."""
+    from marginalia.streaming import buffers
+
+    stream = event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    found = streamed(buffers.windowed(stream, "1 hour", "10 minutes"), "complete")
+    return found.select("event_type", F.col("start").alias("hour"), "n", F.round("total", 6).alias("total"))
+
+
+@query(
+    "streaming_fed_buffer",
+    """WITH o AS (SELECT event_id, CAST(user_id % 4 AS INTEGER) AS cohort, epoch_us(ts) / 1e6 + 60 + 600 * abs(value) AS end_time, 1.0 + user_id % 3 AS w, value AS v FROM events),
+    b AS (SELECT *, (row_number() OVER (PARTITION BY cohort ORDER BY end_time, event_id) - 1) // 10 AS version FROM o)
+    SELECT cohort, CAST(version AS BIGINT) AS version, round(sum(w), 6) AS weight, round(sum(w * v) / sum(w), 6) AS v FROM b GROUP BY cohort, version HAVING count(*) = 10""",
+)
+def streaming_fed_buffer(spark, sf_dir):
+    """Steps of four buffered aggregators from a stream with state."""
+    from marginalia.streaming import buffers
+
+    start = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    stream = event_stream(spark, sf_dir).select("event_id", (F.col("user_id") % 4).cast("int").alias("cohort"), (start + 60 + 600 * F.abs("value")).alias("end_time"), (1.0 + F.col("user_id") % 3).alias("weight"), F.col("value").alias("v"))
+    found = streamed(buffers.fed_buffer(stream, 10), "append")
+    return found.select("cohort", "version", F.round("weight", 6).alias("weight"), F.round("v", 6).alias("v"))
