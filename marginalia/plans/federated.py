@@ -25,8 +25,8 @@ def model_answers(spark, model, work: Sequence[Query]) -> DataFrame:
     return spark.createDataFrame(rows, "query_id string, cell bigint, m double")
 
 
-def flaim(df: DataFrame, client: str, domain: Domain, work: Sequence[Query], eps: float, delta: float, rounds: int, q: float, seed: int = 0, megabytes: float = 80.0, iterations: int = 100, final: int = 300, correct_skew: bool = True) -> Result:
-    """FLAIM: in each round a Poisson cohort of clients each chooses, privately, the query that the
+def local_aim(df: DataFrame, client: str, domain: Domain, work: Sequence[Query], eps: float, delta: float, rounds: int, q: float, seed: int = 0, megabytes: float = 80.0, iterations: int = 100, final: int = 300, correct_skew: bool = True) -> Result:
+    """AIM with local selection: in each round a Poisson cohort of clients each chooses, privately, the query that the
     server's model answers worst for its own rows, measures it with its share of the noise, and the
     server merges the measurements by query, weighted by rows, and fits its model again.
 
@@ -111,9 +111,9 @@ def flaim(df: DataFrame, client: str, domain: Domain, work: Sequence[Query], eps
             frame.unpersist()
 
 
-def flaim_start(df: DataFrame, client: str, domain: Domain, work: Sequence[Query], eps: float, delta: float, q: float, seed: int = 0) -> Result:
+def local_aim_start(df: DataFrame, client: str, domain: Domain, work: Sequence[Query], eps: float, delta: float, q: float, seed: int = 0) -> Result:
     """Only the first step: all budget on single attributes."""
-    return flaim(df, client, domain, work, eps, delta, 0, q, seed)
+    return local_aim(df, client, domain, work, eps, delta, 0, q, seed)
 
 
 def local_generators(df: DataFrame, client: str, domain: Domain, eps: float, seed: int = 0) -> DataFrame:

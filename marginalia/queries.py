@@ -1049,12 +1049,12 @@ def zipf_client_rows(spark, sf_dir):
     return tabular.zipf_clients(spark, 100, 50, 10, 2.0, 40, 1)
 
 
-@query("flaim_synthesis")
-def flaim_synthesis(spark, sf_dir):
-    """Rows from FLAIM over 25 clients."""
+@query("local_aim_synthesis")
+def local_aim_synthesis(spark, sf_dir):
+    """Rows from AIM with local selection over 25 clients."""
     from marginalia.plans import federated
 
-    return federated.flaim(client_rows(spark, sf_dir), "client", CLIENTS, workload.k_way(CLIENTS.attrs, 2), 5.0, 1e-6, 3, 0.6, seed=1).rows(spark, seed=1)
+    return federated.local_aim(client_rows(spark, sf_dir), "client", CLIENTS, workload.k_way(CLIENTS.attrs, 2), 5.0, 1e-6, 3, 0.6, seed=1).rows(spark, seed=1)
 
 
 @query("local_generators")

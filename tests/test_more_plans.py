@@ -67,12 +67,12 @@ def test_dual_query_spends_what_it_may(truth):
     assert abs((many[:, 0] == 1).mean() - truth["a",][1] / truth["a",].sum()) < 0.2
 
 
-def test_flaim_learns_and_keeps_its_budget(spark, table):
+def test_local_aim_learns_and_keeps_its_budget(spark, table):
     work = workload.k_way(D.attrs, 2)
-    made = federated.flaim(table, "client", D, work, 50.0, 1e-6, 3, 1.0, seed=2)
+    made = federated.local_aim(table, "client", D, work, 50.0, 1e-6, 3, 1.0, seed=2)
     assert made.ledger.spent <= made.ledger.rho * (1 + 1e-6)
     assert np.abs(made.model.project(("a",)).flat() / made.model.total - [0.7, 0.3]).max() < 0.05
-    start = federated.flaim_start(table, "client", D, work, 50.0, 1e-6, 1.0)
+    start = federated.local_aim_start(table, "client", D, work, 50.0, 1e-6, 1.0)
     assert not start.chosen
     assert federated.local_generators(table, "client", D, 5.0).count() == 3000
 
