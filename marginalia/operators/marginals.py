@@ -22,6 +22,7 @@ from marginalia.operators.workload import Query
 
 CHUNK = 31  # queries of one grouping-set plan
 DENSE_CELLS = 4_000_000  # 8 bytes each in every task
+ROWS = 1 << 16  # counted at once
 
 
 def name(query: Query) -> str:
@@ -67,6 +68,24 @@ def grouping_sets(df: DataFrame, domain: Domain, workload: Sequence[Query], by:
     return out
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of ROWS rows or a few more, however small the session's batches are."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= ROWS:
+            yield _columns(held)
+            held, n = [], 0
+    if n:
+        yield _columns(held)
+
+
+def _columns(batches: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
+    table = pa.Table.from_batches(batches)
+    return {c: table.column(c).to_numpy().astype(np.int64) for c in table.column_names}
+
+
 def dense(df: DataFrame, domain: Domain, workload: Sequence[Query], by: str | None = None, groups: int = 1) -> DataFrame:
     """(by, query_id, cell, cnt) by counting Arrow batches; ``by`` holds 0 to groups - 1."""
     used = domain.project(domain.canonical({a for q in workload for a in q}))
@@ -78,9 +97,8 @@ def dense(df: DataFrame, domain: Domain, workload: Sequence[Query], by: str | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(whole * groups, dtype=np.int64)
-        for batch in batches:
-            columns = {a: batch.column(a).to_numpy(zero_copy_only=False).astype(np.int64) for a in used.attrs}
-            base = batch.column(by).to_numpy(zero_copy_only=False).astype(np.int64) * whole if by else None
+        for columns in _gathered(batches):
+            base = columns[by] * whole if by else None
             for part, start, size in zip(parts, starts, sizes):
                 at = np.ravel_multi_index([columns[a] for a in part.attrs], part.shape)
                 if base is None:

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: list[str] = []  # tables of this process that clean() may delete
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir. Only where it has none, as in tests on one machine, is a
@@ -25,5 +27,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     rows are fixed, and a lost executor costs no recomputation of what came before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes the tables that written() has made so far and returns how many; to be called when no
+    DataFrame made with them is needed any more, as between the jobs of a long-lived session."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        done += bool(path.getFileSystem(conf).delete(path, True))
+    return done

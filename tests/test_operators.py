@@ -163,3 +163,17 @@ def test_row_ids_of_equal_rows(spark):
 def test_discretise_edges(spark):
     frame = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (None, 5.0), (9.0, 5.0)], "x double, y double")
     assert [(r.x, r.y) for r in encode.discretise(frame, {"x": 4, "y": 3}).collect()] == [(0, 0), (0, 0), (None, 0), (3, 0)]
+
+
+def test_written_tables_can_be_cleaned(spark):
+    from marginalia import storage
+
+    frame = storage.written(spark.range(5), "five")
+    assert frame.count() == 5 and frame.inputFiles()
+    assert storage.clean(spark) >= 1 and storage.clean(spark) == 0
+
+
+def test_counting_in_parts_of_batches(spark, monkeypatch):
+    monkeypatch.setattr(marginals, "ROWS", 3)
+    df = spark.range(50).select((F.col("id") % 2).cast("int").alias("a"))
+    assert {r.cell: r.cnt for r in marginals.dense(df, Domain.of({"a": 2}), [("a",)]).collect()} == {0: 25, 1: 25}
