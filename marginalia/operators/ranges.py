@@ -147,3 +147,23 @@ def tree_noise_nodes(steps: Sequence[int]) -> list[tuple[int, int, int]]:
                 out.append((t, level, at >> level))
                 at += 1 << level
     return out
+
+
+def prefix_marginal(counts: DataFrame, attrs: Sequence[str], along: Sequence[str]) -> DataFrame:
+    """Counts (attrs..., cnt) of all cells of a marginal, summed up along some of the attributes: the
+    Kronecker product of prefixes on those and identities on the others."""
+    for a in along:
+        w = Window.partitionBy(*(b for b in attrs if b != a)).orderBy(a).rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("cnt", F.sum("cnt").over(w))
+    return counts.select(*attrs, "cnt")
+
+
+def random_boxes(spark, shape: Sequence[int], n: int, seed: str | int) -> DataFrame:
+    """(box, low0, high0, low1, high1, ...): ``n`` boxes with corners drawn uniformly."""
+    from marginalia.functions.rng import keyed_uniform
+
+    out = spark.range(n).withColumnRenamed("id", "box")
+    for k, size in enumerate(shape):
+        a, b = (F.floor(keyed_uniform(f"{seed}{side}{k}", "box") * size).cast("int") for side in "ab")
+        out = out.withColumns({f"low{k}": F.least(a, b), f"high{k}": F.greatest(a, b)})
+    return out

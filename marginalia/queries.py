@@ -1258,3 +1258,19 @@ def streaming_fed_buffer(spark, sf_dir):
     stream = event_stream(spark, sf_dir).select("event_id", (F.col("user_id") % 4).cast("int").alias("cohort"), (start + 60 + 600 * F.abs("value")).alias("end_time"), (1.0 + F.col("user_id") % 3).alias("weight"), F.col("value").alias("v"))
     found = streamed(buffers.fed_buffer(stream, 10), "append")
     return found.select("cohort", "version", F.round("weight", 6).alias("weight"), F.round("v", 6).alias("v"))
+
+
+@query("prefix_marginal", f"WITH {ITEMS_SQL}, m AS (SELECT a.range AS rf, b.range AS qb, c.range AS mo FROM range(3) a, range(8) b, range(12) c) SELECT CAST(m.rf AS INTEGER) AS rf, CAST(m.qb AS INTEGER) AS qb, CAST(m.mo AS INTEGER) AS mo, count(e.rf) AS cnt FROM m LEFT JOIN enc e ON e.rf = m.rf AND e.qb <= m.qb AND e.mo <= m.mo GROUP BY ALL")
+def prefix_marginal(spark, sf_dir):
+    """A three-way marginal with prefix sums along two attributes."""
+    from marginalia.functions.cells import coordinates
+
+    work = [("rf", "qb", "mo")]
+    full = marginals.zero_filled(marginals.dense(items(spark, sf_dir), ITEMS, work), ITEMS, work)
+    placed = full.select(*coordinates("cell", ["rf", "qb", "mo"], [3, 8, 12]), "cnt")
+    return ranges.prefix_marginal(placed, ["rf", "qb", "mo"], ["qb", "mo"])
+
+
+@query("random_boxes", "SELECT CAST(range AS BIGINT) AS box, " + ", ".join(f"CAST(least(floor({uniform_sql(f'3a{k}', 'range')} * {n}), floor({uniform_sql(f'3b{k}', 'range')} * {n})) AS INTEGER) AS low{k}, CAST(greatest(floor({uniform_sql(f'3a{k}', 'range')} * {n}), floor({uniform_sql(f'3b{k}', 'range')} * {n})) AS INTEGER) AS high{k}" for k, n in enumerate((64, 32))) + " FROM range(200)")
+def random_boxes(spark, sf_dir):
+    return ranges.random_boxes(spark, (64, 32), 200, 3)

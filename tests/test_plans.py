@@ -265,3 +265,11 @@ def test_sweep(spark, tmp_path):
     assert sweep.flattened({"a": {"b": 1, "c": {"d": 2}}, "e": 3}) == {"a.b": 1, "a.c.d": 2, "e": 3}
     tasks.coalesce(1).write.option("header", True).csv(str(tmp_path / "out"))
     assert sweep.merged_results(spark, str(tmp_path / "out")).count() == 4
+
+
+def test_marginal_gram_algebra():
+    shape, rng = (2, 3), np.random.default_rng(3)
+    a, b = rng.random(4), rng.random(4)
+    product = inference.marginal_gram_product(shape, a**2, b**2)
+    assert np.allclose(inference.marginal_gram(shape, a) @ inference.marginal_gram(shape, b), inference.marginal_gram(shape, np.sqrt(product)))
+    assert inference.all_norm_k(4, [1, 2]).shape == (10, 4)
