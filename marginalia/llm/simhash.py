@@ -99,8 +99,10 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     ``distance`` bits, or fewer that connect the same nodes."""
     masks = [sum(0xFF << 8 * p for p in chosen) for chosen in combinations(range(8), 8 - distance)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    # a row becomes 28 entries (at distance 2), so the few rows of a partition are spread out first
+    spread = distinct.repartition(max(1, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "fp")
     entries = (
-        distinct.select("fp", "node", F.explode(F.array([F.struct(F.lit(k).cast("tinyint").alias("positions"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bytes")) for k, m in enumerate(signed)])).alias("entry"))
+        spread.select("fp", "node", F.explode(F.array([F.struct(F.lit(k).cast("tinyint").alias("positions"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bytes")) for k, m in enumerate(signed)])).alias("entry"))
         .groupBy("entry.positions", "entry.bytes")
         .agg(F.collect_list(F.struct("fp", "node")).alias("listed"))
         .where(F.size("listed") > 1)
