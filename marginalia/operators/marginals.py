@@ -100,7 +100,9 @@ def dense(df: DataFrame, domain: Domain, workload: Sequence[Query], by: str | No
         for columns in _gathered(batches):
             base = columns[by] * whole if by else None
             for part, start, size in zip(parts, starts, sizes):
-                at = np.ravel_multi_index([columns[a] for a in part.attrs], part.shape)
+                at = columns[part.attrs[0]]
+                for a, n in zip(part.attrs[1:], part.shape[1:]):
+                    at = at * n + columns[a]
                 if base is None:
                     total[start : start + size] += np.bincount(at, minlength=size)
                 else:
