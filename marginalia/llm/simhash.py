@@ -148,12 +148,17 @@ def groups(docs: DataFrame, words: int = 3, seed: int = 42, distance: int = 2, k
     return found.join(grouped.select("fp", "group").join(names, "group"), "fp")
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
+def deduplicate(docs: DataFrame, grouped=groups, **options) -> DataFrame:
     """The rows and columns of ``docs`` with one document of each near-duplicate group: that with the
     group's smallest doc_id, or where several of its texts share that, with the least hash. Rows that
-    repeat a document are one; a document without an id stays only if its whole group has none."""
+    repeat a document are one; a document without an id stays only if its whole group has none.
+    Groups are those of ``grouped``. Texts stay where they are but for rows that repeat a document, as
+    long as the keys of what leaves are few enough to be sent to every task."""
     keyed = docs.withColumns({"_key": F.coalesce("doc_id", F.lit(-(1 << 63))), "_hash": F.xxhash64("text")})
-    found = groups(keyed, keep=("doc_id", "_key", "_hash"), **options)
-    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "_key", "_hash")).alias("f")).select("f._key", "f._hash")
-    kept = keyed.join(first, ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"])
-    return kept.select(docs.columns)
+    found = grouped(keyed, keep=("doc_id", "_key", "_hash"), **options)
+    times = found.groupBy("group", "_key", "_hash").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "_key", "_hash")).alias("o"))
+    least = times.groupBy("group").agg(F.min("o").alias("f"))
+    leaving = written(times.join(least, "group").where("o != f OR n > 1").select("_key", "_hash", (F.col("o") == F.col("f")).alias("_stays")), "leaving")
+    once = keyed.join(leaving, ["_key", "_hash"], "left_anti")
+    repeated = keyed.join(leaving.where("_stays"), ["_key", "_hash"], "left_semi").dropDuplicates(["_key", "_hash"])
+    return once.union(repeated).select(docs.columns)
