@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import small_batches, written
 
-CLASSES, OWN = 96, 60  # OWN: the end and the most frequent words
+CLASSES, OWN = 128, 80  # OWN: the end and the most frequent words
 END = b""  # no word is empty
 HEAD = 1 << 16  # words, at most, whose counts every task has; all other words meet their counts in a join
 _FLUSH = 200_000  # distinct words that a task holds before it passes their counts on
@@ -132,7 +132,7 @@ class LogBilinear:
             "far": np.eye(size) * 0.5, "near": np.eye(size), "bias": np.zeros(CLASSES),
         }
 
-    def train(self, trigrams: np.ndarray, counts: np.ndarray, steps: int = 2000, batch: int = 512, noise: int = 12, rate: float = 0.02) -> None:
+    def train(self, trigrams: np.ndarray, counts: np.ndarray, steps: int = 2500, batch: int = 1024, noise: int = 16, rate: float = 0.02) -> None:
         """Noise-contrastive estimation: tells drawn trigrams from the same contexts with classes drawn
         from the unigram distribution. Batches are drawn by the counts, all of them."""
         if not len(trigrams):
@@ -184,7 +184,7 @@ class LogBilinear:
 # -- scoring ---------------------------------------------------------------------------------
 
 
-def score(docs: DataFrame, folds: int = 10, head: int = HEAD, steps: int = 2000) -> DataFrame:
+def score(docs: DataFrame, folds: int = 10, head: int = HEAD, steps: int = 2500) -> DataFrame:
     """Scores every document by a model of those whose crc32(doc_id as text) mod ``folds`` isn't 0.
 
     ``docs`` has doc_id and text; other columns are not read. Returns doc_id, held_out, n_tokens,
@@ -202,9 +202,11 @@ def score(docs: DataFrame, folds: int = 10, head: int = HEAD, steps: int = 2000)
     top = frequent(counts, head)
     known = Classes(top or [(END, 0)])
     shared = spark.sparkContext.broadcast(known)
-    sums = trigram_counts(training, shared).toPandas().sort_values("trigram")
+    sums = trigram_counts(training, shared).toArrow()  # CLASSES**3 rows at most
+    trigrams, times = (sums.column(c).to_numpy() for c in ("trigram", "c"))
+    order = np.argsort(trigrams)
     network = LogBilinear()
-    network.train(sums["trigram"].to_numpy(), sums["c"].to_numpy(dtype=np.float64), steps=steps)
+    network.train(trigrams[order], times[order].astype(np.float64), steps=steps)
 
     def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n, v = shared.value, np.zeros(CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)

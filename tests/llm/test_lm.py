@@ -1,3 +1,4 @@
+import inspect
 import math
 import re
 import zlib
@@ -62,3 +63,9 @@ def test_frame_edges(spark):
     assert lm.score(frame.limit(0), steps=5).count() == 0
     alone = lm.score(frame.where("doc_id = 4"), steps=5, folds=1).collect()
     assert alone[0].n_known == 0 and alone[0].train_tokens == 0 and alone[0].held_out
+
+
+def test_sizes_of_the_network():
+    train = inspect.signature(lm.LogBilinear.train).parameters
+    assert (lm.CLASSES, lm.OWN) == (128, 80)
+    assert [train[k].default for k in ("steps", "batch", "noise")] == [2500, 1024, 16]
