@@ -4,8 +4,8 @@ Words fall into CLASSES classes: the end of a text and the most frequent words h
 share the rest by their last two bytes. The network predicts a word's class from the two classes before
 it; the word's share of its class comes from the corpus counts. So the probabilities of all words, known
 or not, sum to 1 for every context. Counts of words and of class trigrams are taken over all training
-texts and summed in the cluster; the network sees all of them, as there are CLASSES**3 trigrams at most,
-however large the corpus. After training, one batched matrix product a context gives the normalised
+texts and summed in the cluster; the network goes through all counted trigrams, weighted by their counts,
+in every epoch. The steps follow the number of distinct trigrams, CLASSES**3 at most. After training, one batched matrix product a context gives the normalised
 log-probabilities of all classes for all contexts, and scoring looks them up.
 """
 
@@ -120,6 +120,14 @@ def trigram_counts(docs: DataFrame, classes) -> DataFrame:
 # -- the network -----------------------------------------------------------------------------
 
 
+def turns(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often an epoch takes each trigram, once at least, and the weight of each time, 1 at most; the
+    products are in proportion to the counts."""
+    wanted = counts / counts.mean()
+    times = np.ceil(wanted).astype(np.int64)
+    return times, wanted / times
+
+
 class LogBilinear:
     """Scores of a class after two others: target . (A far + B near) + bias, with learned vectors."""
 
@@ -132,9 +140,10 @@ class LogBilinear:
             "far": np.eye(size) * 0.5, "near": np.eye(size), "bias": np.zeros(CLASSES),
         }
 
-    def train(self, trigrams: np.ndarray, counts: np.ndarray, steps: int = 2500, batch: int = 1024, noise: int = 16, rate: float = 0.02) -> None:
-        """Noise-contrastive estimation: tells drawn trigrams from the same contexts with classes drawn
-        from the unigram distribution. Batches are drawn by the counts, all of them."""
+    def train(self, trigrams: np.ndarray, counts: np.ndarray, steps: int = 2500, batch: int = 1024, noise: int = 16, rate: float = 0.02, epochs: int = 2) -> None:
+        """Noise-contrastive estimation: tells trigrams from the same contexts with classes drawn from
+        the unigram distribution. Every epoch takes all trigrams in a new order, a frequent one several
+        times, so that each weighs as much as its count; there are ``epochs`` and ``steps`` at least."""
         if not len(trigrams):
             return
         rng, p = self.rng, self.p
@@ -142,12 +151,20 @@ class LogBilinear:
         share /= share.sum()
         log_noise = np.log(noise * share)
         p["bias"] = np.log(share)
-        draw, draw_noise = np.cumsum(counts) / counts.sum(), np.cumsum(share)
+        draw_noise = np.cumsum(share)
+        times, weight = turns(counts)
+        examples = np.repeat(np.arange(len(trigrams), dtype=np.int32), times)
+        an_epoch = -(-len(examples) // batch)
+        steps = an_epoch * max(epochs, -(-steps // an_epoch))
         mean, square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
         for step in range(1, steps + 1):
-            picked = trigrams[np.minimum(np.searchsorted(draw, rng.random(batch)), len(draw) - 1)]
+            at = (step - 1) % an_epoch * batch
+            if not at:
+                rng.shuffle(examples)
+            own = examples[at : at + batch]
+            picked, weights = trigrams[own], weight[own]
             a, b, true = picked // CLASSES**2, picked // CLASSES % CLASSES, picked % CLASSES
-            others = np.minimum(np.searchsorted(draw_noise, rng.random((batch, noise))), CLASSES - 1)
+            others = np.minimum(np.searchsorted(draw_noise, rng.random((len(own), noise))), CLASSES - 1)
             w = np.concatenate([true[:, None], others], axis=1)
             ra, rb = p["seen"][a], p["seen"][b]
             h = ra @ p["far"] + rb @ p["near"]
@@ -155,7 +172,7 @@ class LogBilinear:
             logit = np.einsum("bkd,bd->bk", q, h) + p["bias"][w] - log_noise[w]
             slope = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             slope[:, 0] -= 1
-            slope /= batch
+            slope *= weights[:, None] / weights.sum()
             dh = np.einsum("bk,bkd->bd", slope, q)
             grad = {k: np.zeros_like(v) for k, v in p.items()}
             np.add.at(grad["target"], w.ravel(), (slope[:, :, None] * h[:, None, :]).reshape(-1, h.shape[1]))

@@ -69,3 +69,20 @@ def test_sizes_of_the_network():
     train = inspect.signature(lm.LogBilinear.train).parameters
     assert (lm.CLASSES, lm.OWN) == (128, 80)
     assert [train[k].default for k in ("steps", "batch", "noise")] == [2500, 1024, 16]
+
+
+def test_every_epoch_takes_all_trigrams_by_their_counts():
+    counts = np.array([1.0, 1, 2, 500, 3, 40_000] * 50)
+    times, weight = lm.turns(counts)
+    assert times.min() >= 1 and weight.max() <= 1 and np.allclose(times * weight, counts / counts.mean())
+    network, seen = lm.LogBilinear(), Counter()
+    trigrams = np.arange(len(counts)) * 7 + 3
+
+    class Seen(np.ndarray):
+        def __getitem__(self, k):
+            out = np.asarray(super().__getitem__(k))
+            seen.update(out.ravel().tolist())
+            return out
+
+    network.train(trigrams.view(Seen), counts, steps=1, batch=16)
+    assert {t: n for t, n in seen.items()} == {int(t): 2 * int(n) for t, n in zip(trigrams, times)}
