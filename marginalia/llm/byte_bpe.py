@@ -19,12 +19,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from marginalia.llm.common import small_batches
+from marginalia.llm.common import slices
 
 _FREE = np.int32(2**31 - 1)  # a leaf or node without a pair
 _SHIFT = 20  # bits of a token id in a pair's key
 _SIDE = 64  # pieces of up to so many bytes go side by side
 _KEEP = 300_000  # pieces that a worker remembers
+_KEEP_CHARS = 64  # of a piece that is remembered
 
 
 class ByteBpe:
@@ -209,9 +210,9 @@ class ByteBpe:
         known = self.known
         split = [self.find(t) for t in texts]
         missing = {p for pieces in split for p in pieces if p not in known}
-        if missing:
-            known.update(self.encode_pieces(missing))
-        return [b"".join([known[p] for p in pieces]) for pieces in split]
+        fresh = self.encode_pieces(missing) if missing else {}
+        known.update((p, ids) for p, ids in fresh.items() if len(p) <= _KEEP_CHARS)
+        return [b"".join([known.get(p) or fresh[p] for p in pieces]) for pieces in split]
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_batch([text])[0], dtype="<u4").tolist()
@@ -238,7 +239,6 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     Texts of any length go through whole; repeated rows each get their own result; an empty table
     gives an empty table. One pass without a shuffle; a worker holds a batch and a bounded memo.
     """
-    small_batches(docs.sparkSession)
     new = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
     rest = [c for c in docs.columns if c not in new and c != "ids"]
     docs = docs.select(rest)
@@ -246,7 +246,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = bpe.encode_batch([t or "" for t in batch.column(text).to_pylist()])
             arrays, names = list(batch.columns), list(batch.schema.names)
             if with_ids:

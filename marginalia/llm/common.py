@@ -1,26 +1,51 @@
-"""What the text operators share: shared storage, lineage cuts, connected components."""
+"""What the text operators share: shared storage, lineage cuts, batches, names, connected components."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.storage import shared_dir, written
 
-__all__ = ["BATCH_ROWS", "components", "shared_dir", "small_batches", "written"]
+__all__ = ["components", "free", "roots", "shared_dir", "slices", "written"]
+
+#: Rows that a task turns into Python objects at once, and bytes; Arrow batches are bounded in bytes by Spark itself.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+
 
-#: Rows of an Arrow batch; texts of 100 KB then make a batch of some 50 MB at most.
-BATCH_ROWS = 512
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most BATCH_ROWS rows, and about BATCH_BYTES bytes or a single row."""
+    for batch in batches:
+        each = max(1, BATCH_BYTES * batch.num_rows // max(1, batch.nbytes))
+        size = min(BATCH_ROWS, each)
+        for k in range(0, batch.num_rows, size):
+            yield batch.slice(k, size)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of Arrow batches, so that long texts fit in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def free(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores before it until it is none of ``taken`` (in any case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
 
 
-def _mark(df: DataFrame) -> tuple[int, int]:
-    row = df.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo") % F.lit(1 << 30))).first()
-    return row[0], row[1] or 0
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of the numbers below n that links (a, b) lead each of them to."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[a], root[b])
+        was = root.copy()
+        np.minimum.at(root, a, least)
+        np.minimum.at(root, b, least)
+        np.minimum.at(root, was, root)
+        root = root[root]
+        if (root == was).all():
+            return root
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -30,14 +55,15 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps: each keeps one link a node at most in the end,
     needs equi-joins and min() only, and takes a number of rounds logarithmic in the longest path.
     Minima are combined before the shuffle; adaptive execution splits joins at hot nodes. Each
-    round is written to the shared folder. Nothing but a count and a checksum reaches the driver.
+    round is written to the shared folder. The rounds end when one has changed no link: as many are
+    left, and none is new. Nothing but that number reaches the driver.
     """
     a, b = links.columns
     links = links.where(F.col(a) != F.col(b))
     now = written(links.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct(), "links")
-    mark = _mark(now)
+    left = now.count()
     for _ in range(rounds):
-        if not mark[0]:
+        if not left:
             break
         both = now.select(F.col("hi").alias("x"), F.col("lo").alias("y")).union(now.select(F.col("lo").alias("x"), F.col("hi").alias("y")))
         least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
@@ -45,8 +71,9 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         least2 = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least2, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         after = written(small.union(least2.select("hi", F.col("m").alias("lo"))).distinct(), "links")
-        was, mark, now = mark, _mark(after), after
-        if was == mark:
+        was, left = left, after.count()
+        before, now = now, after
+        if was == left and after.join(before, ["hi", "lo"], "left_anti").isEmpty():
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

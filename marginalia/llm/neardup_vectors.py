@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import components, written
+from marginalia.llm.common import components, roots, written
 
 BLOCK = 2048  # points of a block
 _SLACK = 1e-6  # distances are rounded; bounds that are closer than this decide nothing
@@ -77,20 +77,6 @@ class CoverTree:
         return self.order[self.start[node] : self.stop[node]]
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest point that links (a, b) lead each of n points to."""
-    root = np.arange(n)
-    while True:
-        least = np.minimum(root[a], root[b])
-        was = root.copy()
-        np.minimum.at(root, a, least)
-        np.minimum.at(root, b, least)
-        np.minimum.at(root, was, root)
-        root = root[root]
-        if (root == was).all():
-            return root
-
-
 def link(left: np.ndarray, left_weight: np.ndarray, right: np.ndarray | None, right_weight: np.ndarray | None, cosine: float):
     """Links of unit vectors with a cosine of ``cosine`` or more, between two blocks or within one
     (right is None). Returns per point of both blocks, left first, the weight linked to it and the
@@ -160,7 +146,7 @@ def link(left: np.ndarray, left_weight: np.ndarray, right: np.ndarray | None, ri
             else:
                 stack.append((u, v))
     ends = [np.concatenate([e[k] for e in edges]) if edges else np.zeros(0, dtype=np.int64) for k in (0, 1)]
-    return total, _roots(len(weight), *ends)
+    return total, roots(len(weight), *ends)
 
 
 def _units(column) -> np.ndarray:

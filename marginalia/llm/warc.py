@@ -21,7 +21,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import shared_dir, small_batches, written
+from marginalia.llm.common import shared_dir, slices, written
 
 _ID, _URL, _HTML = "page_id", "url", "html"
 _LEAST_ID = -(1 << 63)  # stands for a null id where ids are compared
@@ -161,7 +161,6 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 100, file_bytes: int
     empty table gives an empty manifest.
     """
     spark = pages.sparkSession
-    small_batches(spark)
     store, root = open_store(folder)
     store.create_dir(f"{root}/_temporary", recursive=True)
     base = pages.select(_ID, _URL, F.coalesce(_HTML, F.lit("")).alias("payload"), F.coalesce(_ID, F.lit(_LEAST_ID)).alias("pid"))
@@ -180,7 +179,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 100, file_bytes: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, done = None, []
         before, refers = None, None
-        for batch in batches:
+        for batch in slices(batches):
             for row in batch.to_pylist():
                 own, same = (row["pid"], row["digest"]), (row["pid"], row["digest"]) == before
                 before = own

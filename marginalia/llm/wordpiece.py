@@ -15,10 +15,11 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from marginalia.llm.common import small_batches
+from marginalia.llm.common import slices
 from marginalia.llm.packing import _byte_of_char
 
 _KEEP = 400_000  # words whose counts a worker remembers
+_KEEP_BYTES = 64  # of a word that is remembered
 _START, _INSIDE = 0, 1  # roots of the pieces that begin a word and of those that continue one
 
 
@@ -85,9 +86,9 @@ class Automaton:
         known = self.known
         if len(known) > _KEEP:
             known.clear()
-        for word in {w for w in words if w not in known}:
-            known[word] = self.count(word)
-        return [known[w] for w in words]
+        fresh = {w: self.count(w) for w in words if w not in known}
+        known.update((w, n) for w, n in fresh.items() if len(w) <= _KEEP_BYTES)
+        return [known[w] if w in known else fresh[w] for w in words]
 
 
 @lru_cache(maxsize=2)
@@ -106,7 +107,6 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     whole text: words end at white space (x20, x09-x0D), each is matched greedily, longest piece first,
     and one that fails counts as one unknown token. Null and empty texts have none of each. Rows are
     counted one by one, so repeated rows and null ids make no difference; an empty table gives no rows."""
-    small_batches(docs.sparkSession)
     new = ["n_words", "n_tokens", "n_unknown"]
     docs = docs.select([c for c in docs.columns if c not in new])
     names = docs.columns
@@ -115,7 +115,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = load(path)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for t in batch.column(place).to_pylist():
                 pieces = automaton.counts((t or "").encode("utf-8", "surrogatepass").split())
