@@ -23,10 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm import byte_bpe
-from marginalia.llm.common import small_batches, written
-
-_LONG_TEXT = 200_000  # characters; the library's own merging is quadratic in one long piece
+from marginalia.llm.common import slices, written
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -40,21 +37,14 @@ def _byte_of_char() -> dict[str, int]:
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str):
     """texts -> list of id lists, equal to ``tokenizers`` with this byte-level BPE file and
-    add_special_tokens=False (special tokens written out in a text count as such there too)."""
+    add_special_tokens=False (special tokens written out in a text count as such there too). The
+    library's merging takes n log n steps for a piece of n bytes, so texts of any length go the same way."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     chars, special = _byte_of_char(), {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    fast = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    slow = byte_bpe.ByteBpe(ranks, pattern)
-
-    def encode(texts: list[str]) -> list[list[int]]:
-        return [
-            fast.encode(t, allowed_special="all") if len(t) < _LONG_TEXT or any(s in t for s in special) else slow.encode(t)
-            for t in texts
-        ]
-
-    return encode
+    library = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    return lambda texts: [library.encode(t, allowed_special="all") for t in texts]
 
 
 def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -138,14 +128,13 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarray,
 def cut(docs: DataFrame, path: str, pattern: str, capacity: int = 2048, end: int = 0, with_ids: bool = False) -> DataFrame:
     """One row per piece of each document: doc_id, piece, start, length, ids_crc32, and ids if asked
     for, then part and number, which tell the pieces of one length apart."""
-    small_batches(docs.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "number"] + ["ids"] * with_ids
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, number bigint" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(path, pattern), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64).tolist()
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode([t or "" for t in batch.column("text").to_pylist()])):
                 ids.append(end)
