@@ -4,7 +4,8 @@ Each paragraph is hashed to a wide vector; a document's fingerprint is the sum o
 vectors, each lane modulo 2**32. So the order of paragraphs doesn't matter, and the fingerprint of a
 document with a paragraph more or less follows by adding or subtracting that paragraph's vector.
 
-The lanes, 73 of 32 bits: EQUAL lanes hold independent hashes of the whole paragraph and decide
+The lanes, 73 of 32 bits: EQUAL lanes hold hashes of the whole paragraph, each pair under a seed of its
+own (the paragraph is hashed after the seed, so no two pairs are functions of one another), and decide
 equality; one lane counts shingles; ALIKE lanes hold, for each bit of a 64-bit hash, in how many of the
 paragraph's three-word shingles it is set. Twice an ALIKE lane less the count is a sum of random signs,
 one per shingle, so the normalised product of two fingerprints estimates how many shingles their
@@ -31,7 +32,7 @@ def lanes(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     keys must have equal texts, and copies tells how many they are. No shuffle if the rows of a key
     are together already; otherwise one, of a row per key and task."""
     paragraph = texts.select(*keys, F.posexplode(F.split(text, "\n")).alias("_p", "_paragraph"))
-    words = paragraph.select(*keys, "_p", *(F.xxhash64("_paragraph", F.lit(k)).alias(f"_e{k}") for k in range(EQUAL // 2)), F.split("_paragraph", " ").alias("_w"))
+    words = paragraph.select(*keys, "_p", *(F.xxhash64(F.lit(k), "_paragraph").alias(f"_e{k}") for k in range(EQUAL // 2)), F.split("_paragraph", " ").alias("_w"))
     zipped = F.arrays_zip(F.col("_w").alias("a"), F.slice("_w", 2, F.size("_w")).alias("b"), F.slice("_w", 3, F.size("_w")).alias("c"))
     shingles = words.select(*keys, "_p", *(f"_e{k}" for k in range(EQUAL // 2)), F.posexplode(zipped).alias("_s", "_t"))
     hashed = shingles.select(*keys, "_p", "_s", *(f"_e{k}" for k in range(EQUAL // 2)), F.xxhash64("_t.a", "_t.b", "_t.c").alias("_h"))

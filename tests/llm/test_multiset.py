@@ -1,5 +1,9 @@
 import hashlib
+import math
+import struct
 
+import numpy as np
+import xxhash
 from marginalia.llm import multiset, queries
 from pyspark.sql import functions as F
 
@@ -14,6 +18,55 @@ def edited(texts):
     return out
 
 
+def lanes_of(text):
+    """The lanes of a text, one paragraph and one shingle at a time."""
+    out = np.zeros(multiset.LANES, dtype=object)
+    for paragraph in (text or "").split("\n"):
+        for k in range(multiset.EQUAL // 2):
+            h = xxhash.xxh64_intdigest(paragraph.encode(), xxhash.xxh64_intdigest(struct.pack("<i", k), 42))
+            out[2 * k] += h & 0xFFFFFFFF
+            out[2 * k + 1] += h >> 32
+        words = paragraph.split(" ")
+        for k in range(len(words)):
+            h = 42
+            for w in words[k : k + 3]:
+                h = xxhash.xxh64_intdigest(w.encode(), h)
+            out[multiset.EQUAL] += 1
+            for b in range(64):
+                out[multiset.EQUAL + 1 + b] += h >> b & 1
+    return [int(x) % 2**32 for x in out]
+
+
+def likeness_of(a, b):
+    if a == b:
+        return 1.0
+    x, y = (np.array(v[multiset.EQUAL + 1 :], dtype=float) * 2 - v[multiset.EQUAL] for v in (a, b))
+    norm = math.sqrt((x * x).sum()) * math.sqrt((y * y).sum())
+    return min(1.0, max(0.0, (x * y).sum() / norm)) if norm else 0.0
+
+
+def test_query_equals_brute_force(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    other, order = edited(texts), sorted(texts)
+    own, changed = ({i: lanes_of(t[i]) for i in order} for t in (texts, other))
+    as_hex = lambda v: "".join(f"{x:08x}" for x in v)
+    for r in queries.QUERIES["op6_multiset"](spark, sf).collect():
+        following = order[(order.index(r.doc_id) + 1) % len(order)]
+        assert r.fingerprint == as_hex(own[r.doc_id]) and r.edited_fingerprint == as_hex(changed[r.doc_id])
+        assert math.isclose(r.near_edited, likeness_of(own[r.doc_id], changed[r.doc_id]), abs_tol=1e-9)
+        assert math.isclose(r.near_next, likeness_of(own[r.doc_id], own[following]), abs_tol=1e-9)
+
+
+def test_equal_lanes_do_not_follow_from_one_another(spark):
+    """The pairs of lanes are hashes under different seeds, not functions of one hash of the paragraph."""
+    seeds = {xxhash.xxh64_intdigest(struct.pack("<i", k), 42) for k in range(multiset.EQUAL // 2)}
+    assert len(seeds) == multiset.EQUAL // 2
+    (row,) = prints(spark, ["one paragraph"])
+    assert row[: multiset.EQUAL] == lanes_of("one paragraph")[: multiset.EQUAL]
+    h = xxhash.xxh64_intdigest(b"one paragraph", 42)  # what all lanes would follow from if the paragraph came first
+    assert row[0] != xxhash.xxh64_intdigest(struct.pack("<i", 0), h) & 0xFFFFFFFF
+
+
 def test_query(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     want = edited(texts)
