@@ -1,10 +1,10 @@
 """Secret scans: fixed patterns, and a lexer that reads assignments.
 
-The lexer reads ``name = literal`` in the forms that source code and configuration share (``=``,
-``:=``, ``=>``, ``:``, quoted keys, type annotations, XML elements) and keeps them as pairs of a name
-and a literal. A bare identifier on the right stands for the literal that it was last given, so
-constants propagate through chains of names. A literal is scored by how sensitive the words of its
-target names are and by how little it looks like a word or a placeholder.
+The lexer reads the assignments that source code and configuration share as pairs of a name and pieces
+of a value (see pairs). A name on the right stands for the literals that it was last given, so constants
+propagate through chains of names and through joined strings. A literal is scored by how sensitive the
+words of its target names, and of the keys above them, are, and by how little it looks like a word or a
+placeholder.
 """
 
 from __future__ import annotations
@@ -12,13 +12,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import small_batches
+from marginalia.llm.common import slices
 
 #: Kinds of spans in their order; the first three are the base.
 KINDS = ("assign", "access", "hex", "literal")
@@ -27,12 +28,24 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")  # a run of 24 or more; shorter runs would fail and be dropped
 
-_RIGHT = re.compile(r"""(?::=|=>|=|:)[ \t]*(?:"([^"\n]+)"|'([^'\n]+)'|`([^`\n]+)`|([A-Za-z0-9_$+/.-][^\s"'`,;(){}\[\]<>]*))""")
-_LEFT = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]*)["'\]]*[ \t]*(?::[ \t]*[A-Za-z_][A-Za-z0-9_.\[\]]*[ \t]*)?$""")
+# name, closers, perhaps a type, sign; or a brace. Possessive, and a name begins where none goes on, so linear.
+_PAIR = re.compile(r"""(?<![A-Za-z0-9_$.-])([A-Za-z0-9_$.-]++)["'`\])]*+[ \t]*+(?::[ \t]*+[A-Za-z_&][A-Za-z0-9_.\[\]<>|?*,]*+[ \t]*+(?==[^=>]))?(:=|=>|==|::|=|:(?!//))|([{}])""")
+_STRING = re.compile(
+    r"""[A-Za-z@$]{0,2}(?:\"{3}((?:[^"\\]|\\.|"(?!""))*+)\"{3}|'{3}((?:[^'\\]|\\.|'(?!''))*+)'{3}|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`((?:[^`\\]|\\.)*+)`)""", re.DOTALL
+)
+_BARE = re.compile(r"""[A-Za-z0-9_$+/.~-][^\s"'`,;(){}\[\]<>]*+""")
+_BLANKS = re.compile(r"[ \t]*+(?:\\\r?\n[ \t]*+)*+")  # and lines that a backslash continues
+_SPACE = re.compile(r"\s*+")
+_NEXT_LINE = re.compile(r"[ \t]*+\r?\n[ \t]*+(?=[A-Za-z@$]{0,2}[\"'`])")  # a string follows there
+_PLUS = re.compile(r"(?:\+|&|\.\.?)(?!=)\s*+")
+_BLOCK = re.compile(r"[|>][+0-9-]*+[ \t]*+(?:#[^\n]*+)?\r?\n")
+_LINE = re.compile(r"([ \t]*+)([^\n]*+)(?:\n|\Z)")
+_SIGN = re.compile(r"[ \t]*+(?::=|=(?![=>]))")
+_KEY_SIGN = re.compile(r"[ \t]*+[:=]")
 _ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.-]*)>([^<>\n]+)</\1>")
-_NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.]*\Z")
+_NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$]*\Z")
+_ABOVE = 0.8  # of what a name counts for, for the keys above it
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
-_LEFT_CHARS = 120  # of a name and its annotation
 
 # How sensitive a word of a name is, and what stands where a secret is left out.
 SENSITIVE = {
@@ -43,9 +56,15 @@ SENSITIVE = {
 PLACEHOLDERS = ("example", "changeme", "placeholder", "your", "dummy", "redacted", "xxxx", "****", "${", "{{", "none", "null", "true", "false")
 
 
-def name_score(name: str) -> float:
-    """From 0 to 1, by the words of a name in snake, kebab, dotted or camel case."""
-    return min(1.0, sum({w: SENSITIVE.get(w, 0.0) for w in (x.lower() for x in _WORD.findall(name))}.values()))
+def sensitive_words(name: str) -> frozenset[str]:
+    """The sensitive words of a name in snake, kebab, dotted or camel case."""
+    return frozenset(w for w in (x.lower() for x in _WORD.findall(name)) if w in SENSITIVE)
+
+
+def name_score(own: frozenset[str], above: frozenset[str] = frozenset()) -> float:
+    """From 0 to 1, by the sensitive words of a name; those of the keys that it lies under count less."""
+    score = lambda words: min(1.0, sum(SENSITIVE[w] for w in words))
+    return max(score(own), _ABOVE * score(own | above))
 
 
 def literal_score(literal: str, quoted: bool) -> float:
@@ -64,48 +83,142 @@ def literal_score(literal: str, quoted: bool) -> float:
     return 0.6 if quoted and n >= 8 and entropy >= 2.3 else 0.2
 
 
-def pairs(text: str) -> list[tuple[str, int, int, bool]]:
-    """(name, start, end, quoted) of each assignment in the order of the text."""
-    found = []
-    if ":" in text or "=" in text:
-        at, size = 0, len(text)
-        for sign in re.finditer(r"[:=]", text):
-            if sign.start() < at:
-                continue
-            right = _RIGHT.match(text, sign.start())
-            if not right or text.startswith(("==", "://", "::"), sign.start()):
-                continue
-            left = _LEFT.search(text[max(0, sign.start() - _LEFT_CHARS) : sign.start()])
-            if left:
-                # in `name: type = value` the sign before the type is not the assignment
-                if text[sign.start()] == ":" and right.group(4) and right.end() < size and re.match(r"[ \t]*=(?!=)", text[right.end() : right.end() + 8]):
-                    continue
-                k = right.lastindex
-                found.append((left[1], right.start(k), right.end(k), k < 4))
-                at = right.end()
+@dataclass
+class Pair:
+    """A name and what is assigned to it: pieces (start, end, text, whether it is quoted, name it may be)."""
+
+    own: str
+    above: frozenset[str]
+    pieces: list[tuple[int, int, str, bool, str | None]]
+
+
+def _string(text: str, at: int):
+    found = _STRING.match(text, at)
+    if not found:
+        return None
+    k = found.lastindex
+    inner = found[k]
+    return (found.start(k), found.end(k), re.sub(r"\\\r?\n?(.?)", r"\1", inner, flags=re.DOTALL) if "\\" in inner else inner, True, None), found.end()
+
+
+def _term(text: str, at: int):
+    """The string, number, word or name at a place, and where it ends; None if there is none."""
+    if found := _string(text, at):
+        return found
+    bare = _BARE.match(text, at)
+    return bare and ((at, bare.end(), bare[0], False, bare[0] if _NAME.match(bare[0]) else None), bare.end())
+
+
+def _block(text: str, at: int, indent: int):
+    """The lines from ``at`` that are indented by more than ``indent``, as one piece."""
+    start, end, lines = None, at, []
+    while at < len(text):
+        line = _LINE.match(text, at)
+        if line[2].strip():
+            if len(line[1]) <= indent:
+                break
+            start = line.start(2) if start is None else start
+            end = line.start(2) + len(line[2].rstrip())
+            lines.append(line[2].strip())
+        at = line.end()
+    return ([(start, end, "".join(lines), True, None)], end) if lines else ([], at)
+
+
+def _value(text: str, at: int, sign: str, indent: Callable[[], int]):
+    """The pieces of the value after a sign, joined by operators or by standing side by side, and its end."""
+    at = _BLANKS.match(text, at).end()
+    if sign == ":" and (block := _BLOCK.match(text, at)):
+        return _block(text, block.end(), indent())
+    if sign != ":" and (line := _NEXT_LINE.match(text, at)):
+        at = line.end()
+    inside = 0
+    while text.startswith("(", at):
+        inside, at = inside + 1, _SPACE.match(text, at + 1).end()
+    term = _term(text, at)
+    if not term:
+        return [], at
+    pieces, end = [term[0]], term[1]
+    while pieces[-1][3] or pieces[-1][4]:
+        at = (_SPACE if inside else _BLANKS).match(text, end).end()
+        if plus := _PLUS.match(text, at):
+            more = _string(text, plus.end()) if plus[0].startswith(".") or not pieces[-1][3] else _term(text, plus.end())
+        else:
+            if not inside and sign != ":" and (line := _NEXT_LINE.match(text, at)):
+                at = line.end()
+            more = _string(text, at) if pieces[-1][3] else None
+            if more and _KEY_SIGN.match(text, more[1]):
+                more = None  # a key, which begins what comes next
+        if not more:
+            break
+        pieces.append(more[0])
+        end = more[1]
+    return pieces, end
+
+
+def pairs(text: str) -> list[Pair]:
+    """The assignments of source and configuration text, in its order: ``name = value`` in the forms that
+    languages share (``=``, ``:=``, ``=>``, ``:``, quoted keys, subscripts, type annotations), values in all
+    kinds of quotes with escapes, joined by operators or adjacency, over continued lines and in
+    parentheses, YAML block scalars, keys nested in braces or by indentation, and XML elements. One pass from
+    left to right, linear in the text: names and values may have any length."""
+    found: list[Pair] = []
+    at, line, looked = 0, 0, 0
+    braces: list[frozenset[str]] = []
+    indents: list[tuple[int, frozenset[str]]] = []
+    pending = nothing = frozenset()
+    while m := _PAIR.search(text, at):
+        at = m.end()
+        if m[3] == "{":
+            braces.append((braces[-1] if braces else nothing) | pending)
+            pending = nothing
+            continue
+        if m[3] == "}":
+            if braces:
+                braces.pop()
+            continue
+        pending = nothing
+        if m[2] in ("==", "::"):
+            continue
+        newline = text.rfind("\n", looked, m.start())
+        line, looked = newline + 1 if newline >= 0 else line, m.start()
+        column = m.start() - line
+        while indents and indents[-1][0] >= column:
+            indents.pop()
+        above = (braces[-1] if braces else nothing) | (indents[-1][1] if indents else nothing)
+        pieces, end = _value(text, at, m[2], lambda: len(text[line : m.start()]) - len(text[line : m.start()].lstrip(" \t")))
+        if pieces:
+            found.append(Pair(m[1], above, pieces))
+            chained = len(pieces) == 1 and pieces[0][4] and _SIGN.match(text, end)  # a = b = value
+            at = pieces[0][0] if chained else end
+        elif text.startswith("{", end):
+            pending = above | sensitive_words(m[1])
+        elif m[2] == ":" and (end == len(text) or text[end] in "\r\n"):
+            indents.append((column, above | sensitive_words(m[1])))
     if "</" in text:
-        found += [(m[1], m.start(2), m.end(2), True) for m in _ELEMENT.finditer(text)]
-        found.sort(key=lambda p: p[1])
+        found += [Pair(m[1], nothing, [(m.start(2), m.end(2), m[2], True, None)]) for m in _ELEMENT.finditer(text)]
+        found.sort(key=lambda p: p.pieces[0][0])
     return found
 
 
 def literals(text: str, least: float = 0.5) -> list[tuple[int, int]]:
-    """Spans of literals whose score, for the most sensitive name that they reach, is ``least``."""
+    """Spans of literals whose score, for the most sensitive name that they reach, is ``least``. A name on the
+    right stands for what it was last given, or else for what it is given later, alone and within joined
+    values; every piece of a joined value that reaches ``least`` is a span."""
     found = pairs(text)
-    given: dict[str, tuple[int, int, bool]] = {}
-    later = {}
-    for name, a, b, quoted in reversed(found):
-        if quoted or not _NAME.match(text[a:b]):
-            later[name] = (a, b, quoted)  # for names that are used before they are given
+    later = {p.own: [x[:4] for x in p.pieces] for p in reversed(found) if any(x[4] is None for x in p.pieces)}
+    given: dict[str, list[tuple[int, int, str, bool]]] = {}
     out = set()
-    for name, a, b, quoted in found:
-        value = (a, b, quoted)
-        if not quoted and _NAME.match(text[a:b]):
-            value = given.get(text[a:b]) or later.get(text[a:b]) or value
-        given[name] = value
-        score = name_score(name)
-        if score and score * literal_score(text[value[0] : value[1]], value[2]) >= least:
-            out.add(value[:2])
+    for p in found:
+        value = []
+        for a, b, string, quoted, name in p.pieces:
+            known = None if name is None else given.get(name) or later.get(name)
+            if known or name is None or len(p.pieces) == 1:
+                value += known or [(a, b, string, quoted)]
+        given[p.own] = value
+        own = sensitive_words(p.own)
+        score = name_score(own, p.above) if own or p.above else 0.0
+        if score and value and score * literal_score("".join(x[2] for x in value), all(x[3] for x in value)) >= least:
+            out.update((a, b) for a, b, _, _ in value if a < b)
     return sorted(out)
 
 
@@ -120,7 +233,7 @@ def spans(text: str | None) -> list[tuple[int, int, int, int]]:
     found += [(1, m.start(), m.end(), m.start()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(2, m.start(), m.end(), m.start()) for m in _HEX.finditer(text)]
     base = list(found)
-    for a, b in literals(text):
+    for a, b in literals(text) if ":" in text or "=" in text or "</" in text else ():
         if not any(s <= a and b <= e for _, s, e, _ in base):
             found.append((3, a, b, a))
     return sorted(found, key=lambda s: (s[1], s[0]))
@@ -143,14 +256,13 @@ def scan(docs: DataFrame, text: str = "text", redacted: bool = False) -> DataFra
     columns of ``docs`` (one of that name is replaced); if ``redacted``, the text too is replaced by
     one without the secrets. Null texts have no secrets and stay null. Each row is looked at by
     itself, so repeated rows, ties and null ids make no difference; an empty table gives no rows."""
-    small_batches(docs.sparkSession)
     docs = docs.select([c for c in docs.columns if c != "secrets"])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "secrets array<struct<kind:string,start:bigint,end:bigint,secret_start:bigint>>"])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("secret_start", pa.int64())]))
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(place).to_pylist()
             found = [spans(t) for t in texts]
             columns = list(batch.columns)

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import pytest
 from marginalia.llm import queries, secrets
@@ -33,12 +35,75 @@ def base(text):
         ("private_key == 'a8b7c6d5'", []),
         ("The key: a door. Access: https://x.y/z1", []),
         ("pwd = ${SECRET_9}", []),
+        (r'db_pwd = "ab12\"cd34ef99xy"', [r'ab12\"cd34ef99xy']),
+        ('db_pwd = """zK39qLw82mXp"""', ["zK39qLw82mXp"]),
+        ("db_pwd: |\n  zK39qLw82mXp\nother: 1", ["zK39qLw82mXp"]),
+        ("a:\n  db_pwd: >-\n    zK39qL\n\n    w82mXp\n  b: 1", ["zK39qL\n\n    w82mXp"]),
+        ("db_pwd = \\\n    'zK39qLw82mXp'", ["zK39qLw82mXp"]),
+        ("db_pwd =\n    'zK39qLw82mXp'", ["zK39qLw82mXp"]),
+        ("db_pwd = (\n  'zK39qL'\n  'w82mXp'\n)", ["zK39qL", "w82mXp"]),
+        ('db_pwd = "zK39qL" + "w82mXp77"', ["zK39qL", "w82mXp77"]),
+        ("$db_pwd = 'zK39qL' . 'w82mXp77';", ["zK39qL", "w82mXp77"]),
+        ("A = 'zK39qL'\npwd = A + 'w82mXp77'", ["zK39qL", "w82mXp77"]),
+        ("a = pwd = 'zK39qLw82'", ["zK39qLw82"]),
+        ('{"passphrase": {"value": "zK39qLw82"}, "size": {"value": "zK39qLw83"}}', ["zK39qLw82"]),
+        ("credentials:\n  value: zK39qLw82\nplain:\n  value: zK39qLw83", ["zK39qLw82"]),
+        ('os.environ["DB_PWD"] = "zK39qLw82"', ["zK39qLw82"]),
+        ("pwd: Optional[str] = rb'zK39qLw82'", ["zK39qLw82"]),
+        ("my_pwd = 'zK39qLw82'.encode('utf8')", ["zK39qLw82"]),
+        ("password_" + "x" * 5000 + ' = "zK39qLw82mXp7Tt4"', ["zK39qLw82mXp7Tt4"]),
+        ("db_pwd" + " " * 5000 + '= "zK39qLw82mXp7Tt4"', ["zK39qLw82mXp7Tt4"]),
+        ("pwd: " + "T" * 5000 + " = 'zK39qLw82'", ["zK39qLw82"]),
+        ("pwd = 'open", []),
+        ("pwd = 'zK39", []),
+        ("the pwd: see below\n'quoted words 12' said", []),
     ],
 )
 def test_lexer(text, want):
     assert [text[a:b] for a, b in secrets.literals(text)] == want
 
 
+def written_out(rng, name, secret):
+    """A way to write an assignment down, and the parts that the secret takes in it."""
+    cut = rng.randint(1, len(secret) - 1)
+    a, b, q = secret[:cut], secret[cut:], rng.choice("\"'")
+    return rng.choice(
+        [
+            (f"{name} = {q}{secret}{q}", [secret]), (f"{name} := {q * 3}{secret}{q * 3}", [secret]), (f"const {name}: string = `{secret}`;", [secret]),
+            (f"{q}{name}{q}: {q}{secret}{q},", [secret]), (f"cfg[{q}{name}{q}] = {q}{a}{q} + {q}{b}{q}", [a, b]), (f"{name} => \n  {q}{secret}{q}", [secret]),
+            (f"{name} = ({q}{a}{q}\n   {q}{b}{q})", [a, b]), (f"  {name}: |\n     {secret}", [secret]), (f"VARQ = {q}{secret}{q}\n{name} = VARQ", [secret]),
+            (f"{name} = VARQ\nVARQ = {q}{secret}{q}", [secret]), (f"{name} = \\\n {q}{secret}{q}", [secret]), (f"<{name}>{secret}</{name}>", [secret]), (f"export {name}={secret}", [secret]),
+        ]
+    )
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_all_written_secrets_and_nothing_else(seed):
+    rng = random.Random(seed)
+    text, want = "", []
+    for k in range(rng.randint(1, 8)):
+        text += rng.choice(["A line of prose: with signs = and more.\n", "width = 12\nlabel: 'blue 12'\n", "if (a == b) { c: 'x1y2z3w4' }\n", ""])
+        secret = "".join(rng.choice("abcdefgXYZ0123456789") for _ in range(20)) + "g1Zk7"
+        plain = rng.random() < 0.3
+        line, parts = written_out(rng, rng.choice(["colour", "left_margin", "title"] if plain else ["db_pwd", "DbPassphrase", "my_credentials"]) + ("" if plain else str(k)), secret)
+        line = line.replace("VARQ", f"V{k}")
+        at = len(text)
+        for part in parts:
+            at = text.__len__() + line.index(part, max(0, at - len(text)))
+            if not plain:
+                want.append((at, at + len(part)))
+            at += len(part)
+        text += line + "\n\n"
+    assert secrets.literals(text) == sorted(want)
+
+
+def test_time_is_linear():
+    for unit in ("a", "a ", "a: ", "a = '", 'a="""', "{", "a: |\n", "x = (", "pwd = b + ", "\\\n", "<a>b", ":", "=", "'", "a\t"):
+        began = time.perf_counter()
+        secrets.literals(unit * 20_000)
+        assert time.perf_counter() - began < 3, unit
+
+
 @pytest.mark.parametrize("text", ["", "PASSWORD = abc", "token==abcdefg secret:\"abcdef\" api_key='x.y/z-1' apikey : 123456", "AKIA" + "A" * 15 + " AKIA" + "B" * 16, "f" * 23 + " " + "0" * 24 + "g" + "a" * 30, "é tokeN:abcdef \U0001f600 passwd=abcdef", "toKen=abcdef", "password: token: abcdefgh"])
 def test_base(text):
     found = [(secrets.KINDS[k], a, b) for k, a, b, _ in secrets.spans(text) if k < 3]
