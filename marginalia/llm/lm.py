@@ -1,12 +1,17 @@
-"""LM scoring: a log-bilinear neural model, trained by noise-contrastive estimation in numpy.
-
-Words fall into CLASSES classes: the end of a text and the most frequent words have one each, all others
-share the rest by their last two bytes. The network predicts a word's class from the two classes before
-it; the word's share of its class comes from the corpus counts. So the probabilities of all words, known
-or not, sum to 1 for every context. Counts of words and of class trigrams are taken over all training
-texts and summed in the cluster; the network goes through all counted trigrams, weighted by their counts,
-in every epoch. The steps follow the number of distinct trigrams, CLASSES**3 at most. After training, one batched matrix product a context gives the normalised
-log-probabilities of all classes for all contexts, and scoring looks them up.
+"""LM scoring: a log-bilinear model of words, trained by noise-contrastive estimation in numpy.
+
+Targets are the VOCABULARY most frequent words, the end of a text, and TAILS kinds of other words (by
+their last two bytes); a word of a tail has its share of the tail by the corpus counts. The score of a
+target after two words is ``(far . A + near . B) . target + bias``, with learned vectors and matrices.
+The words before a target have a vector each if they are frequent (NEAR_OWN, FAR_OWN), or that of their
+tail. That leaves NEAR * FAR contexts, so the normaliser of every one is taken exactly, over all targets,
+by batched matrix products; the probabilities of all words after any context sum to 1, where the words
+that were never seen have one place in each tail.
+
+Counts of words are taken over all training texts. The network too goes through every token of every
+training text: each task trains on its own texts from one common start, and the vectors are averaged by
+how many examples moved them. So work and evidence grow with the corpus, a task holds one model and one
+buffer of tokens, and the driver holds one model.
 """
 
 from __future__ import annotations
@@ -22,12 +27,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import small_batches, written
+from marginalia.llm.common import slices, written
 
-CLASSES, OWN = 128, 80  # OWN: the end and the most frequent words
+TAILS = 256
+VOCABULARY = (1 << 16) - TAILS  # targets of their own, the end among them; all ids fit 16 bits
+NEAR_OWN, FAR_OWN = 256, 16  # words that have a vector of their own as the last word, and the last but one
+NEAR, FAR = NEAR_OWN + TAILS, 32
+SIZE = 16  # of a vector
 END = b""  # no word is empty
-HEAD = 1 << 16  # words, at most, whose counts every task has; all other words meet their counts in a join
+HEAD = 1 << 18  # words, at most, whose counts every task has; all other words meet their counts in a join
 _FLUSH = 200_000  # distinct words that a task holds before it passes their counts on
+_BUFFER = 1 << 22  # tokens whose examples a task counts at once
 _ADD = 0.1
 
 
@@ -36,9 +46,9 @@ def words(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
-def shared_class(word: bytes) -> int:
-    """The class of a word that has none of its own."""
-    return OWN + zlib.crc32(word[-2:]) % (CLASSES - OWN)
+def tail(word: bytes) -> int:
+    """Which of the tails a word belongs to."""
+    return zlib.crc32(word[-2:]) % TAILS
 
 
 # -- counts ----------------------------------------------------------------------------------
@@ -49,7 +59,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(words(text))
             if len(seen) > _FLUSH:
@@ -60,9 +70,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
-    """The words above some count, ``most`` at most, most frequent first. The count is found from how
-    many words have counts of about a size, 16 sizes to a power of 2, so only those words are sent."""
+def frequent(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
+    """The words above some count, ``most`` at most, most frequent first, and their counts. The count is
+    found from how many words have counts of about a size, 16 sizes to a power of 2, so only those words
+    are sent."""
     sizes = counts.groupBy(F.floor(F.log2("c") * 16).alias("s")).agg(F.count("*").alias("n")).collect()
     least, seen = math.inf, 0
     for r in sorted(sizes, key=lambda r: -r.s):
@@ -71,137 +82,216 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
             break
         least = r.s
     if least == math.inf:
-        return []
-    rows = counts.where(F.floor(F.log2("c") * 16) >= least).collect()
-    return sorted(((bytes(r.word), r.c) for r in rows), key=lambda w: (-w[1], w[0]))
-
-
-class Classes:
-    """Classes of words, and of the head words their counts."""
-
-    def __init__(self, head: list[tuple[bytes, int]]):
-        ranked = [w for w, _ in head if w != END][: OWN - 1]
-        own = {END: 0} | {w: k + 1 for k, w in enumerate(ranked)}
-        self.place = {w: k for k, (w, _) in enumerate(head)}
-        self.counts = np.array([c for _, c in head], dtype=np.float64)
-        self.of_head = np.array([own.get(w, -1) if w in own else shared_class(w) for w, _ in head], dtype=np.int64)
+        return [], np.zeros(0, dtype=np.int64)
+    rows = counts.where(F.floor(F.log2("c") * 16) >= int(least)).select("word", "c").toArrow()  # ``most`` rows
+    found, c = rows.column("word").to_pylist(), rows.column("c").to_numpy()
+    order = sorted(range(len(found)), key=lambda k: (-c[k], found[k]))
+    return [found[k] for k in order], c[order]
+
+
+class Vocabulary:
+    """The place of each head word, its count, and its target."""
+
+    def __init__(self, head: list[bytes], counts: np.ndarray, most: int = VOCABULARY):
+        self.size = most
+        self.place = {w: k for k, w in enumerate(head)}
+        self.counts = counts.astype(np.float64)
+        own = [w for w in head if w != END][: most - 1]
+        target = {END: 0} | {w: k + 1 for k, w in enumerate(own)}
+        self.target = np.array([target.get(w, most + tail(w)) for w in head], dtype=np.uint16)
+        self.targets = most + TAILS
+        kinds = np.array([0, *(tail(w) for w in own), *(0 for _ in range(most - 1 - len(own))), *range(TAILS)])
+        ids = np.arange(self.targets)
+        self.near = np.where(ids < min(most, NEAR_OWN), ids, NEAR_OWN + kinds).astype(np.int32)
+        self.far = np.where(ids < min(most, FAR_OWN), ids, FAR_OWN + kinds % (FAR - FAR_OWN)).astype(np.int32)
 
     def look_up(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(place in the head or -1, class) of each word."""
+        """(place in the head or -1, target) of each word."""
         get = self.place.get
         places = np.array([get(w, -1) for w in tokens], dtype=np.int64)
-        classes = self.of_head[places]
-        for k in np.flatnonzero(places < 0).tolist():
-            classes[k] = shared_class(tokens[k])
-        return places, classes
+        rare = np.flatnonzero(places < 0)
+        found = self.target[places] if len(self.target) else np.zeros(len(places), dtype=np.uint16)
+        for k in rare.tolist():
+            found[k] = self.size + tail(tokens[k]) if tokens[k] != END else 0
+        return places, found
 
 
-def contexts(classes: np.ndarray) -> np.ndarray:
-    """For each place of a text, its two previous classes as one number; before the text ends stand."""
-    padded = np.concatenate([np.zeros(2, dtype=np.int64), classes])
-    return padded[:-2] * CLASSES + padded[1:-1]
+# -- the network -----------------------------------------------------------------------------
 
 
-def trigram_counts(docs: DataFrame, classes) -> DataFrame:
-    """(trigram bigint, c bigint): counts of (context, class) over all whole texts."""
+class LogBilinear:
+    """Scores of targets after the vectors of two words before them. At first the targets' vectors are 0
+    and their biases the logarithms of their shares, so the untrained model is that of single words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = classes.value, np.zeros(CLASSES**3, dtype=np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                _, found = own.look_up(words(text))
-                np.add.at(total, contexts(found) * CLASSES + found, 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["trigram", "c"])
+    def __init__(self, share: np.ndarray, near: int = NEAR, far: int = FAR, size: int = SIZE, seed: int = 7):
+        rng = np.random.default_rng(seed)
+        share = (share + 0.5) / (share + 0.5).sum()
+        self.log_share, self.cumulative = np.log(share).astype(np.float32), np.cumsum(share)
+        normal = lambda *shape: rng.normal(0, 0.5, shape).astype(np.float32)
+        self.p = {
+            "near": normal(near, size), "far": normal(far, size), "target": np.zeros((len(share), size), dtype=np.float32), "bias": np.zeros((len(share), 1), dtype=np.float32),
+            "A": np.eye(size, dtype=np.float32) * np.float32(0.5), "B": np.eye(size, dtype=np.float32),
+        }
 
-    return docs.select("text").mapInArrow(run, "trigram bigint, c bigint").groupBy("trigram").agg(F.sum("c").alias("c"))
+    def start(self, rate: float = 0.05) -> None:
+        """Forgets what training has seen."""
+        self.rate = np.float32(rate)
+        self.square = {k: np.full((len(v), 1), 1e-6, dtype=np.float32) for k, v in self.p.items()}
+        self.moved = {k: np.zeros(len(v)) for k, v in self.p.items()}
+
+    def _row_step(self, name: str, rows: np.ndarray, grad: np.ndarray, times: np.ndarray) -> None:
+        """A step of Adagrad on distinct rows, one rate a row."""
+        square = self.square[name]
+        square[rows] += np.einsum("ij,ij->i", grad, grad)[:, None] / np.float32(grad.shape[1])
+        self.p[name][rows] -= self.rate * grad / np.sqrt(square[rows])
+        self.moved[name][rows] += times
+
+    def _summed(self, rows: np.ndarray, grad: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(rows, kind="stable")
+        ranked = rows[order]
+        starts = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        return ranked[starts], np.add.reduceat(grad[order], starts, axis=0), np.add.reduceat(count[order], starts)
+
+    def step(self, far: np.ndarray, near: np.ndarray, true: np.ndarray, count: np.ndarray, noise: np.ndarray) -> None:
+        """One step of noise-contrastive estimation on examples that occur ``count`` times: tells the true
+        targets from ``noise``, targets drawn by their shares, which the examples of a batch share."""
+        p, k = self.p, np.float32(math.log(len(noise)))
+        rf, rn = p["far"][far], p["near"][near]
+        h = rf @ p["A"] + rn @ p["B"]
+        t, u = p["target"][true], p["target"][noise]
+        # the shares stand in the score and in the noise alike, and cancel
+        gain = 1 / (1 + np.exp(np.clip(k - np.einsum("bd,bd->b", h, t) - p["bias"][true, 0], -30, 30))) - 1
+        false = h @ u.T
+        false += p["bias"][noise, 0] - k
+        np.clip(false, -30, 30, out=false)
+        np.negative(false, out=false)
+        np.exp(false, out=false)
+        false += 1
+        np.reciprocal(false, out=false)
+        gain *= count
+        false *= count[:, None]
+        dh = gain[:, None] * t + false @ u
+        rows = np.concatenate([true, noise])
+        grad = np.empty((len(rows), h.shape[1] + 1), dtype=np.float32)
+        grad[: len(true), :-1], grad[: len(true), -1] = gain[:, None] * h, gain
+        grad[len(true) :, :-1], grad[len(true) :, -1] = false.T @ h, false.sum(axis=0)
+        rows, grad, times = self._summed(rows, grad, np.concatenate([count, np.zeros(len(noise), dtype=count.dtype)]))
+        dn, df = dh @ p["B"].T, dh @ p["A"].T
+        da, db = rf.T @ dh, rn.T @ dh
+        self._row_step("target", rows, grad[:, :-1], times)
+        self._row_step("bias", rows, grad[:, -1:], times)
+        self._row_step("near", *self._summed(near.astype(np.int16), dn, count))
+        self._row_step("far", *self._summed(far.astype(np.int16), df, count))
+        for name, g in (("A", da), ("B", db)):
+            self._row_step(name, np.arange(len(g)), g, np.full(len(g), count.sum()))
+
+    def train(self, keys: np.ndarray, counts: np.ndarray, rng, batch: int = 2048, noise: int = 64, most: int = 32) -> int:
+        """Goes through all examples (keys as in pack), each in as many turns as its count needs at ``most``
+        a turn, in a new order; returns the number of steps."""
+        turns = -(-counts // most)
+        keys, counts = np.repeat(keys, turns), np.repeat(counts / turns, turns).astype(np.float32)
+        order = rng.permutation(len(keys))
+        keys, counts = keys[order], counts[order]
+        for at in range(0, len(keys), batch):
+            own = keys[at : at + batch]
+            drawn = np.minimum(np.searchsorted(self.cumulative, rng.random(noise)), len(self.cumulative) - 1)
+            self.step(own >> 32, own >> 16 & 0xFFFF, own & 0xFFFF, counts[at : at + batch], drawn)
+        return -(-len(keys) // batch)
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """What the last word but one, and the last, add to the vector of a context."""
+        return self.p["far"] @ self.p["A"], self.p["near"] @ self.p["B"]
+
+    def normaliser(self, far: int) -> np.ndarray:
+        """Natural logarithms of the sums over all targets, for all contexts with one far word."""
+        a, b = self.contexts()
+        h, bias = a[far] + b, self.log_share + self.p["bias"][:, 0]
+        out = np.empty(len(h))
+        for k in range(0, len(h), 64):
+            s = h[k : k + 64] @ self.p["target"].T
+            s += bias
+            top = s.max(axis=1, keepdims=True)
+            s -= top
+            out[k : k + 64] = top[:, 0] + np.log(np.exp(s, out=s).sum(axis=1))
+        return out
 
 
-# -- the network -----------------------------------------------------------------------------
+def examples(ids: np.ndarray, ends: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(far, near) of each target of texts that stand one after the other and stop at ``ends``; before
+    a text ends stand."""
+    before = np.concatenate([np.zeros(2, dtype=ids.dtype), ids])
+    one, two = before[1:-1].copy(), before[:-2].copy()
+    starts = np.append(0, ends[:-1])[np.diff(np.append(0, ends)) > 0]
+    one[starts] = 0
+    two[starts] = 0
+    two[starts[starts + 1 < len(ids)] + 1] = 0
+    return vocabulary.far[two], vocabulary.near[one]
 
 
-def turns(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How often an epoch takes each trigram, once at least, and the weight of each time, 1 at most; the
-    products are in proportion to the counts."""
-    wanted = counts / counts.mean()
-    times = np.ceil(wanted).astype(np.int64)
-    return times, wanted / times
+def pack(far: np.ndarray, near: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Examples as one number each."""
+    return far.astype(np.int64) << 32 | near.astype(np.int64) << 16 | ids
 
 
-class LogBilinear:
-    """Scores of a class after two others: target . (A far + B near) + bias, with learned vectors."""
+def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of binaries, and where each row ends."""
+    rows = [np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in column]
+    return np.concatenate([np.zeros(0, dtype=np.uint16), *rows]), np.cumsum([len(r) for r in rows], dtype=np.int64)
 
-    def __init__(self, size: int = 24, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.rng = rng
-        scale = 1 / np.sqrt(size)
-        self.p = {
-            "seen": rng.normal(0, scale, (CLASSES, size)), "target": rng.normal(0, scale, (CLASSES, size)),
-            "far": np.eye(size) * 0.5, "near": np.eye(size), "bias": np.zeros(CLASSES),
-        }
 
-    def train(self, trigrams: np.ndarray, counts: np.ndarray, steps: int = 2500, batch: int = 1024, noise: int = 16, rate: float = 0.02, epochs: int = 2) -> None:
-        """Noise-contrastive estimation: tells trigrams from the same contexts with classes drawn from
-        the unigram distribution. Every epoch takes all trigrams in a new order, a frequent one several
-        times, so that each weighs as much as its count; there are ``epochs`` and ``steps`` at least."""
-        if not len(trigrams):
+def trained(texts: DataFrame, vocabulary, start, steps: int) -> LogBilinear:
+    """The average of the models that tasks train on the rows ``ids`` of ``texts``, each going through all
+    of its tokens, and again while it has made fewer than ``steps`` steps. A row of a table weighs as much
+    as examples that moved it; rows that none has moved stay as they were."""
+    size = len(start.value.p["A"])
+    parts = ("near", "far", "target", "bias", "A", "B")
+    names = ["part", "k", "n", *(f"v{j}" for j in range(size))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, model = vocabulary.value, start.value
+        model.p = {k: v.copy() for k, v in model.p.items()}
+        model.start()
+        rng, done, held, size_held = np.random.default_rng(11), 0, [], 0
+        for batch in slices(batches):
+            ids, ends = _joined(batch.column(0))
+            held.append(pack(*examples(ids, ends, own), ids))
+            size_held += len(ids)
+            if size_held >= _BUFFER:
+                done += model.train(*np.unique(np.concatenate(held), return_counts=True), rng)
+                held, size_held = [], 0
+        if size_held:
+            last = np.unique(np.concatenate(held), return_counts=True)
+            done += model.train(*last, rng)
+            while done < steps:
+                done += model.train(*last, rng)
+        if not done:
             return
-        rng, p = self.rng, self.p
-        share = np.bincount(trigrams % CLASSES, counts, CLASSES) + 0.5
-        share /= share.sum()
-        log_noise = np.log(noise * share)
-        p["bias"] = np.log(share)
-        draw_noise = np.cumsum(share)
-        times, weight = turns(counts)
-        examples = np.repeat(np.arange(len(trigrams), dtype=np.int32), times)
-        an_epoch = -(-len(examples) // batch)
-        steps = an_epoch * max(epochs, -(-steps // an_epoch))
-        mean, square = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-        for step in range(1, steps + 1):
-            at = (step - 1) % an_epoch * batch
-            if not at:
-                rng.shuffle(examples)
-            own = examples[at : at + batch]
-            picked, weights = trigrams[own], weight[own]
-            a, b, true = picked // CLASSES**2, picked // CLASSES % CLASSES, picked % CLASSES
-            others = np.minimum(np.searchsorted(draw_noise, rng.random((len(own), noise))), CLASSES - 1)
-            w = np.concatenate([true[:, None], others], axis=1)
-            ra, rb = p["seen"][a], p["seen"][b]
-            h = ra @ p["far"] + rb @ p["near"]
-            q = p["target"][w]
-            logit = np.einsum("bkd,bd->bk", q, h) + p["bias"][w] - log_noise[w]
-            slope = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-            slope[:, 0] -= 1
-            slope *= weights[:, None] / weights.sum()
-            dh = np.einsum("bk,bkd->bd", slope, q)
-            grad = {k: np.zeros_like(v) for k, v in p.items()}
-            np.add.at(grad["target"], w.ravel(), (slope[:, :, None] * h[:, None, :]).reshape(-1, h.shape[1]))
-            np.add.at(grad["bias"], w.ravel(), slope.ravel())
-            grad["far"], grad["near"] = ra.T @ dh, rb.T @ dh
-            np.add.at(grad["seen"], a, dh @ p["far"].T)
-            np.add.at(grad["seen"], b, dh @ p["near"].T)
-            now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
-            for k, g in grad.items():
-                mean[k] += 0.1 * (g - mean[k])
-                square[k] += 0.01 * (g * g - square[k])
-                p[k] -= now * (mean[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)
-
-    def table(self) -> np.ndarray:
-        """log10-probabilities of every class after every context, each row summing to 1."""
-        p = self.p
-        far, near = p["seen"] @ p["far"], p["seen"] @ p["near"]
-        out = np.empty((CLASSES * CLASSES, CLASSES), dtype=np.float32)
-        for a in range(CLASSES):  # a batch of all contexts with one far class
-            s = (far[a] + near) @ p["target"].T + p["bias"]
-            s -= s.max(axis=1, keepdims=True)
-            out[a * CLASSES : (a + 1) * CLASSES] = (s - np.log(np.exp(s).sum(axis=1, keepdims=True))) / np.log(10)
-        return out
+        for number, name in enumerate(parts):
+            rows = np.flatnonzero(model.moved[name])
+            for k in range(0, len(rows), 20_000):
+                at = rows[k : k + 20_000]
+                values = model.p[name][at]
+                columns = [pa.array(values[:, j]) if j < values.shape[1] else pa.nulls(len(at), pa.float32()) for j in range(size)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(model.moved[name][at]), *columns], names=names)
+
+    moved = texts.select("ids").mapInArrow(run, "part int, k int, n double, " + ", ".join(f"{c} float" for c in names[3:]))
+    averaged = moved.groupBy("part", "k").agg(*((F.sum(F.col(c) * F.col("n")) / F.sum("n")).cast("float").alias(c) for c in names[3:]))
+    rows = averaged.toArrow()  # as many as the model has
+    model = start.value
+    model.p = {k: v.copy() for k, v in model.p.items()}
+    part, at = (rows.column(c).to_numpy() for c in ("part", "k"))
+    values = [rows.column(c).to_numpy(zero_copy_only=False) for c in names[3:]]
+    for number, name in enumerate(parts):
+        own = part == number
+        for j in range(model.p[name].shape[1]):
+            model.p[name][at[own], j] = values[j][own]
+    return model
 
 
 # -- scoring ---------------------------------------------------------------------------------
 
 
-def score(docs: DataFrame, folds: int = 10, head: int = HEAD, steps: int = 2500) -> DataFrame:
+def score(docs: DataFrame, folds: int = 10, head: int = HEAD, vocabulary: int = VOCABULARY, steps: int = 400) -> DataFrame:
     """Scores every document by a model of those whose crc32(doc_id as text) mod ``folds`` isn't 0.
 
     ``docs`` has doc_id and text; other columns are not read. Returns doc_id, held_out, n_tokens,
@@ -209,70 +299,96 @@ def score(docs: DataFrame, folds: int = 10, head: int = HEAD, steps: int = 2500)
     network's), both log10-probabilities of the whole text and its end. Nulls: a null text is empty and
     scores its end; a null doc_id belongs to the training texts. Repeated rows count and score each. An
     empty table gives no rows; with no training text, nothing is known and all counts are 0.
+
+    Every text becomes ids once, 2 bytes a token, which are written and then read for training and for
+    scoring. Every task makes ``steps`` steps of training at least, so that small tables train too.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select("doc_id", "text", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds, F.lit(1)).alias("fold"))
-    training = docs.where("fold != 0")
-    counts = written(word_counts(training), "words")
+    counts = written(word_counts(docs.where("fold != 0")), "words")
     total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = frequent(counts, head)
-    known = Classes(top or [(END, 0)])
+    known = Vocabulary(*frequent(counts, head), vocabulary)
     shared = spark.sparkContext.broadcast(known)
-    sums = trigram_counts(training, shared).toArrow()  # CLASSES**3 rows at most
-    trigrams, times = (sums.column(c).to_numpy() for c in ("trigram", "c"))
-    order = np.argsort(trigrams)
-    network = LogBilinear()
-    network.train(trigrams[order], times[order].astype(np.float64), steps=steps)
-
-    def by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n, v = shared.value, np.zeros(CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)
+
+    def by_target(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        n, v = np.zeros(own.targets, dtype=np.int64), np.zeros(own.targets, dtype=np.int64)
         for batch in batches:
             _, found = own.look_up(batch.column("word").to_pylist())
             np.add.at(n, found, batch.column("c").to_numpy())
             np.add.at(v, found, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n), pa.array(v)], names=["k", "n", "v"])
-
-    size, room = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in counts.mapInArrow(by_class, "k bigint, n bigint, v bigint").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
-        size[r.k], room[r.k] = r.n, r.v
-    log_room = np.log10(size + _ADD * (room + 1))  # of the classes that words share
+        some = np.flatnonzero(v)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array(v[some])], names=["k", "n", "v"])
+
+    size, room = np.zeros(known.targets), np.zeros(known.targets)
+    sums = counts.mapInArrow(by_target, "k bigint, n bigint, v bigint").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow()  # a row a target
+    at = sums.column("k").to_numpy()
+    size[at], room[at] = sums.column("n").to_numpy(), sums.column("v").to_numpy()
+    log_room = np.log10(size + _ADD * (room + 1))[vocabulary:]  # of the tails
     log_all = float(np.log10(total + _ADD * (types + 1)))
-    base_of = np.log10(known.counts + _ADD) - log_all
-    within_of = np.where(known.of_head < OWN, 0.0, np.log10(known.counts + _ADD) - log_room[known.of_head])
-    network_table = spark.sparkContext.broadcast(network.table())
-    empty_head = not top
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table = shared.value, network_table.value
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        base_of = np.log10(own.counts + _ADD) - log_all
+        in_tail = own.target >= own.size
+        within_of = np.zeros(len(base_of))
+        within_of[in_tail] = np.log10(own.counts[in_tail] + _ADD) - log_room[own.target[in_tail].astype(np.int64) - own.size]
         key = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            rows, tail = [], ([], [], [], [])
+        for batch in slices(batches):
+            rows, rare = [], ([], [], [], [])
             for doc_id, text, fold in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens = words(text)
                 places, found = own.look_up(tokens)
-                if empty_head:
-                    places[:] = -1
                 in_head = places >= 0
                 at = places[in_head]
-                model = float(table[contexts(found), found].sum(dtype=np.float64) + within_of[at].sum())
-                rows.append((key, doc_id, fold == 0, len(tokens), int(in_head.sum()), float(base_of[at].sum()), model))
-                rare = Counter(tokens[k] for k in np.flatnonzero(~in_head).tolist())
-                for word, times in rare.items():
-                    for column, x in zip(tail, (key, word, times, 0 if word == END else shared_class(word))):
+                rows.append((key, doc_id, fold == 0, len(tokens), len(at), float(base_of[at].sum()), float(within_of[at].sum()), found.tobytes()))
+                for word, times in Counter(tokens[k] for k in np.flatnonzero(~in_head).tolist()).items():
+                    for column, x in zip(rare, (key, word, times, -1 if word == END else tail(word))):
                         column.append(x)
                 key += 1
-            r, t = list(zip(*rows)), len(tail[0])
             null = lambda kind, n: pa.nulls(n, kind)
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            names = ["key", "doc_id", "held_out", "n_tokens", "n_head", "base", "model", "word", "times", "k"]
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+            names = ["key", "doc_id", "held_out", "n_tokens", "n_head", "base", "within", "ids", "word", "times", "k"]
+            n, r = len(rows), len(rare[0])
             if rows:
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, kind) for c, kind in zip(r, kinds)), null(pa.binary(), len(rows)), null(pa.int64(), len(rows)), null(pa.int64(), len(rows))], names=names)
-            if t:
-                yield pa.RecordBatch.from_arrays([pa.array(tail[0], pa.int64()), *(null(kind, t) for kind in kinds[1:]), pa.array(tail[1], pa.binary()), pa.array(tail[2], pa.int64()), pa.array(tail[3], pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)), null(pa.binary(), n), null(pa.int64(), n), null(pa.int32(), n)], names=names)
+            if r:
+                yield pa.RecordBatch.from_arrays([pa.array(rare[0], pa.int64()), *(null(kind, r) for kind in kinds[1:]), pa.array(rare[1], pa.binary()), pa.array(rare[2], pa.int64()), pa.array(rare[3], pa.int32())], names=names)
 
-    both = written(docs.mapInArrow(run, "key bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_head bigint, base double, model double, word binary, times bigint, k bigint"), "scores")
-    room_of = F.element_at(F.array(*(F.lit(float(x)) for x in log_room)), (F.col("k") + 1).cast("int"))
+    both = written(docs.mapInArrow(encode, "key bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_head bigint, base double, within double, ids binary, word binary, times bigint, k int"), "ids")
+    texts = both.where("ids IS NOT NULL")
+    start = spark.sparkContext.broadcast(LogBilinear(size))
+    network = spark.sparkContext.broadcast(trained(texts.where("NOT held_out"), shared, start, steps))
+
+    def sums_over_targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for far in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(NEAR, far)), pa.array(np.arange(NEAR)), pa.array(network.value.normaliser(far))], names=["far", "near", "z"])
+
+    z = np.zeros((FAR, NEAR))
+    table = spark.range(FAR).repartition(FAR).mapInArrow(sums_over_targets, "far bigint, near bigint, z double").toArrow()  # a row a context
+    z[table.column("far").to_numpy(), table.column("near").to_numpy()] = table.column("z").to_numpy()
+    normalisers = spark.sparkContext.broadcast(z)
+
+    def by_model(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, model, z = shared.value, network.value, normalisers.value
+        (a, b), bias = model.contexts(), model.log_share + model.p["bias"][:, 0]
+        names = ["key", "doc_id", "held_out", "n_tokens", "n_head", "base", "within"]
+        for batch in slices(batches):
+            ids, ends = _joined(batch.column("ids"))
+            far, near = examples(ids, ends, own)
+            found = np.zeros(len(ids) + 1)
+            for k in range(0, len(ids), _BUFFER):
+                s = slice(k, k + _BUFFER)
+                dots = np.einsum("bd,bd->b", a[far[s]] + b[near[s]], model.p["target"][ids[s]])
+                found[1:][s] = dots + bias[ids[s]] - z[far[s], near[s]]
+            np.cumsum(found, out=found)
+            sums = (found[ends] - found[np.append(0, ends[:-1])]) / math.log(10) if len(ends) else np.zeros(0)
+            model_score = pa.array(sums + batch.column("within").to_numpy())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), model_score], names=[*names, "model"])
+
+    scored = texts.drop("word", "times", "k").mapInArrow(by_model, "key bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_head bigint, base double, within double, model double")
+    room_of = F.element_at(F.array(*(F.lit(float(x)) for x in log_room)), F.col("k") + 1)
     log_c = F.log10(F.coalesce("c", F.lit(0)) + _ADD)
     rare = (
         both.where("word IS NOT NULL")
@@ -282,15 +398,11 @@ def score(docs: DataFrame, folds: int = 10, head: int = HEAD, steps: int = 2500)
         .agg(
             F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_rare"),
             F.sum(F.col("times") * (log_c - log_all)).alias("base_rare"),
-            F.sum(F.col("times") * F.when(F.col("k") >= OWN, log_c - room_of).otherwise(0.0)).alias("model_rare"),
+            F.sum(F.col("times") * F.when(F.col("k") >= 0, log_c - room_of).otherwise(0.0)).alias("model_rare"),
         )
     )
-    return (
-        both.where("word IS NULL")
-        .join(rare, "key", "left")
-        .select(
-            "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
-            F.lit(int(total)).cast("bigint").alias("train_tokens"),
-            (F.col("base") + F.coalesce("base_rare", F.lit(0.0))).alias("base_score"), (F.col("model") + F.coalesce("model_rare", F.lit(0.0))).alias("score"),
-        )
+    return scored.join(rare, "key", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).alias("n_known"),
+        F.lit(int(total)).cast("bigint").alias("train_tokens"),
+        (F.col("base") + F.coalesce("base_rare", F.lit(0.0))).alias("base_score"), (F.col("model") + F.coalesce("model_rare", F.lit(0.0))).alias("score"),
     )
