@@ -5,7 +5,7 @@ from marginalia.llm import quality, secrets, simhash
 from tokenizers import Tokenizer
 
 from tests.llm.test_packing import check
-from tests.llm.test_simhash import grouped, plain
+from tests.llm.test_shingles import smallest
 
 
 @pytest.fixture(scope="module")
@@ -32,8 +32,8 @@ def test_quality_stage(spark, stages):
 
 
 def test_dedup_stage(stages):
-    want = grouped({i: plain(r.text) for i, r in stages[0].items()})
-    assert stages[1].keys() == set(want.values())
+    """Five-word shingles and a similarity of 0.8, as near-duplicate stages are to take."""
+    assert stages[1].keys() == set(smallest({i: r.text for i, r in stages[0].items()}).values())
 
 
 def test_secret_stage(stages):
@@ -59,3 +59,33 @@ def test_dedup_edges(spark):
     found = sorted((tuple(r) for r in simhash.deduplicate(frame).collect()), key=str)
     assert found == sorted([(1, "a b c d"), (3, "q r s t"), (3, "z y x w"), (None, "lone one"), (5, None)], key=str)
     assert simhash.deduplicate(frame.limit(0)).count() == 0
+
+
+def test_run_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, columns whose names clash with those
+    that stages use, and no rows at all."""
+    long = " ".join(f"word{k % 977} and{k}" for k in range(60_000))
+    rows = [
+        (1, "some plain words in a row here", "en", "s", 30), (1, "some plain words in a row here", "en", "s", 30), (2, None, "en", "s", 0), (3, "", None, None, None),
+        (None, "a text that has no id of its own", "de", "s", 32), (5, long, "en", "s", len(long)), (6, long + " password=abcdef123", "en", "s", len(long)), (7, "x" * 300_000, "fr", "s", 300_000),
+    ]
+    extra = ["_sum", "_tokens", "_key", "_hash", "secrets", "group", "node", "fp", "rejected", "stays", "piece", "_text"]
+    frame = spark.createDataFrame([(*r, *(str(k) for k in range(len(extra)))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra))
+    labels = spark.createDataFrame([(1, 1), (5, 1), (2, 0), (None, 1)], "doc_id long, quality int")
+    for name, docs in (("full", frame), ("none", frame.limit(0))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    after = [spark.read.parquet(str(tmp_path / "full" / "documents.parquet"))]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after.append(stage(spark, after[-1], str(tmp_path / "full")))
+        assert after[-1].columns == corpus_pipeline.COLUMNS
+    kept = sorted(((r.doc_id, r.text) for r in after[2].collect()), key=str)
+    texts = [t for _, t in kept]
+    assert len(set(texts)) == len(texts) and (5, long) in kept and 6 not in [i for i, _ in kept]  # 6 is nearly 5
+    assert {1, None, 5} <= {i for i, _ in kept}
+    found = corpus_pipeline.run(spark, str(tmp_path / "full")).collect()
+    assert {r.doc_id for r in found} == {i for i, _ in kept}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    whole = sum((r.ids for r in sorted((r for r in found if r.doc_id == 5), key=lambda r: r.piece)), [])
+    assert whole == library.encode(long, add_special_tokens=False).ids + [0]
