@@ -65,49 +65,6 @@ def test_in_parts(monkeypatch):
     assert np.array_equal(shingles.shingles(text), whole)
 
 
-def connected(pairs, names):
-    root = {i: i for i in names}
-    for a, b in pairs:
-        x, y = sorted((root[a], root[b]))
-        root = {i: x if r == y else r for i, r in root.items()}
-    return root
-
-
-def fits(n, p, m, q):
-    return 9 * min(n - p, m - q) >= 4 * (n + m)
-
-
-@pytest.mark.parametrize("seed", range(200))
-@pytest.mark.parametrize("split", [False, True])
-def test_sweep_connects_what_fitting_pairs_connect(seed, split):
-    rng = random.Random(seed)
-    size = rng.randint(1, 30)
-    n = [rng.choice([rng.randint(1, 12), rng.randint(50, 90)]) for _ in range(size)]
-    p = [rng.randint(0, max(0, x // rng.choice([2, 5, 9]))) for x in n]
-    h = [rng.randint(0, 2) for _ in range(size)]
-    want = connected([(i, j) for i in range(size) for j in range(i) if h[i] == h[j] and fits(n[i], p[i], n[j], p[j])], range(size))
-    low, high, turned = shingles.intervals(np.array(n), np.array(p))
-    columns = [np.array(h), low, high, turned, np.arange(size)]
-
-    def ordered(c):
-        return [x[np.lexsort((c[3], c[1], c[0]))] for x in c]
-
-    found = []
-    if split:  # as in tasks that send merged lists on
-        kept = []
-        for half in (slice(None, size // 2), slice(size // 2, None)):
-            links, rest = shingles.swept(*ordered([x[half] for x in columns]))
-            found += links.T.tolist()
-            kept.append(rest)
-        columns = [np.concatenate(c) for c in zip(*kept)]
-    links, _ = shingles.swept(*ordered(columns))
-    got = connected(found + links.T.tolist(), range(size))
-    if split:  # never fewer; merged intervals may connect more
-        assert all(got[i] == got[r] for i, r in want.items())
-    else:
-        assert got == want
-
-
 @pytest.mark.parametrize("size", [64, 4000, 1 << 24])
 def test_components_in_parts(spark, texts, monkeypatch, size):
     """Components larger than a task are verified in parts, with the same result."""
