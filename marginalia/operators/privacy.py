@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.rng import keyed_exponential, keyed_gumbel, keyed_laplace, keyed_normal
+from marginalia.operators.ordered import numbered, running_max
 
 
 def gaussian(df: DataFrame, value: str, sigma: float, sensitivity: float, seed, keys: Sequence[str]) -> DataFrame:
@@ -60,10 +61,9 @@ def generalised_scores(df: DataFrame, item: str, quality: str, sensitivity: str,
 def pareto(df: DataFrame, quality: str, sensitivity: str) -> DataFrame:
     """Rows that no other row beats: higher quality at no more sensitivity, or less at no lower quality.
     One sorted pass per distinct sensitivity instead of comparing all pairs."""
-    best = df.groupBy(sensitivity).agg(F.max(quality).alias("_b"))
-    before = Window.orderBy(sensitivity).rowsBetween(Window.unboundedPreceding, -1)
-    front = best.withColumn("_p", F.max("_b").over(before)).where(F.col("_p").isNull() | (F.col("_b") > F.col("_p")))
-    return df.join(front.select(F.col(sensitivity).alias("_s"), "_b"), (F.col(sensitivity) == F.col("_s")) & (F.col(quality) == F.col("_b"))).select(df.columns)
+    best = df.groupBy(sensitivity).agg(F.max(quality).alias("_best"))
+    front = running_max(best, [sensitivity], "_best", "_most").where("_best = _most").groupBy("_best").agg(F.min(sensitivity).alias("_least"))
+    return df.join(front, (F.col(sensitivity) == F.col("_least")) & (F.col(quality) == F.col("_best"))).select(df.columns)
 
 
 def clipped(df: DataFrame, client: str, value: str, most: float) -> DataFrame:
@@ -76,7 +76,7 @@ def rare_cells_merged(counts: DataFrame, attr: str, noisy: str, threshold: float
     """(attr, code): values with a noisy count of ``threshold`` or more keep codes of their own, in
     order; all others share the next code."""
     kept = counts.where(F.col(noisy) >= threshold)
-    ranked = kept.select(attr, (F.row_number().over(Window.orderBy(attr)) - 1).cast("int").alias("code"))
+    ranked = numbered(kept.select(attr), [attr], "code").withColumn("code", F.col("code").cast("int"))
     rest = F.broadcast(kept.agg(F.count("*").cast("int").alias("_n")))
     return counts.join(ranked, attr, "left").crossJoin(rest).select(attr, F.coalesce("code", "_n").alias("code"))
 

@@ -28,8 +28,11 @@ def iid(df: DataFrame, key: str, clients: int, seed: int) -> DataFrame:
 
 
 def random(df: DataFrame, key: str, shards: int, seed: int) -> DataFrame:
-    """Each row to a random shard."""
-    return df.withColumn("shard", F.floor(keyed_uniform(seed, key) * shards).cast("int"))
+    """Each row to a random shard, but the first ``shards`` rows by key to one each, so that none is empty."""
+    leading = df.select(key).orderBy(key).limit(shards)  # as many rows as shards
+    leading = leading.select(key, (F.row_number().over(Window.orderBy(key)) - 1).cast("int").alias("_first"))
+    drawn = F.floor(keyed_uniform(seed, key) * shards).cast("int")
+    return df.join(F.broadcast(leading), key, "left").withColumn("shard", F.coalesce("_first", drawn)).drop("_first").select(*df.columns, "shard")
 
 
 def sequential(df: DataFrame, order: str, rows: int) -> DataFrame:

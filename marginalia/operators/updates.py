@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.rng import keyed_normal, keyed_uniform
+from marginalia.operators.ordered import numbered
 
 
 def from_vectors(df: DataFrame, client: str, vector: str) -> DataFrame:
@@ -80,9 +81,10 @@ def top_k_masked(updates: DataFrame, sparsity: float) -> DataFrame:
 def random_masked(updates: DataFrame, sparsity: float, seed) -> DataFrame:
     """The same with components drawn at random, equal for all clients of a seed."""
     shared = updates.select("idx").distinct().withColumn("_u", keyed_uniform(seed, "idx"))
-    n = F.count("*").over(Window.partitionBy(F.lit(1)))
-    ranked = shared.withColumn("_r", F.row_number().over(Window.orderBy("_u", "idx"))).withColumn("_n", n)  # as long as the model
-    return updates.join(ranked, "idx").select("client_id", "idx", F.when(F.col("_r") <= F.floor(sparsity * F.col("_n")), 0.0).otherwise(F.col("v")).alias("v"))
+    ranked = numbered(shared, ["_u", "idx"], "_r")
+    size = F.broadcast(ranked.agg(F.count("*").alias("_n")))  # one row
+    dropped = ranked.crossJoin(size).where(F.col("_r") < F.floor(sparsity * F.col("_n"))).select("idx", F.lit(0.0).alias("_zero"))
+    return updates.join(dropped, "idx", "left").select("client_id", "idx", F.coalesce("_zero", "v").alias("v"))
 
 
 def message_bytes(updates: DataFrame, how: str = "identity", sparsity: float = 0.0) -> DataFrame:
@@ -125,16 +127,16 @@ def diversity(updates: DataFrame) -> DataFrame:
     return both.select("norm_of_sum", "sum_of_norms", (F.col("sum_of_norms") / F.col("norm_of_sum")).alias("diversity"), (F.col("sum_of_norms") / (F.col("norm_of_sum") - F.col("sum_of_norms"))).alias("orthogonality"))
 
 
-def combined(a: DataFrame, wa: float, b: DataFrame, wb: float) -> DataFrame:
-    """wa * a + wb * b of two models (idx, v)."""
-    return a.join(b.withColumnRenamed("v", "_b"), "idx").select("idx", (wa * F.col("v") + wb * F.col("_b")).alias("v"))
+def combined(a: DataFrame, wa: float, b: DataFrame, wb: float, keys: tuple[str, ...] = ("idx",)) -> DataFrame:
+    """wa * a + wb * b of two models (idx, v), or of as many as further ``keys`` tell apart."""
+    return a.join(b.withColumnRenamed("v", "_b"), list(keys)).select(*keys, (wa * F.col("v") + wb * F.col("_b")).alias("v"))
 
 
-def trust_ratio(weights: DataFrame, gradients: DataFrame) -> DataFrame:
+def trust_ratio(weights: DataFrame, gradients: DataFrame, keys: tuple[str, ...] = ("layer",)) -> DataFrame:
     """(layer, ratio): norm of weights over norm of gradients of each layer; 1 where either is 0."""
-    w = weights.groupBy("layer").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("w"))
-    g = gradients.groupBy("layer").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("g"))
-    return w.join(g, "layer").select("layer", F.when((F.col("w") > 0) & (F.col("g") > 0), F.col("w") / F.col("g")).otherwise(1.0).alias("ratio"))
+    w = weights.groupBy(*keys).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("w"))
+    g = gradients.groupBy(*keys).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("g"))
+    return w.join(g, list(keys)).select(*keys, F.when((F.col("w") > 0) & (F.col("g") > 0), F.col("w") / F.col("g")).otherwise(1.0).alias("ratio"))
 
 
 def running_average(measured: DataFrame) -> DataFrame:

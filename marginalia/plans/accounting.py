@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import count as counter
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -182,32 +183,32 @@ class BudgetNode:
 
 
 class Protected:
-    """A DataFrame with its budget: transformations keep track of stability, measurements of cost."""
+    """A DataFrame with its budget: transformations keep track of stability, measurements of cost. All
+    tables derived from one share its count of measurements, so no two measurements share a draw of noise."""
 
-    def __init__(self, df: DataFrame, node: BudgetNode, seed: str):
+    def __init__(self, df: DataFrame, node: BudgetNode, seed: str, draws: Iterator[int] | None = None):
         self.df, self.node, self.seed = df, node, seed
-        self._drawn = 0
+        self._draws = counter(1) if draws is None else draws
 
     @classmethod
     def of(cls, df: DataFrame, budget: float, seed: str) -> Protected:
         return cls(df, BudgetNode(budget), seed)
 
     def where(self, predicate: str) -> Protected:
-        return Protected(self.df.where(predicate), self.node.derive(), self.seed)
+        return Protected(self.df.where(predicate), self.node.derive(), self.seed, self._draws)
 
     def project(self, cols: list[str]) -> Protected:
-        return Protected(self.df.select(*cols), self.node.derive(), self.seed)
+        return Protected(self.df.select(*cols), self.node.derive(), self.seed, self._draws)
 
     def split_by(self, col: str, values: list) -> list[Protected]:
         """Disjoint parts, one per value."""
         nodes = self.node.partition(len(values))
-        return [Protected(self.df.where(self.df[col] == v), n, f"{self.seed}|{v}") for v, n in zip(values, nodes)]
+        return [Protected(self.df.where(self.df[col] == v), n, self.seed, self._draws) for v, n in zip(values, nodes)]
 
     def laplace(self, domain, query, eps: float) -> DataFrame:
         """Noisy counts of every cell of a query; a row changes one cell by one."""
         from marginalia.operators import marginals, privacy
 
         self.node.request(eps)
-        self._drawn += 1
         full = marginals.zero_filled(marginals.marginals(self.df, domain, [query]), domain, [query])
-        return privacy.laplace(full, "cnt", 1.0 / eps, 1.0, f"{self.seed}#{self._drawn}", ["query_id", "cell"]).select("cell", "noisy")
+        return privacy.laplace(full, "cnt", 1.0 / eps, 1.0, f"{self.seed}#{next(self._draws)}", ["query_id", "cell"]).select("cell", "noisy")

@@ -216,7 +216,8 @@ def one_way(df: DataFrame, domain: Domain, eps: float, delta: float, seed: int =
 def distributed_aim(df: DataFrame, client: str, domain: Domain, work: Sequence[Query], eps: float, delta: float, q: float, seed: int = 0, accumulate: bool = False, max_rounds: int = 200, **options) -> Result:
     """AIM over clients' rows: each round works from the summed answers of a Poisson cohort, scaled to
     all; with ``accumulate`` from those of every client seen so far. Clients' answers are taken once and
-    kept; a round is a semi-join and a sum, and only the sums reach the driver."""
+    kept; a round is a semi-join and a sum, and only the sums reach the driver. A round whose cohort is
+    empty measures zeros, with the noise of a cohort of less than one client."""
     from marginalia.operators.ordered import numbered as in_order
 
     closed = workload.closure(work)
@@ -232,7 +233,8 @@ def distributed_aim(df: DataFrame, client: str, domain: Domain, work: Sequence[Q
         own = cohorts.where(F.col("round") <= t if accumulate else F.col("round") == t).select("_c").distinct()
         n = own.count()
         if not n:
-            return answers(marginals.summed_over(held), domain, closed), 1.0
+            nobody = held.limit(0)
+            return answers(marginals.summed_over(nobody), domain, closed), 2.0 * count
         some = answers(marginals.summed_over(held.join(own, "_c", "left_semi")), domain, closed)
         return {k: v * (count / n) for k, v in some.items()}, count / n
 

@@ -12,6 +12,7 @@ from marginalia.domain import Domain
 from marginalia.functions import weights
 from marginalia.functions.cells import cantor_pair
 from marginalia.operators import encode, evaluate, factor, marginals, matrix, partition, privacy, ranges, shard, updates, workload
+from marginalia.storage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -637,7 +638,7 @@ def sequential_shard(spark, sf_dir):
     return shard.sequential(table(spark, sf_dir, "events").select("event_id"), "event_id", 64)
 
 
-@query("random_shard", f"SELECT event_id, CAST(floor({uniform_sql('5', 'event_id')} * 10) AS INTEGER) AS shard FROM events")
+@query("random_shard", f"SELECT event_id, CAST(CASE WHEN k < 10 THEN k ELSE floor({uniform_sql('5', 'event_id')} * 10) END AS INTEGER) AS shard FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS k FROM events)")
 def random_shard(spark, sf_dir):
     return shard.random(table(spark, sf_dir, "events").select("event_id"), "event_id", 10, 5)
 
@@ -977,10 +978,12 @@ def running_average(spark, sf_dir):
     return updates.running_average(by_day).withColumn("v", F.round("v", 9))
 
 
-@query("trust_ratio", f"WITH {UPDATES_SQL}, w AS (SELECT idx % 4 AS layer, sqrt(sum(v * v)) AS w FROM u WHERE client_id = 0 GROUP BY ALL), g AS (SELECT idx % 4 AS layer, sqrt(sum(v * v)) AS g FROM u WHERE client_id = 1 GROUP BY ALL) SELECT CAST(layer AS INTEGER) AS layer, round(w / g, 9) AS ratio FROM w JOIN g USING (layer)")
+@query("trust_ratio", f"WITH {UPDATES_SQL}, n AS (SELECT client_id, idx % 4 AS layer, sqrt(sum(v * v)) AS n FROM u GROUP BY ALL) SELECT w.client_id, CAST(w.layer AS INTEGER) AS layer, round(CASE WHEN w.n > 0 AND g.n > 0 THEN w.n / g.n ELSE 1.0 END, 9) AS ratio FROM n w JOIN n g ON g.layer = w.layer AND g.client_id = w.client_id + 1")
 def trust_ratio(spark, sf_dir):
+    """Every client's layers against those of the next."""
     rows = vectors(spark, sf_dir).withColumn("layer", (F.col("idx") % 4).cast("int"))
-    return updates.trust_ratio(rows.where("client_id = 0"), rows.where("client_id = 1")).withColumn("ratio", F.round("ratio", 9))
+    following = rows.withColumn("client_id", F.col("client_id") - 1)
+    return updates.trust_ratio(rows, following, ("client_id", "layer")).withColumn("ratio", F.round("ratio", 9))
 
 
 @query("random_sparse_mask", f"WITH {UPDATES_SQL}, m AS (SELECT idx, row_number() OVER (ORDER BY {uniform_sql('21', 'idx')}, idx) AS k FROM (SELECT DISTINCT idx FROM u)) SELECT client_id, u.idx, CASE WHEN k <= 32 THEN 0.0 ELSE v END AS v FROM u JOIN m ON u.idx = m.idx")
@@ -988,11 +991,12 @@ def random_sparse_mask(spark, sf_dir):
     return updates.random_masked(vectors(spark, sf_dir), 0.5, 21)
 
 
-@query("model_combination", f"WITH {UPDATES_SQL} SELECT a.idx, round(0.25 * a.v + 2.0 * b.v, 9) AS v FROM u a JOIN u b ON a.idx = b.idx WHERE a.client_id = 0 AND b.client_id = 1")
+@query("model_combination", f"WITH {UPDATES_SQL} SELECT a.client_id, a.idx, round(0.25 * a.v + 2.0 * b.v, 9) AS v FROM u a JOIN u b ON a.idx = b.idx AND b.client_id = a.client_id + 1")
 def model_combination(spark, sf_dir):
-    rows = vectors(spark, sf_dir)
-    of = lambda k: rows.where(F.col("client_id") == k).select("idx", "v")
-    return updates.combined(of(0), 0.25, of(1), 2.0).withColumn("v", F.round("v", 9))
+    """Every client's model with the next one's."""
+    rows = vectors(spark, sf_dir).select("client_id", "idx", "v")
+    following = rows.withColumn("client_id", F.col("client_id") - 1)
+    return updates.combined(rows, 0.25, following, 2.0, ("client_id", "idx")).withColumn("v", F.round("v", 9))
 
 
 @query("client_probabilities", "WITH c AS (SELECT c_nationkey AS client_id, avg(c_acctbal) / 1000 AS utility FROM customer GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY utility, client_id) - 1 AS k, count(*) OVER () AS n, max(utility) OVER () AS m FROM c), e AS (SELECT client_id, CASE WHEN k < floor(0.4 * n) THEN 0 ELSE exp(2.0 * (utility - m)) END AS e FROM r) SELECT client_id, round(e / sum(e) OVER (), 9) AS p FROM e")
@@ -1218,13 +1222,20 @@ def cluster_feature_skew(spark, sf_dir):
 
 
 def streamed(frame: DataFrame, mode: str) -> DataFrame:
-    """The result of a stream over what is there now, run to its end."""
+    """The result of a stream over what is there now, run to its end and written to the shared folder: a
+    folder for each batch, so that one that runs again replaces itself, or one for all if each is whole."""
     import uuid
 
-    name = f"stream_{uuid.uuid4().hex}"
-    running = frame.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    spark = frame.sparkSession
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], frame.schema).write.parquet(f"{folder}/rows/none")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/{'all' if mode == 'complete' else number}")
+
+    running = frame.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(put).trigger(availableNow=True).start()
     running.awaitTermination()
-    return frame.sparkSession.table(name)
+    return spark.read.schema(frame.schema).parquet(f"{folder}/rows/*")
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,10 +11,12 @@ _made: list[str] = []  # tables of this process that clean() may delete
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir. Only where it has none, as in tests on one machine, is a
-    temporary folder made and set."""
+    """The session's spark.checkpoint.dir. Only on one machine, where driver and executors are one process,
+    may it be unset; then a temporary folder is made and set. A cluster must name a folder that all share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='marginalia-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -79,6 +79,33 @@ def test_protected_frame(spark, table):
         protected.laplace(D, ("d",), 0.1)
 
 
+def test_no_two_measurements_share_noise(spark, table):
+    """The same cells of derived tables, of parts and of the root each get a draw of their own."""
+    root = accounting.Protected.of(table, 100.0, "seed")
+    places = [root, root, root.where("true"), root.where("true").where("true"), root.project(["a", "b", "c", "d"]), *root.split_by("a", [0, 0])]
+    true = {r.cell: r.cnt for r in marginals.zero_filled(marginals.marginals(table, D, [("b",)]), D, [("b",)]).collect()}
+    part = {r.cell: r.cnt for r in marginals.zero_filled(marginals.marginals(table.where("a = 0"), D, [("b",)]), D, [("b",)]).collect()}
+    noise = [[r.noisy - (part if k >= 5 else true)[r.cell] for r in p.laplace(D, ("b",), 0.5).collect()] for k, p in enumerate(places)]
+    drawn = [round(x, 9) for row in noise for x in row]
+    assert len(set(drawn)) == len(drawn)
+
+
+def test_empty_cohort_takes_no_part(spark, table):
+    held = table.withColumn("client", F.lit(1))
+    seen = []
+
+    def watch(truth, *rest, **options):
+        seen.append(truth(0))
+        raise StopIteration
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(mechanisms, "aim_loop", watch)
+        with pytest.raises(StopIteration):
+            mechanisms.distributed_aim(held, "client", D, [("a", "b")], 1.0, 1e-6, q=1e-12, seed=1)
+    known, scale = seen[0]
+    assert scale == 2.0 and all(not v.any() for v in known.values())
+
+
 # -- graphical models --------------------------------------------------------------------------
 
 
