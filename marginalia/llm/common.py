@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from marginalia.storage import shared_dir, written
 
-__all__ = ["components", "free", "roots", "shared_dir", "slices", "written"]
+__all__ = ["components", "free", "roots", "shared_dir", "slices", "small", "written"]
 
 #: Rows that a task turns into Python objects at once, and bytes; Arrow batches are bounded in bytes by Spark itself.
 BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+BROADCAST_ROWS = 200_000
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,6 +35,12 @@ def free(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """To be broadcast if it has BROADCAST_ROWS rows of a few numbers at most; counted, not guessed. More rows
+    meet the other side in a shuffle join."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest of the numbers below n that links (a, b) lead each of them to."""
     root = np.arange(n)

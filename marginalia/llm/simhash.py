@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import components, free, roots, slices, written
+from marginalia.llm.common import components, free, roots, slices, small, written
 
 _SHORT = 8  # fingerprints of lists that are tallied many lists at once
 _PAIRS_UP_TO = 1024  # fingerprints of a list whose pairs are tallied; longer lists are split
@@ -192,6 +192,6 @@ def deduplicate(docs: DataFrame, grouped=groups, **options) -> DataFrame:
     leaving = times.join(least, "group").where("o != f OR n > 1").select(F.col("_key").alias(key), F.col("_hash").alias(sign), (F.col("o") == F.col("f")).alias("stays"))
     leaving = written(leaving, "leaving")
     keyed = docs.withColumns({key: names["_key"], sign: names["_hash"]})
-    once = keyed.join(leaving, [key, sign], "left_anti")
-    repeated = keyed.join(leaving.where("stays").select(key, sign), [key, sign], "left_semi").dropDuplicates([key, sign])
+    once = keyed.join(small(leaving), [key, sign], "left_anti")
+    repeated = keyed.join(small(leaving.where("stays").select(key, sign)), [key, sign], "left_semi").dropDuplicates([key, sign])
     return once.union(repeated).select([F.col(f"`{c}`") for c in docs.columns])
