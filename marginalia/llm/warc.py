@@ -47,24 +47,31 @@ def repeats(pages: DataFrame, least_bytes: int) -> DataFrame:
     return lean.join(counted.select("digest", "first"), "digest").distinct()
 
 
-def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
-    """One WARC/1.1 record. A revisit has no payload; its headers tell the digest and length of
-    the full one, and the record that holds it."""
-    name = _NO_ID if page_id is None else str(page_id)
+def _name(page_id: int | None) -> str:
+    return _NO_ID if page_id is None or page_id == _LEAST_ID else str(page_id)
+
+
+def _record_id(kind: str, page_id: int | None, digest: str, copy: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, f'{kind} {_name(page_id)} {digest} {copy}')}>"
+
+
+def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str, copy: int = 0) -> bytes:
+    """One WARC/1.1 record, the ``copy``-th of its id and payload. A revisit has no payload; its headers
+    tell the digest and length of the full one, and the record that holds it."""
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(_SPACE, f'{kind} {name} {digest}')}>",
+        f"WARC-Record-ID: {_record_id(kind, page_id, digest, copy)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {''.join((url or '').split())}",
         "Content-Type: text/html; charset=utf-8",
         f"WARC-Payload-Digest: sha256:{digest}",
-        f"X-Page-ID: {name}",
+        f"X-Page-ID: {_name(page_id)}",
         f"X-Payload-Length: {len(payload)}",
     ]
     body = payload
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {refers_to}", f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(_SPACE, f'response {refers_to} {digest}')}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page: {_name(refers_to)}", f"WARC-Refers-To: {_record_id('response', refers_to, digest, 0)}"]
         body = b""
     lines.append(f"Content-Length: {len(body)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -171,29 +178,30 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 100, file_bytes: int
     told = again.select(F.lit(None).cast("long").alias(_ID), F.lit(None).cast("string").alias(_URL), F.lit(None).cast("string").alias("payload"), "pid", "digest", "first", F.lit(False).alias("page"))
     if shards is None:
         payload = base.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
-        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-payload // SHARD_BYTES))
+        shards = -(-payload // SHARD_BYTES)  # by the payload alone, so that any session writes the same files
     n = max(1, shards)
     placed = full.union(told).withColumn("shard", place(F.col("pid"), edges(base, n)))
-    ordered = placed.repartition(n, "shard").sortWithinPartitions("shard", "pid", "digest", "page", _URL)
+    ordered = placed.repartitionById(n, "shard").sortWithinPartitions("shard", "pid", "digest", "page", _URL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, done = None, []
-        before, refers = None, None
+        before, refers, copy = None, None, 0
         for batch in slices(batches):
             for row in batch.to_pylist():
                 own, same = (row["pid"], row["digest"]), (row["pid"], row["digest"]) == before
                 before = own
                 if not row["page"]:
-                    refers = row["first"]
+                    refers, copy = row["first"], 0
                     continue
                 payload = row["payload"].encode("utf-8", "surrogatepass")
                 if not same:
-                    refers = None
+                    refers, copy = None, 0
                 if shard is None or shard.shard != row["shard"]:
                     done += shard.close() if shard else []
                     shard = _Shard(folder, row["shard"], file_bytes)
                 kind = "response" if refers is None else "revisit"
-                shard.add(_member(record(kind, row[_ID], row[_URL], payload, row["digest"], refers, date), level), row[_ID])
+                shard.add(_member(record(kind, row[_ID], row[_URL], payload, row["digest"], refers, date, copy), level), row[_ID])
+                copy += 1
                 if refers is None and len(payload) >= least_bytes:
                     refers = row["pid"]  # of rows that follow with the same id and payload
         done += shard.close() if shard else []
@@ -253,7 +261,7 @@ def read(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFr
                             raise ValueError(f"{name}: a payload does not have its digest")
                         page = fields["x-page-id"]
                         to = fields.get("x-refers-to-page")
-                        to = None if to is None or int(to) == _LEAST_ID else int(to)
+                        to = None if to in (None, _NO_ID) else int(to)
                         rows.append((None if page == _NO_ID else int(page), fields["warc-target-uri"], int(fields["x-payload-length"]), digest, fields["warc-type"], to, name, None if revisit else payload)[: len(names)])
                         held += len(payload) if with_payload else 0
                         if len(rows) >= 4096 or held > 16 << 20:

@@ -74,3 +74,25 @@ def test_broken_file():
     assert [p for _, p in warc.records(io.BytesIO(data * 2))] == [b"abc"] * 2
     with pytest.raises(ValueError):
         list(warc.records(io.BytesIO(data[:-9])))
+
+
+def test_records_of_null_and_repeated_ids(spark, tmp_path):
+    """Every record has an id of its own, every revisit refers to a record that is there, no header holds what
+    stands for a null, and another session's settings write the same bytes."""
+    long = "<p>" + "payload " * 40
+    rows = [(None, "u", long), (None, "v", long), (3, "w", long), (3, "w", long), (4, "x", "short"), (4, "x", "short"), (None, None, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    files = []
+    for k, partitions in enumerate(("8", "3")):
+        was = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        folder = f"file://{tmp_path}/{k}"
+        warc.write(frame, folder)
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+        files.append({p.name: p.read_bytes() for p in (tmp_path / str(k)).glob("*.warc.gz")})
+    assert files[0] == files[1] and files[0]
+    heads = [h for data in files[0].values() for h, _ in warc.records(io.BytesIO(data))]
+    ids = [h["warc-record-id"] for h in heads]
+    assert len(set(ids)) == len(ids) == len(rows)
+    assert all(h["warc-refers-to"] in ids for h in heads if h["warc-type"] == "revisit")
+    assert sum(h["warc-type"] == "revisit" for h in heads) == 3 and not any("-9223372036854775808" in v for h in heads for v in h.values())
