@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.domain import Domain
 from marginalia.operators.marginals import marginals, normalised
+from marginalia.operators.ordered import running_sum
 from marginalia.operators.workload import Query
 
 
@@ -68,3 +69,34 @@ def running_statistics(df: DataFrame, value: str) -> DataFrame:
     inf = F.lit(float("inf"))
     m, s = F.avg(value), F.avg(F.col(value) * F.col(value))
     return df.agg(F.coalesce(m, inf).alias("mean"), F.coalesce(F.sqrt(s - m * m + 1e-6), inf).alias("deviation"), F.coalesce(F.min(value), inf).alias("least"), F.coalesce(F.max(value), inf).alias("largest"), F.count(value).alias("n"))
+
+
+def column_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row: the mean of each column."""
+    return df.agg(*(F.avg(c).alias(c) for c in cols))
+
+
+def class_distribution(df: DataFrame, *cols: str) -> DataFrame:
+    """Rows by class: of a label, or of clients and labels."""
+    return df.groupBy(*cols).agg(F.count("*").alias("n"))
+
+
+def averaged(metrics: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Metrics of several seeds, averaged for each setting."""
+    return metrics.groupBy(*by).agg(F.count("*").alias("seeds"), *(F.avg(c).alias(c) for c in cols))
+
+
+def best_metric(metrics: DataFrame, group: str, metric: str, at: str) -> DataFrame:
+    """(group, at, metric) of each group's largest metric, the earliest of equal ones; none that is null."""
+    best = F.max_by(F.struct(at, metric), F.struct(F.col(metric), -F.col(at))).alias("_b")
+    return metrics.where(F.col(metric).isNotNull()).groupBy(group).agg(best).select(group, f"_b.{at}", f"_b.{metric}")
+
+
+def pending_jobs(jobs: DataFrame, start: str, end: str) -> DataFrame:
+    """One row: the mean over ends of jobs of how many were pending then, the ending one included; starts come
+    first at equal times. Infinity without jobs. Summed over ends, pending jobs are the starts so far less the
+    ends before, so two running numbers do."""
+    events = jobs.select(F.col(start).alias("_t"), F.lit(1).alias("_s")).union(jobs.select(F.col(end), F.lit(0)))
+    counted = running_sum(events.withColumn("_o", 1 - F.col("_s")), ["_t", "_o"], "_s", "_started")
+    ended = running_sum(counted.withColumn("_e", 1 - F.col("_s")), ["_t", "_o"], "_e", "_ended")
+    return ended.where("_s = 0").agg(F.coalesce(F.avg(F.col("_started") - F.col("_ended") + 1), F.lit(float("inf"))).alias("pending"))

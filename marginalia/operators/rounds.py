@@ -60,6 +60,25 @@ def prefix_noise(steps: DataFrame, deviation: float, seed) -> DataFrame:
     return noisy.groupBy(*steps.columns).agg(F.sum("_z").alias("noise"))
 
 
+def efficient_prefix_noise(steps: DataFrame, deviation: float, seed) -> DataFrame:
+    """As prefix_noise, with every node estimated from all draws below it as well: a node's value is its own
+    draw and half the sum of its halves' values, and one of level h counts 1 / (2 - 2^-h). Each node's draw
+    is sent to its ancestors with its weight, so there is one sum by node and one by step."""
+    last = steps.agg(F.max("step")).first()[0] or 0
+    top = max(int(last).bit_length() - 1, 0)
+    spark = steps.sparkSession
+    levels = spark.range(top + 1).select(F.explode(F.sequence("id", F.lit(top).cast("long"))).alias("_level"), F.col("id").alias("_below"))
+    draws = spark.range(last).select("id", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("_below")).where(F.expr(f"shiftleft(id + 1, _below) <= {last}"))
+    draws = draws.withColumn("_z", deviation * keyed_normal(seed, "_below", "id"))
+    sent = draws.join(F.broadcast(levels), "_below")  # at most 63 * 64 / 2 rows
+    up = F.expr("shiftright(id, CAST(_level - _below AS INT))")
+    nodes = sent.groupBy("_level", up.alias("_node")).agg(F.sum(F.col("_z") / F.pow(F.lit(2.0), F.col("_level") - F.col("_below"))).alias("_v"))
+    bits = steps.select(*steps.columns, F.explode(F.expr("filter(sequence(0L, 62L), k -> (shiftright(step, CAST(k AS INT)) & 1L) = 1L)")).alias("_level"))
+    bits = bits.withColumn("_node", F.expr("shiftright(step, CAST(_level AS INT)) - 1"))
+    weighted = bits.join(nodes, ["_level", "_node"]).withColumn("_w", F.col("_v") / (2.0 - F.pow(F.lit(2.0), -F.col("_level"))))
+    return weighted.groupBy(*steps.columns).agg(F.sum("_w").alias("noise"))
+
+
 def worst(scores: DataFrame, group: str, item: str, score: str, k: int) -> DataFrame:
     """(group, item, place) of each group's ``k`` largest scores."""
     w = Window.partitionBy(group).orderBy(F.desc(score), item)

@@ -83,20 +83,96 @@ def sample_skew(df: DataFrame, key: str, clients: int, a: float, seed: int) -> D
     return by_weights(df, key, zipf_weights(clients, a), seed, "client_id")
 
 
+#: Classes whose counts and sizes the driver holds in Dirichlet splits, at most.
+MAX_CLASSES = 100_000
+
+
+def dirichlet_sizes(total: int, shares: Sequence[float]) -> np.ndarray:
+    """Whole sizes that sum to ``total``, one a client, from its shares: cut down, at least 1, and what is
+    then missing goes to the first smallest, what is too much comes off the largest ones. With fewer rows
+    than clients the first clients have one row each."""
+    n = len(shares)
+    if total <= n:
+        return (np.arange(n) < total).astype(np.int64)
+    sizes = np.maximum((np.asarray(shares, dtype=float) * total).astype(np.int64), 1)
+    short = total - sizes.sum()
+    if short > 0:
+        sizes[sizes.argmin()] += short
+    while short < 0:
+        k = sizes.argmax()
+        taken = min(-short, sizes[k] - 1)
+        sizes[k] -= taken
+        short += taken
+    return sizes
+
+
+def _class_counts(df: DataFrame, label: str) -> list[tuple]:
+    found = df.groupBy(label).count().orderBy(label).limit(MAX_CLASSES + 1).collect()  # bounded by the limit
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"{label} has over {MAX_CLASSES} classes")
+    return [(r[0], r["count"]) for r in found]
+
+
+def by_sizes(df: DataFrame, key: str, label: str | None, counts: Sequence[tuple], sizes: Sequence[np.ndarray], seed: int) -> DataFrame:
+    """The rows of each class, in a random order, to clients of the given sizes one after the other.
+    ``counts`` has (class, rows) in ascending order, nulls first; without a label all rows are one class."""
+    ends, at = [], 0
+    for (_, count), own in zip(counts, sizes):
+        ends += (at + np.cumsum(own)).tolist()
+        at += count
+    order = [*([F.col(label).asc_nulls_first()] if label else []), F.col("_u"), F.col(key)]
+    placed = numbered(df.withColumn("_u", keyed_uniform(seed, key)), order, "_place")
+    # the place among all rows says both the class and the client; ends that repeat are of empty shares
+    clients = len(sizes[0]) if len(sizes) else 1
+    spans = [(a, b, k % clients) for k, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
+    width = max(1, at // 4096)
+    spark = df.sparkSession
+    listed = spark.createDataFrame(spans, "_a bigint, _b bigint, client_id int").withColumn("_k", F.explode(F.sequence(F.expr(f"_a div {width}"), F.expr(f"(_b - 1) div {width}"))))
+    return placed.withColumn("_k", F.expr(f"_place div {width}")).join(listed, "_k").where((F.col("_place") >= F.col("_a")) & (F.col("_place") < F.col("_b"))).select(*df.columns, "client_id")
+
+
 def label_skew(df: DataFrame, key: str, label: str, clients: int, beta: float, seed: int) -> DataFrame:
-    """Each label's rows to clients by Dirichlet proportions of its own; there is one row of
-    proportions a label, drawn on the driver from the seed."""
-    labels = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
+    """Each label's rows to clients by Dirichlet proportions of its own, in whole sizes of at least one
+    row. Proportions are drawn on the driver from the seed, label after label in ascending order."""
     rng = np.random.default_rng(seed)
-    rows = []
-    for value in labels:
-        ends = np.cumsum(rng.dirichlet(np.full(clients, beta)))
-        ends[-1] = 1.0
-        rows.append((value, ends.tolist()))
-    kind = dict(df.dtypes)[label]
-    table = F.broadcast(df.sparkSession.createDataFrame(rows, f"_label {kind}, _ends array<double>"))
-    chosen = df.withColumn("_u", keyed_uniform(seed, key)).join(table, df[label].eqNullSafe(F.col("_label")))
-    return chosen.withColumn("client_id", F.size(F.filter("_ends", lambda e: e <= F.col("_u"))).cast("int")).drop("_u", "_label", "_ends")
+    counts = _class_counts(df, label)
+    sizes = [dirichlet_sizes(n, rng.dirichlet(np.full(clients, beta))) for _, n in counts]
+    return by_sizes(df, key, label, counts, sizes, seed)
+
+
+def capped_sizes(counts: Sequence[int], clients: int, beta: float, seed: int, tries: int = 10_000) -> list[np.ndarray]:
+    """Sizes by class and client: proportions of a class count only for clients that hold less than an equal
+    part of all rows so far; drawn anew until every client has two rows."""
+    rng, total = np.random.default_rng(seed), sum(counts)
+    if total < 2 * clients:
+        raise ValueError(f"{total} rows do not give {clients} clients two each")
+    for _ in range(tries):
+        held, out = np.zeros(clients, dtype=np.int64), []
+        for n in counts:
+            shares = rng.dirichlet(np.full(clients, beta)) * (held < total / clients)
+            if not shares.sum():  # all that is drawn is with clients that are full
+                break
+            cuts = (np.cumsum(shares / shares.sum()) * n).astype(np.int64)
+            cuts[-1] = n
+            out.append(np.diff(cuts, prepend=0))
+            held += out[-1]
+        else:
+            if held.min() >= 2:
+                return out
+    raise ValueError(f"no split with two rows for each of {clients} clients in {tries} draws")
+
+
+def label_skew_capped(df: DataFrame, key: str, label: str, clients: int, beta: float, seed: int) -> DataFrame:
+    """Label skew in which clients that are full take no more rows (see capped_sizes)."""
+    counts = _class_counts(df, label)
+    return by_sizes(df, key, label, counts, capped_sizes([n for _, n in counts], clients, beta, seed), seed)
+
+
+def sample_skew_dirichlet(df: DataFrame, key: str, clients: int, beta: float, seed: int) -> DataFrame:
+    """Client sizes by Dirichlet proportions of all rows, at least one each."""
+    total = df.count()
+    shares = np.random.default_rng(seed).dirichlet(np.full(clients, beta))
+    return by_sizes(df, key, None, [(None, total)], [dirichlet_sizes(total, shares)], seed)
 
 
 _METHOD = re.compile(r"(debug_label_skew|zipf_sample_skew|dirch_label_skew|dirch_sample_skew|cluster)(?:.*?beta=([0-9.]+))?")

@@ -58,6 +58,16 @@ def laplace_scale(rho: float, rounds: int = 1) -> float:
     return 1 / math.sqrt(2 * rho / rounds)
 
 
+def best_noise(l1: float, l2: float, eps: float, delta: float) -> tuple[str, float]:
+    """("laplace" or "gaussian", its scale): whichever has the smaller deviation for these sensitivities.
+    The Gaussian one, also taken at a tie, is calibrated by the zCDP that (eps, delta) allows."""
+    b = l1 / eps
+    if delta <= 0:
+        return "laplace", b
+    sigma = l2 * gaussian_sigma(cdp_rho(eps, delta))
+    return ("laplace", b) if math.sqrt(2) * b < sigma else ("gaussian", sigma)
+
+
 def gaussian_cost(sigma: float) -> float:
     return 1 / (2 * sigma**2)
 

@@ -37,5 +37,5 @@ def flattened(config: dict, prefix: str = "", sign: str = ".") -> dict:
 
 def merged_results(spark: SparkSession, folder: str) -> DataFrame:
     """All result files of a folder, columns by name; those of merged files are left out."""
-    files = spark.read.option("header", True).option("inferSchema", True).option("pathGlobFilter", "*.csv").csv(folder)
+    files = spark.read.option("header", True).option("inferSchema", True).option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).csv(folder)
     return files.where(~F.input_file_name().contains("full"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -666,12 +668,36 @@ def power_law_shard(spark, sf_dir):
     return shard.by_weights(table(spark, sf_dir, "events").select("event_id"), "event_id", shard.power_law_weights(6, 3.0), 8)
 
 
-@query("label_skew_dirichlet")
+def _dirichlet_sql(of: str, key: str, label: str, seed: int, classes: int, clients: int, beta: float, out: str) -> str:
+    """Sizes from drawn shares and rows cut at them, by windows; ``of`` has the columns key and y."""
+    rng = np.random.default_rng(seed)
+    shares = ", ".join(f"({k}, {j}, CAST('{float(x)!r}' AS DOUBLE))" for k in range(classes) for j, x in enumerate(rng.dirichlet(np.full(clients, beta))))
+    return f"""WITH t AS ({of}), c AS (SELECT y, count(*) AS n, row_number() OVER (ORDER BY y) - 1 AS k FROM t GROUP BY y), p(k, j, share) AS (VALUES {shares}),
+    z AS (SELECT y, n, j, greatest(CAST(floor(share * n) AS BIGINT), 1) AS m FROM c JOIN p USING (k)),
+    d AS (SELECT *, n - sum(m) OVER (PARTITION BY y) AS gap, row_number() OVER (PARTITION BY y ORDER BY m, j) AS low, row_number() OVER (PARTITION BY y ORDER BY m DESC, j) AS high FROM z),
+    e AS (SELECT y, sum(m + CASE WHEN (gap > 0 AND low = 1) OR (gap < 0 AND high = 1) THEN gap ELSE 0 END) OVER (PARTITION BY y ORDER BY j) AS stop FROM d),
+    r AS (SELECT {key}, y, row_number() OVER (PARTITION BY y ORDER BY {uniform_sql(str(seed), key)}, {key}) AS place FROM t)
+    SELECT {out}, CAST(sum(CASE WHEN stop < place THEN 1 ELSE 0 END) AS INTEGER) AS client_id FROM r JOIN e USING (y) GROUP BY {key}, y"""
+
+
+@query("label_skew_dirichlet", _dirichlet_sql("SELECT o_orderkey, o_orderstatus AS y FROM orders", "o_orderkey", "o_orderstatus", 1, 3, 10, 0.5, "o_orderkey, y AS o_orderstatus"))
 def label_skew_dirichlet(spark, sf_dir):
     """Rows of each order status to ten clients by Dirichlet proportions."""
     return shard.label_skew(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus", 10, 0.5, 1)
 
 
+@query("sample_skew_dirichlet", _dirichlet_sql("SELECT event_id, 0 AS y FROM events", "event_id", "y", 2, 1, 8, 1.5, "event_id"))
+def sample_skew_dirichlet(spark, sf_dir):
+    """Events to eight clients of Dirichlet sizes."""
+    return shard.sample_skew_dirichlet(table(spark, sf_dir, "events").select("event_id"), "event_id", 8, 1.5, 2)
+
+
+@query("label_skew_capped")
+def label_skew_capped(spark, sf_dir):
+    """Rows of each order priority to six clients, of which full ones take no more; tests hold it to brute force."""
+    return shard.label_skew_capped(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", "o_orderpriority", 6, 0.5, 3)
+
+
 @query("poisson_cohort", f"SELECT CAST(r.range AS BIGINT) AS round, CAST(n_nationkey AS INTEGER) AS client_id FROM nation, range(20) r WHERE {uniform_sql('9', 'r.range', 'n_nationkey')} < 0.2")
 def poisson_cohort(spark, sf_dir):
     clients = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("client_id"))
@@ -1285,3 +1311,123 @@ def prefix_marginal(spark, sf_dir):
 @query("random_boxes", "SELECT CAST(range AS BIGINT) AS box, " + ", ".join(f"CAST(least(floor({uniform_sql(f'3a{k}', 'range')} * {n}), floor({uniform_sql(f'3b{k}', 'range')} * {n})) AS INTEGER) AS low{k}, CAST(greatest(floor({uniform_sql(f'3a{k}', 'range')} * {n}), floor({uniform_sql(f'3b{k}', 'range')} * {n})) AS INTEGER) AS high{k}" for k, n in enumerate((64, 32))) + " FROM range(200)")
 def random_boxes(spark, sf_dir):
     return ranges.random_boxes(spark, (64, 32), 200, 3)
+
+
+# -- what is written and read again, and figures of runs --------------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("model_saved_and_loaded", f"WITH {ITEMS_SQL} SELECT query_id, cell, round(CAST(cnt AS DOUBLE), 3) AS cnt FROM ({sets_sql([('rf', 'ls'), ('qb',), ('mo',)])})")
+def model_saved_and_loaded(spark, sf_dir):
+    """Marginals of a model whose potentials are logarithms of counts, after it was saved and read again."""
+    from marginalia.plans import mechanisms, pgm
+    from marginalia.sources import sinks
+
+    work = [("rf", "ls"), ("qb",), ("mo",)]
+    known = mechanisms.answers(marginals.dense(items(spark, sf_dir), ITEMS, work), ITEMS, work)
+    own = ITEMS.project(["rf", "ls", "qb", "mo"])
+    model = pgm.GraphicalModel(own, work, float(known[("qb",)].sum()))
+    for q in model.cliques:
+        asked = next(w for w in work if set(w) == set(q))
+        model.potentials[q] = pgm.Factor(own.project(asked), np.asarray(known[asked], dtype=float).reshape(own.project(asked).shape)).log()
+    folder = _folder(spark, "model")
+    sinks.save_model(spark, model, folder)
+    found = sinks.load_model(spark, folder)
+    rows = [(",".join(q), k, float(x)) for q in work for k, x in enumerate(found.project(q).flat()) if x > 0.5]
+    return spark.createDataFrame(rows, "query_id string, cell bigint, cnt double").withColumn("cnt", F.round("cnt", 3))
+
+
+@query("split_cached", ORACLE_SQL["random_shard"])
+def split_cached(spark, sf_dir):
+    """A split that is made for the first caller and read by the second."""
+    from marginalia.sources import sinks
+
+    folder, settings = _folder(spark, "splits"), {"dataset": "events", "seed": 5, "clients": 10, "method": "random"}
+    for _ in range(2):
+        found = sinks.cached(spark, folder, settings, lambda: random_shard(spark, sf_dir))
+    return found
+
+
+@query("answers_cached", ORACLE_SQL["marginals_by_client"])
+def answers_cached(spark, sf_dir):
+    """Clients' answers, kept by query."""
+    from marginalia.sources import sinks
+
+    made = marginals_by_client(spark, sf_dir)
+    found = sinks.cached(spark, _folder(spark, "answers"), {"dataset": "orders", "workload": CLIENT_WORK}, lambda: made, by=["query_id"])
+    return found.select(made.columns)
+
+
+@query("rows_as_csv", ORACLE_SQL["uniform_synthetic_rows"])
+def rows_as_csv(spark, sf_dir):
+    """Synthetic rows written as CSV and read again."""
+    from marginalia.sources import sinks
+
+    rows, folder = uniform_synthetic_rows(spark, sf_dir), _folder(spark, "csv")
+    sinks.write_csv(rows, folder)
+    return spark.read.schema(rows.schema).option("header", True).csv(folder)
+
+
+@query("sweep_results", "SELECT o_orderstatus AS task_id, count(*) AS orders, round(avg(o_totalprice), 4) AS price FROM orders GROUP BY 1")
+def sweep_results(spark, sf_dir):
+    """A row for each task of a sweep, then all of them; the last task runs twice."""
+    from marginalia.plans import sweep
+    from marginalia.sources import sinks
+
+    orders, folder = table(spark, sf_dir, "orders"), _folder(spark, "sweep")
+    for status in ("F", "O", "P", "P"):
+        found = orders.where(F.col("o_orderstatus") == status).agg(F.count("*").alias("orders"), F.round(F.avg("o_totalprice"), 4).alias("price")).first()
+        sinks.append_result(spark, folder, status, found.asDict())
+    return sweep.merged_results(spark, folder).select("task_id", F.col("orders").cast("long").alias("orders"), F.col("price").cast("double").alias("price"))
+
+
+@query("column_means", "SELECT round(avg(l_quantity), 6) AS l_quantity, round(avg(l_extendedprice), 4) AS l_extendedprice, round(avg(l_discount), 8) AS l_discount FROM lineitem")
+def column_means(spark, sf_dir):
+    means = evaluate.column_means(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    return means.select(F.round("l_quantity", 6).alias("l_quantity"), F.round("l_extendedprice", 4).alias("l_extendedprice"), F.round("l_discount", 8).alias("l_discount"))
+
+
+@query("class_distribution", "SELECT user_id % 10 AS client, event_type, count(*) AS n FROM events GROUP BY ALL")
+def class_distribution(spark, sf_dir):
+    return evaluate.class_distribution(table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("client"), "event_type"), "client", "event_type")
+
+
+@query("averaged_metrics", "SELECT event_type, count(*) AS seeds, round(avg(value), 6) AS value FROM events GROUP BY event_type")
+def averaged_metrics(spark, sf_dir):
+    return evaluate.averaged(table(spark, sf_dir, "events"), ["event_type"], ["value"]).withColumn("value", F.round("value", 6))
+
+
+@query("best_metric", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS k FROM events WHERE value IS NOT NULL) WHERE k = 1")
+def best_metric(spark, sf_dir):
+    """Each user's largest value and the event that has it."""
+    return evaluate.best_metric(table(spark, sf_dir, "events"), "user_id", "value", "event_id")
+
+
+@query(
+    "pending_jobs",
+    """WITH j AS (SELECT epoch_us(ts) / 1e6 AS a, epoch_us(ts) / 1e6 + 60 + 600 * abs(value) AS b FROM events), e AS (SELECT a AS t, 0 AS o FROM j UNION ALL SELECT b, 1 FROM j),
+    n AS (SELECT o, sum(1 - o) OVER w - sum(o) OVER w + 1 AS pending FROM e WINDOW w AS (ORDER BY t, o ROWS UNBOUNDED PRECEDING)) SELECT round(avg(pending), 6) AS pending FROM n WHERE o = 1""",
+)
+def pending_jobs(spark, sf_dir):
+    """Trainings under way when one ends, on average."""
+    start = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    jobs = table(spark, sf_dir, "events").select(start.alias("a"), (start + 60 + 600 * F.abs("value")).alias("b"))
+    return evaluate.pending_jobs(jobs, "a", "b").select(F.round("pending", 6).alias("pending"))
+
+
+@query(
+    "efficient_prefix_noise",
+    f"""WITH z AS (SELECT CAST(l.range AS BIGINT) AS lv, CAST(i.range AS BIGINT) AS node FROM range(6) l, range(40) i WHERE ((i.range + 1) << l.range) <= 40),
+    d AS (SELECT lv, node, 2.0 * sqrt(-2 * ln({uniform_sql('1a', 'lv', 'node')})) * cos(6.283185307179586 * {uniform_sql('1b', 'lv', 'node')}) AS x FROM z),
+    v AS (SELECT z.lv, z.node, sum(d.x / (1 << (z.lv - d.lv))) AS x FROM z JOIN d ON d.lv <= z.lv AND (d.node >> (z.lv - d.lv)) = z.node GROUP BY ALL),
+    s AS (SELECT CAST(range + 1 AS BIGINT) AS step FROM range(40))
+    SELECT step, round(sum(x / (2.0 - 1.0 / (1 << lv))), 6) AS noise FROM s JOIN v ON (step >> lv) & 1 = 1 AND node = (step >> lv) - 1 GROUP BY step""",
+)
+def efficient_prefix_noise(spark, sf_dir):
+    """Noise of running sums from trees whose nodes use what lies below them."""
+    from marginalia.operators import rounds
+
+    return rounds.efficient_prefix_noise(spark.range(40).select((F.col("id") + 1).alias("step")), 2.0, "1").select("step", F.round("noise", 6).alias("noise"))
