@@ -1071,7 +1071,16 @@ def exact_fraction(spark, sf_dir):
     return tabular.fraction(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 0.2)
 
 
-@query("zipf_client_rows")
+def _zipf_clients_sql(clients: int, rows: int, attrs: int, a: float, size: int, seed: str) -> str:
+    w = 1.0 / np.arange(1, size + 1) ** a
+    ends = ", ".join(f"CAST('{float(e)!r}' AS DOUBLE)" for e in np.cumsum(w / w.sum())[:-1])
+    normal = [f"sqrt(-2 * ln({uniform_sql(f'{seed}v{k}a', 'id')})) * cos(6.283185307179586 * {uniform_sql(f'{seed}v{k}b', 'id')})" for k in range(attrs)]
+    means = ", ".join(f"1 + (SELECT count(*) FROM e WHERE e.x <= {uniform_sql(f'{seed}m{k}', 'client_id')}) AS m{k}" for k in range(attrs))
+    values = ", ".join(f'CAST(least(greatest(floor(m{k} + {z}), 0), {size}) AS INTEGER) AS "{k}"' for k, z in enumerate(normal))
+    return f"WITH e AS (SELECT unnest([{ends}]) AS x), c AS (SELECT client_id, {means} FROM (SELECT CAST(range AS INTEGER) AS client_id FROM range({clients}))), i AS (SELECT CAST(range AS BIGINT) AS id, CAST(range // {rows} AS INTEGER) AS client_id FROM range({clients * rows})) SELECT client_id, {values} FROM i JOIN c USING (client_id)"
+
+
+@query("zipf_client_rows", _zipf_clients_sql(100, 50, 10, 2.0, 40, "1"))
 def zipf_client_rows(spark, sf_dir):
     """Rows of 100 clients around client means from a Zipf law."""
     from marginalia.sources import tabular
@@ -1431,3 +1440,128 @@ def efficient_prefix_noise(spark, sf_dir):
     from marginalia.operators import rounds
 
     return rounds.efficient_prefix_noise(spark.range(40).select((F.col("id") + 1).alias("step")), 2.0, "1").select("step", F.round("noise", 6).alias("noise"))
+
+
+# -- sources and small operators --------------------------------------------------------------------------------
+
+
+def _bins_sql(x: str, n: int) -> str:
+    return f"CAST(greatest(0, ceil(({x} - min({x}) OVER ()) / ((max({x}) OVER () - min({x}) OVER ()) / {n})) - 1) AS INTEGER)"
+
+
+@query("named_csv_rows", f"SELECT c_nationkey, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS c_mktsegment, {_bins_sql('c_acctbal', 32)} AS c_acctbal FROM customer")
+def named_csv_rows(spark, sf_dir):
+    """A CSV table with its domain beside it, encoded by that domain; the last column is the label."""
+    from marginalia.sources import sinks, tabular
+
+    root = _folder(spark, "named")
+    sinks.write_csv(table(spark, sf_dir, "customer").select("c_nationkey", "c_acctbal", "c_mktsegment"), f"{root}/customer.csv")
+    sidecar = '{"c_nationkey": 25, "c_acctbal": -1, "c_mktsegment": 5}'
+    spark.createDataFrame([(sidecar,)], "value string").coalesce(1).write.text(f"{root}/customer-domain.json")
+    return tabular.named_csv(spark, root, "customer").df
+
+
+@query("rows_by_metadata", f"SELECT CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS INTEGER) AS o_orderstatus, {_bins_sql('o_totalprice', 32)} AS o_totalprice, CAST(dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER) AS o_orderpriority FROM orders")
+def rows_by_metadata(spark, sf_dir):
+    """Orders encoded by the kinds of their columns; ids are dropped."""
+    from marginalia.sources import tabular
+
+    kinds = {"o_orderkey": "id", "o_orderstatus": "categorical", "o_totalprice": "numerical", "o_orderpriority": "categorical"}
+    return tabular.by_metadata(table(spark, sf_dir, "orders").select(*kinds), kinds).df
+
+
+@query("histogram_file_cells", "SELECT CAST(l_linenumber - 1 AS INTEGER) AS line, count(*) AS cnt FROM lineitem GROUP BY 1")
+def histogram_file_cells(spark, sf_dir):
+    """Counts by line number, written as a file with a count a line and read with their attribute's name."""
+    from marginalia.sources import tabular
+
+    counts = table(spark, sf_dir, "lineitem").groupBy("l_linenumber").count().orderBy("l_linenumber").collect()  # seven rows
+    path = _folder(spark, "histogram")
+    spark.createDataFrame([("\n".join(str(r["count"]) for r in counts),)], "value string").coalesce(1).write.text(path)
+    found = tabular.with_coordinates(tabular.histogram_file(spark, path), ["line"], [len(counts)])
+    return found.select(F.col("line").cast("int").alias("line"), "cnt")
+
+
+@query("uniformity_cells", f"SELECT CAST(range AS BIGINT) AS cell, CAST(100000 // 250 AS BIGINT) AS cnt FROM (SELECT range FROM range(1000) ORDER BY {uniform_sql('6', 'range')}, range LIMIT 250)")
+def uniformity_cells(spark, sf_dir):
+    """A quarter of the cells with equal counts."""
+    from marginalia.sources import tabular
+
+    return tabular.uniformity(spark, 0.25, 1000, 100_000, 6)
+
+
+@query(
+    "sampled_cells",
+    f"""WITH c AS (SELECT c_nationkey AS cell, count(*) AS cnt FROM customer GROUP BY 1), e AS (SELECT cell, sum(cnt) OVER (ORDER BY cell) AS stop, sum(cnt) OVER (ORDER BY cell) - cnt AS start, sum(cnt) OVER () AS total FROM c),
+    d AS (SELECT {uniform_sql('4', 'range')} AS u FROM range(5000)) SELECT CAST(cell AS BIGINT) AS cell, count(*) AS cnt FROM d, e WHERE floor(u * total) >= start AND floor(u * total) < stop GROUP BY 1""",
+)
+def sampled_cells(spark, sf_dir):
+    """Draws with replacement from the histogram of customers by nation."""
+    from marginalia.sources import tabular
+
+    counts = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("cell")).agg(F.count("*").alias("cnt"))
+    return tabular.sampled(counts, 5000, 4)
+
+
+@query("exponential_fill_cells", "WITH r AS (SELECT range AS cell, CAST(0.1 AS DOUBLE) * pow(CAST(0.9 AS DOUBLE), range) AS raw FROM range(50)), x AS (SELECT cell, raw / sum(raw) OVER () * 12345 AS exact FROM r), k AS (SELECT cell, floor(exact) AS low, row_number() OVER (ORDER BY floor(exact) - exact, cell) AS place, 12345 - sum(floor(exact)) OVER () AS short FROM x) SELECT CAST(cell AS BIGINT) AS cell, CAST(low + CASE WHEN place <= short THEN 1 ELSE 0 END AS BIGINT) AS cnt FROM k")
+def exponential_fill_cells(spark, sf_dir):
+    from marginalia.sources import tabular
+
+    return spark.createDataFrame(list(enumerate(tabular.exponential_fill(50, 12345, 0.1))), "cell bigint, cnt bigint")
+
+
+@query("columns_dropped", f"WITH {ITEMS_SQL} SELECT rf, qb, mo FROM enc")
+def columns_dropped(spark, sf_dir):
+    """The encoded rows without five of their attributes."""
+    return encode.project(items(spark, sf_dir), ITEMS.marginalize(["ls", "pb", "db", "tb", "ln"]).attrs)
+
+
+@query("rows_within_domain", "SELECT user_id, event_type FROM (SELECT CASE WHEN user_id % 7 = 0 THEN NULL ELSE user_id END AS user_id, event_type FROM events) WHERE user_id IS NOT NULL AND event_type IS NOT NULL")
+def rows_within_domain(spark, sf_dir):
+    """Events whose columns of the domain are all there; every seventh user is made null."""
+    rows = table(spark, sf_dir, "events").withColumn("user_id", F.when(F.col("user_id") % 7 != 0, F.col("user_id")))
+    return encode.within(rows, Domain.of({"user_id": 1, "event_type": 1}))
+
+
+@query("round_timeline", "SELECT CAST(e.range + 1 AS BIGINT) AS epoch, CAST(r.range + 1 AS BIGINT) AS round, CAST(e.range * 8 + r.range + 1 AS BIGINT) AS global_round, (e.range * 8 + r.range + 1) / CAST(8 AS DOUBLE) AS epochs FROM range(5) e, range(8) r")
+def round_timeline(spark, sf_dir):
+    from marginalia.operators import rounds
+
+    frame = spark.range(40).select(F.expr("id div 8 + 1").alias("epoch"), (F.col("id") % 8 + 1).alias("round"))
+    at, epochs = rounds.timeline(F.col("epoch"), F.col("round"), 8)
+    return frame.select("epoch", "round", at.alias("global_round"), epochs.cast("double").alias("epochs"))
+
+
+@query("answer_bytes", "WITH a(k, name, n) AS (VALUES " + ", ".join(f"({k}, '{a}', {n})" for k, (a, n) in enumerate(ITEMS.config.items())) + ") SELECT a.name || ',' || b.name AS query_id, CAST(8 * a.n * b.n AS BIGINT) AS bytes FROM a JOIN a b ON a.k < b.k")
+def answer_bytes(spark, sf_dir):
+    """What a client sends for each pair of attributes."""
+    return evaluate.answer_bytes(ITEMS, workload.k_way(ITEMS.attrs, 2), spark)
+
+
+@query("complement_queries", "WITH a(k, name) AS (VALUES " + ", ".join(f"({k}, '{a}')" for k, a in enumerate(ITEMS.attrs)) + ") SELECT a.name || ',' || b.name AS query_id, [a.name, b.name] AS attrs FROM a JOIN a b ON a.k < b.k WHERE b.name <> 'ln' AND a.name <> 'rf'")
+def complement_queries(spark, sf_dir):
+    """Pairs that no known query is."""
+    from marginalia.operators import sets
+
+    known = [q for q in workload.k_way(ITEMS.attrs, 2) if "ln" in q or "rf" in q]
+    return sets.complement_queries(workload.as_frame(spark, workload.k_way(ITEMS.attrs, 2)), workload.as_frame(spark, known))
+
+
+@query("workload_for_target", "WITH a(k, name) AS (VALUES " + ", ".join(f"({k}, '{a}')" for k, a in enumerate(ITEMS.attrs)) + ") SELECT name AS query_id FROM a UNION ALL SELECT a.name || ',' || b.name FROM a JOIN a b ON a.k < b.k WHERE 'mo' IN (a.name, b.name)")
+def workload_for_target(spark, sf_dir):
+    """Single attributes, and the pairs that hold the target."""
+    return workload.as_frame(spark, workload.for_target(workload.some_way(ITEMS.attrs, (1, 2)), "mo")).select("query_id")
+
+
+@query("column_shards", "SELECT event_id, user_id, user_id AS shard FROM events")
+def column_shards(spark, sf_dir):
+    return shard.by_column(table(spark, sf_dir, "events").select("event_id", "user_id"), "user_id")
+
+
+@query("noise_scales", "SELECT CAST(k.range + 1 AS INTEGER) AS rounds, round(sqrt((k.range + 1) / (2 * 0.3e0)), 9) AS gaussian, round(sqrt(8 * 0.3e0 / (k.range + 1)), 9) AS exponential, round(1 / sqrt(2 * 0.3e0 / (k.range + 1)), 9) AS laplace FROM range(30) k")
+def noise_scales(spark, sf_dir):
+    """Scales that spend a zCDP budget of 0.3 over so many rounds."""
+    from marginalia.plans import accounting as acc
+
+    rows = [(k, *(round(f(0.3, k), 9) for f in (acc.gaussian_sigma, acc.exponential_epsilon, acc.laplace_scale))) for k in range(1, 31)]
+    return spark.createDataFrame(rows, "rounds int, gaussian double, exponential double, laplace double")
