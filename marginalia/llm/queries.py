@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.catalog import table
-from marginalia.llm import byte_bpe, lm, multiset, neardup_vectors, packing, quality, secrets, simhash, warc, wordpiece
+from marginalia.llm import byte_bpe, lm, multiset, neardup_vectors, packing, quality, secrets, simhash, warc, word_bpe, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -109,3 +109,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's perplexity, its language's threshold and what follows."""
     found = quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "lang", "perplexity", "threshold", "rejected")
+
+
+@query("op13_word_bpe")
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text decoded from them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return word_bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("text")
