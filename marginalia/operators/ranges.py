@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.functions.cells import cell
+from marginalia.operators import implicit
+
 STRIDE = 4096  # values of a range in running sums
 
 
@@ -66,6 +69,25 @@ def range_queries_2d(grid: DataFrame, queries: DataFrame) -> DataFrame:
     return out.select(*queries.columns, (value("_a") - value("_b") - value("_c") + value("_d")).alias("total"))
 
 
+def box_queries(counts: DataFrame, attrs: Sequence[str], shape: Sequence[int], boxes: DataFrame) -> DataFrame:
+    """Adds ``total`` to each row (box, low0, high0, ...) of ``boxes``, in the order of ``attrs``: what the counts
+    (attrs..., cnt) have in it. ``box`` tells the rows apart; counts may lack empty cells."""
+    x = implicit.vector(counts.groupBy(cell(attrs, shape).alias("i")).agg(F.sum("cnt").alias("v")), math.prod(shape))
+    found = implicit.Boxes(boxes.withColumn("i", F.col("box")), 0, shape).apply(x)
+    return boxes.join(found.select(F.col("i").alias("box"), F.round("v").cast("long").alias("total")), "box").select(*boxes.columns, "total")
+
+
+def box_tree_totals(counts: DataFrame, attrs: Sequence[str], branching: int = 2) -> DataFrame:
+    """(level, attrs..., total) of a tree of boxes over counts (attrs..., cnt): level 0 has single cells, and a node
+    of a level ``branching`` nodes below it along each attribute; empty nodes are left out. The sums combine before the shuffle."""
+    top = counts.agg(F.max(F.greatest(*attrs, F.lit(0)))).first()[0] or 0
+    levels = 0
+    while branching**levels <= top:
+        levels += 1
+    each = F.array(*(F.struct(F.lit(k).alias("level"), *(F.expr(f"`{a}` div {branching**k}L").alias(a) for a in attrs)) for k in range(levels + 1)))
+    return counts.select(F.explode(each).alias("n"), "cnt").groupBy("n.level", *(f"n.{a}" for a in attrs)).agg(F.sum("cnt").alias("total"))
+
+
 def width_k(line: DataFrame, k: int) -> DataFrame:
     """(low, total) of every range of ``k`` values."""
     sums = prefix_sums(line)

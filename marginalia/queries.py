@@ -1565,3 +1565,6 @@ def noise_scales(spark, sf_dir):
 
     rows = [(k, *(round(f(0.3, k), 9) for f in (acc.gaussian_sigma, acc.exponential_epsilon, acc.laplace_scale))) for k in range(1, 31)]
     return spark.createDataFrame(rows, "rounds int, gaussian double, exponential double, laplace double")
+
+
+from marginalia import cell_queries  # noqa: E402,F401  (registers its queries here)
