@@ -8,7 +8,7 @@ from collections.abc import Sequence
 import numpy as np
 
 from marginalia.domain import Domain
-from marginalia.plans.pgm import Clique, Factor, Measurement, estimate_total
+from marginalia.plans.pgm import Clique, Factor, Measurement, estimate_total, most_likely
 
 
 def loopy(domain: Domain, potentials: dict[Clique, Factor], total: float, rounds: int = 50, damping: float = 0.5) -> dict[Clique, Factor]:
@@ -105,10 +105,11 @@ def mixture_answers(p: dict[str, np.ndarray], total: float, query: Clique) -> np
     return np.einsum(",".join("z" + c for c in letters) + "->" + letters, *(p[a] for a in query)).ravel() * total / components
 
 
-def dual_query(answers: dict[Clique, np.ndarray], domain: Domain, eps: float, rounds: int = 50, samples: int = 20, rate: float = 1.0, tries: int = 200, seed: int = 0) -> np.ndarray:
+def dual_query(answers: dict[Clique, np.ndarray], domain: Domain, eps: float, rounds: int = 50, samples: int = 20, rate: float = 1.0, seed: int = 0) -> np.ndarray:
     """Rows by a game: queries (cells of marginals and their complements) get weights, a few are drawn,
-    and the row that answers most of those is added; then the weights fall on queries that the rows so
-    far over-answer. eps = rounds (rounds - 1) rate samples / n, so ``rounds`` is cut to what eps pays."""
+    and the row that answers most of those is added, the best of all rows of the domain, by elimination;
+    then the weights fall on queries that the rows so far over-answer. eps = rounds (rounds - 1) rate
+    samples / n, so ``rounds`` is cut to what eps pays."""
     rng = np.random.default_rng(seed)
     names = [(q, c) for q, y in answers.items() for c in range(y.size)]
     truth = np.concatenate([y / max(y.sum(), 1e-12) for y in answers.values()])
@@ -119,18 +120,19 @@ def dual_query(answers: dict[Clique, np.ndarray], domain: Domain, eps: float, ro
     log, out = np.zeros(signed.size), []
     for _ in range(rounds):
         w = np.exp(log - log.max())
-        picked = rng.choice(signed.size, samples, p=w / w.sum())
-        pool = np.stack([rng.integers(0, s, tries) for s in domain.shape], axis=1)
-        value = np.zeros(tries)
-        for k in picked:
-            q, c = names[k % truth.size]
-            at = np.unravel_index(c, domain.project(q).shape)
-            hit = np.ones(tries, dtype=bool)
-            for a, v in zip(q, at):
-                hit &= pool[:, domain.attrs.index(a)] == v
-            value += np.where(hit, 1.0 if k < truth.size else -1.0, 0.0)
-        row = pool[int(np.argmax(value))]
+        row, _ = best_response(rng.choice(signed.size, samples, p=w / w.sum()), names, domain)
         out.append(row)
         own = np.concatenate([np.eye(y.size)[np.ravel_multi_index([row[domain.attrs.index(a)] for a in q], domain.project(q).shape)] for q, y in answers.items()])
         log += rate * (signed - np.concatenate([own, -own]))
     return np.array(out)
+
+
+def best_response(picked: np.ndarray, names: list[tuple[Clique, int]], domain: Domain) -> tuple[list[int], float]:
+    """The row that answers most of the picked queries, and how many: those below len(names) ask for a cell of a
+    marginal, the others take one off for it."""
+    sums: dict[Clique, np.ndarray] = {}
+    for k in picked:
+        q, c = names[k % len(names)]
+        sums.setdefault(q, np.zeros(domain.size(q)))[c] += 1.0 if k < len(names) else -1.0
+    found, value = most_likely([Factor(domain.project(q), v.reshape(domain.project(q).shape)) for q, v in sums.items()], domain)
+    return [found[a] for a in domain.attrs], value

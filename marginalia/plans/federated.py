@@ -21,7 +21,7 @@ from marginalia.plans.pgm import Measurement, estimate
 
 def model_answers(spark, model, work: Sequence[Query]) -> DataFrame:
     """(query_id, cell, m): the model's shares of every cell."""
-    rows = [(marginals.name(q), k, float(v)) for q in work for k, v in enumerate(model.project(q).flat() / model.total)]
+    rows = [(marginals.name(q), k, float(v)) for q, f in model.many(work).items() for k, v in enumerate(f.flat() / model.total)]
     return spark.createDataFrame(rows, "query_id string, cell bigint, m double")
 
 

@@ -93,7 +93,8 @@ def aim_loop(truth: Callable[[int], tuple[Answers, float]], domain: Domain, work
         usable = allowed(candidates, model, domain, megabytes * (ledger.spent + accounting.gaussian_cost(sigma)) / rho)
         usable = usable or ones
         if pick is None:
-            gaps = {q: weights[q] * (np.abs(x[q] - model.project(q).flat()).sum() - math.sqrt(2 / math.pi) * sigma * change * domain.size(q)) for q in usable}
+            seen = model.many(usable)
+            gaps = {q: weights[q] * (np.abs(x[q] - seen[q].flat()).sum() - math.sqrt(2 / math.pi) * sigma * change * domain.size(q)) for q in usable}
             q = _choose(gaps, choice, max(weights[c] for c in usable) * change, rng)
         else:
             q = pick(usable, weights, rng)
@@ -139,7 +140,8 @@ def mwem_pgm(df: DataFrame, domain: Domain, work: Sequence[Query], eps: float, d
         usable = [q for q in allowed(work, model, domain, megabytes * t / rounds) if q not in chosen]
         if not usable:
             break
-        gaps = {q: np.abs(known[q] - model.project(q).flat()).sum() - domain.size(q) for q in usable}
+        seen = model.many(usable)
+        gaps = {q: np.abs(known[q] - seen[q].flat()).sum() - domain.size(q) for q in usable}
         q = _choose(gaps, choice, 1.0, rng)
         ledger.exponential(choice)
         ledger.gaussian(sigma)
@@ -163,7 +165,8 @@ def mst(df: DataFrame, domain: Domain, eps: float, delta: float, seed: int = 0,
         ledger.gaussian(sigma)
         measured.append(Measurement(q, _noisy(known[q], sigma, rng), sigma))
     model = estimate(domain, measured, iterations=iterations)
-    gaps = {q: float(np.abs(known[q] - model.project(q).flat()).sum()) for q in pairs}
+    seen = model.many(pairs)
+    gaps = {q: float(np.abs(known[q] - seen[q].flat()).sum()) for q in pairs}
     root = {a: a for a in domain.attrs}
 
     def find(a: str) -> str:

@@ -30,7 +30,7 @@ class Factor:
 
     def expand(self, domain: Domain) -> np.ndarray:
         """The values with axes of the given larger domain, of length 1 where it has no say."""
-        order = self.domain.canonical(domain.attrs) if False else [a for a in domain.attrs if a in self.domain]
+        order = [a for a in domain.attrs if a in self.domain]
         moved = np.transpose(self.values, self.domain.axes(order))
         return moved.reshape([self.domain[a] if a in self.domain else 1 for a in domain.attrs])
 
@@ -215,6 +215,89 @@ class GraphicalModel:
         p = Factor(full.domain, np.exp(values))
         return Factor(p.domain, p.values * self.total / p.values.sum()).project(attrs)
 
+    def _rooted(self) -> tuple[list[int], dict[int, int]]:
+        """The cliques from the first one outwards, and the one before each."""
+        order, above = [0], {0: -1}
+        for k in order:
+            for j in self.tree.neighbours[k]:
+                if j not in above:
+                    above[j] = k
+                    order.append(j)
+        return order, above
+
+    def many(self, queries: Sequence[Sequence[str]]) -> dict[Clique, Factor]:
+        """The model's marginals on many sets of attributes, from one calibrated tree.
+
+        A query is answered in the part of the tree that has its attributes: each clique there passes on, to
+        the one before it, what its share of the query is given the separator. Queries that ask the same
+        of a branch share its message; cliques without a share pass nothing, since calibrated marginals have it
+        already. An answer needs tables over a clique and the query's attributes beyond it, never over all cells."""
+        order, above = self._rooted()
+        below: dict[int, list[int]] = {k: [] for k in order}
+        reach = {k: set(self.cliques[k]) for k in order}
+        for k in reversed(order[1:]):
+            below[above[k]].append(k)
+            reach[above[k]] |= reach[k]
+        messages: dict[tuple[int, frozenset], Factor] = {}
+
+        def joined(k: int, wanted: frozenset, table: Factor) -> Factor:
+            """``table`` times the messages of the branches that have wanted attributes which clique k lacks."""
+            for j in below[k]:
+                if asked := frozenset((wanted & reach[j]) - set(self.cliques[k])):
+                    table = table * message(j, asked)
+                    table = table.sum([a for a in table.domain.attrs if a in wanted or a in self.cliques[k]])
+            return table
+
+        def message(k: int, wanted: frozenset) -> Factor:
+            """P(wanted | separator) of the branch from clique k on."""
+            if (k, wanted) not in messages:
+                shared = self.tree.separator(k, above[k])
+                own = self.marginals[self.cliques[k]]
+                table = joined(k, wanted, own / own.sum(shared))
+                messages[k, wanted] = table.sum([a for a in table.domain.attrs if a in wanted or a in shared])
+            return messages[k, wanted]
+
+        out = {}
+        for query in map(tuple, queries):
+            wanted, top = frozenset(query), 0
+            while deeper := [j for j in below[top] if wanted <= reach[j]]:
+                top = deeper[0]
+            out[query] = joined(top, wanted, self.marginals[self.cliques[top]]).project(query)
+        return out
+
+    def kronecker(self, matrices: dict[str, np.ndarray]) -> np.ndarray:
+        """Answers to the Kronecker product of query matrices, an axis for each attribute of ``matrices`` in its
+        order; other attributes are summed over. Each matrix is folded in as soon as no other clique has its
+        attribute, so what is held grows with the numbers of rows, not with the domain."""
+        order, above = self._rooted()
+        held = {k: self.marginals[self.cliques[k]] for k in order}
+        for k in reversed(order):
+            shared = self.tree.separator(k, above[k]) if k else ()
+            table = held[k] / self.marginals[self.cliques[k]].sum(shared) if k else held[k]
+            for a in [a for a in self.cliques[k] if a not in shared]:
+                if a in matrices:
+                    at = table.domain.axes([a])[0]
+                    values = np.moveaxis(np.tensordot(matrices[a], table.values, (1, at)), 0, at)
+                    names = [f"{x} answers" if x == a else x for x in table.domain.attrs]
+                    table = Factor(Domain.of(dict(zip(names, values.shape))), values)
+                else:
+                    table = table.sum([x for x in table.domain.attrs if x != a])
+            if k:
+                held[above[k]] = held[above[k]] * table
+        return table.project([f"{a} answers" for a in matrices]).values
+
+    def fit(self, marginals: dict[Clique, np.ndarray]) -> GraphicalModel:
+        """Sets the model to that of the highest likelihood for given marginals of its cliques, in closed form: the
+        product of the cliques' tables over those of the separators. Cells without rows get none."""
+        order, above = self._rooted()
+        tables = {k: Factor(self.domain.project(self.cliques[k]), np.asarray(marginals[self.cliques[k]], dtype=float).reshape(self.domain.project(self.cliques[k]).shape)) for k in order}
+        self.total = float(tables[0].values.sum())
+        for k in order:
+            own = tables[k] / tables[k].sum(self.tree.separator(k, above[k])) if k else tables[k]
+            self.potentials[self.cliques[k]] = Factor(tables[k].domain, own.project(self.cliques[k]).values).log()
+        self.marginals = self.belief_propagation(self.potentials)
+        return self
+
     def datavector(self) -> np.ndarray:
         return self.project(self.domain.attrs).flat()
 
@@ -241,6 +324,25 @@ class GraphicalModel:
         return float(sum((cells[q] * self.potentials[q].flat())[cells[q] > 0].sum() for q in self.cliques) - n * self.log_z)
 
 
+def most_likely(factors: Sequence[Factor], domain: Domain) -> tuple[dict[str, int], float]:
+    """The cell with the largest sum of values, and that sum: each attribute in turn is eliminated by maxima
+    over what it touches, and then read off backwards. Work and tables are those of the tree of the
+    factors' attributes, not of all cells; ties go to the smallest values in the order of elimination."""
+    tree = JunctionTree(domain, [f.domain.attrs for f in factors])
+    left, buckets = list(factors), {}
+    for a in tree.order:
+        joined = Factor.zeros(domain.project([a]))
+        for f in [f for f in left if a in f.domain]:
+            joined = joined + f
+        left = [f for f in left if a not in f.domain]
+        buckets[a] = joined
+        left.append(joined.max([b for b in joined.domain.attrs if b != a]))
+    found: dict[str, int] = {}
+    for a in reversed(tree.order):
+        found[a] = int(np.argmax(buckets[a].condition({b: v for b, v in found.items() if b in buckets[a].domain}).values))
+    return found, float(sum(f.values for f in left))
+
+
 @dataclass
 class Measurement:
     """Noisy answers y = Q x + noise on a marginal; Q is None for all cells."""

@@ -1567,4 +1567,4 @@ def noise_scales(spark, sf_dir):
     return spark.createDataFrame(rows, "rounds int, gaussian double, exponential double, laplace double")
 
 
-from marginalia import cell_queries  # noqa: E402,F401  (registers its queries here)
+from marginalia import cell_queries, model_queries  # noqa: E402,F401  (they register their queries here)
