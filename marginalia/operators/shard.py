@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from marginalia.functions.rng import keyed_uniform
 from marginalia.operators.ordered import numbered
 
+#: Rows of a key and a number, at most, that are sent to every task; more meet the other side in a shuffle.
+MOST_SENT = 200_000
+
 
 def iid(df: DataFrame, key: str, clients: int, seed: int) -> DataFrame:
     """Clients of equal size, give or take one, the larger first, in a random order of rows."""
@@ -28,11 +31,13 @@ def iid(df: DataFrame, key: str, clients: int, seed: int) -> DataFrame:
 
 
 def random(df: DataFrame, key: str, shards: int, seed: int) -> DataFrame:
-    """Each row to a random shard, but the first ``shards`` rows by key to one each, so that none is empty."""
-    leading = df.select(key).orderBy(key).limit(shards)  # as many rows as shards
-    leading = leading.select(key, (F.row_number().over(Window.orderBy(key)) - 1).cast("int").alias("_first"))
+    """Each key's rows to a random shard, but those of the first ``shards`` different keys to one each, so that
+    none is empty if there are as many keys."""
+    leading = df.select(key).distinct().orderBy(key).limit(shards)  # as many rows as shards
+    leading = leading.select(F.col(key).alias("_lead"), (F.row_number().over(Window.orderBy(key)) - 1).cast("int").alias("_first"))
     drawn = F.floor(keyed_uniform(seed, key) * shards).cast("int")
-    return df.join(F.broadcast(leading), key, "left").withColumn("shard", F.coalesce("_first", drawn)).drop("_first").select(*df.columns, "shard")
+    found = df.join(F.broadcast(leading) if shards <= MOST_SENT else leading, F.col(key).eqNullSafe(F.col("_lead")), "left")
+    return found.withColumn("shard", F.coalesce("_first", drawn)).select(*df.columns, "shard")
 
 
 def sequential(df: DataFrame, order: str, rows: int) -> DataFrame:

@@ -38,9 +38,10 @@ class Result:
     model: GraphicalModel
     ledger: accounting.Ledger
     chosen: list[Query]
+    decode: dict[str, tuple[np.ndarray, np.ndarray]] | None = None  # see compressed_domain
 
     def rows(self, spark, n: int | None = None, seed: str | int = 0) -> DataFrame:
-        return synth.rows(spark, self.model, n, seed)
+        return synth.rows(spark, self.model, n, seed, self.decode)
 
 
 def _choose(scores: dict[Query, float], eps: float, sensitivity: float, rng: np.random.Generator) -> Query:
@@ -127,13 +128,15 @@ def random_aim(df: DataFrame, domain: Domain, work: Sequence[Query], eps: float,
 
 
 def mwem_pgm(df: DataFrame, domain: Domain, work: Sequence[Query], eps: float, delta: float, rounds: int = 5, seed: int = 0, megabytes: float = 25.0, iterations: int = 300) -> Result:
-    """Each round measures the worst answered query; the model may grow in proportion to the rounds."""
+    """Each round measures the worst answered query; the model may grow in proportion to the rounds. The number of
+    rows is not taken as known: it is measured first, at the price of a round."""
     rng = np.random.default_rng(seed)
     ledger = accounting.Ledger(eps, delta)
-    share = ledger.rho / rounds
+    share = ledger.rho / (rounds + 1)
     sigma, choice = accounting.gaussian_sigma(share / 2), accounting.exponential_epsilon(share / 2)
     known = answers(marginals.marginals(df, domain, work), domain, work)
-    total = float(next(iter(known.values())).sum())
+    ledger.gaussian(accounting.gaussian_sigma(share))
+    total = max(1.0, float(next(iter(known.values())).sum() + rng.normal(0, accounting.gaussian_sigma(share))))
     model = GraphicalModel(domain, [(a,) for a in domain.attrs], total)
     measured, chosen = [], []
     for t in range(1, rounds + 1):
@@ -153,7 +156,8 @@ def mwem_pgm(df: DataFrame, domain: Domain, work: Sequence[Query], eps: float, d
 
 def mst(df: DataFrame, domain: Domain, eps: float, delta: float, seed: int = 0, iterations: int = 500) -> Result:
     """Single attributes, then a tree of pairs chosen by how far each pair is from independent, one edge
-    at a time by the exponential mechanism. (See compressed_domain for merging rare values first.)"""
+    at a time by the exponential mechanism. Values that look rare in the first answers share one code, in the
+    model and in all that follows; rows drawn from it have them again, in equal parts."""
     rng = np.random.default_rng(seed)
     ledger = accounting.Ledger(eps, delta)
     third = ledger.rho / 3
@@ -164,7 +168,11 @@ def mst(df: DataFrame, domain: Domain, eps: float, delta: float, seed: int = 0,
     for q in ones:
         ledger.gaussian(sigma)
         measured.append(Measurement(q, _noisy(known[q], sigma, rng), sigma))
-    model = estimate(domain, measured, iterations=iterations)
+    small, maps = compressed_domain(domain, {m.query[0]: m.y for m in measured}, sigma)
+    decode = {a: _values(c) for a, c in maps.items() if small[a] < domain[a]}
+    measured = [_merged(m, maps[m.query[0]], small[m.query[0]]) for m in measured]
+    known = {q: _recoded(known[q].reshape(domain.project(q).shape), [maps[a] for a in q], small.project(q).shape) for q in pairs}
+    model = estimate(small, measured, iterations=iterations)
     seen = model.many(pairs)
     gaps = {q: float(np.abs(known[q] - seen[q].flat()).sum()) for q in pairs}
     root = {a: a for a in domain.attrs}
@@ -187,8 +195,27 @@ def mst(df: DataFrame, domain: Domain, eps: float, delta: float, seed: int = 0,
         for q in tree:
             ledger.gaussian(sigma)
             measured.append(Measurement(q, _noisy(known[q], sigma, rng), sigma))
-        model = estimate(domain, measured, iterations=iterations, warm=model)
-    return Result(model, ledger, tree)
+        model = estimate(small, measured, iterations=iterations, warm=model)
+    return Result(model, ledger, tree, decode)
+
+
+def _values(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values that have a code of their own, by code, and those that share the last one."""
+    shared = codes == codes.max()
+    return np.flatnonzero(~shared), np.flatnonzero(shared)
+
+
+def _recoded(x: np.ndarray, codes: Sequence[np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
+    out = np.zeros(shape)
+    np.add.at(out, np.ix_(*codes), x)
+    return out.ravel()
+
+
+def _merged(m: Measurement, codes: np.ndarray, size: int) -> Measurement:
+    """A measurement of single values as one of codes: the shared code's sum has the noise of all its values, so
+    it is scaled down to that of one."""
+    weight = 1 / np.sqrt(np.maximum(1, np.bincount(codes, minlength=size)))
+    return Measurement(m.query, _recoded(m.y, [codes], (size,)) * weight, m.sigma, np.diag(weight))
 
 
 def compressed_domain(domain: Domain, noisy: dict[str, np.ndarray], sigma: float) -> tuple[Domain, dict[str, np.ndarray]]:

@@ -6,6 +6,7 @@ numpy on the driver; what it is fitted to comes from Spark, and rows go back the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import combinations
@@ -385,11 +386,63 @@ def loss_and_gradient(model: GraphicalModel, marginals: dict[Clique, Factor], me
     return loss, {q: Factor(marginals[q].domain, g.project(marginals[q].domain.attrs).values) for q, g in grads.items()}
 
 
-def estimate(domain: Domain, measurements: Sequence[Measurement], total: float | None = None, iterations: int = 500, warm: GraphicalModel | None = None, metric: str = "L2", callback: Callable[[int, float], None] | None = None) -> GraphicalModel:
-    """The model of the measured cliques whose marginals fit the measurements best: entropic mirror
-    descent on the potentials with a backtracking step."""
+def _smoothness(model: GraphicalModel, measurements: Sequence[Measurement]) -> float:
+    """How fast the gradient of the misfit can change, in shares of the total: for each clique the sum of its
+    measurements' squared norms, each over the cells that a measured cell sums up."""
+    sums = dict.fromkeys(model.cliques, 0.0)
+    for m in measurements:
+        clique = min((q for q in model.cliques if set(m.query) <= set(q)), key=lambda q: model.domain.size(q))
+        norm = 1.0 if m.q is None else float(np.linalg.norm(m.q, 2))
+        sums[clique] += (norm / m.sigma) ** 2 * model.domain.size(clique) / model.domain.size(m.query)
+    return max(sums.values()) * model.total**2
+
+
+def _mixed(a: dict[Clique, Factor], b: dict[Clique, Factor], share: float) -> dict[Clique, Factor]:
+    return {q: Factor(f.domain, (1 - share) * f.values + share * b[q].values) for q, f in a.items()}
+
+
+def _dual_averaging(model: GraphicalModel, measurements, iterations: int, callback) -> dict[Clique, Factor]:
+    """Marginals by accelerated dual averaging: gradients are averaged with growing weights, the potentials are
+    the start's less that average, times a step that grows with the square of the round."""
+    start = dict(model.potentials)
+    smooth = _smoothness(model, measurements)
+    x = z = model.belief_propagation(start)
+    mean = {q: Factor.zeros(f.domain) for q, f in start.items()}
+    for t in range(1, iterations + 1):
+        share = 2 / (t + 1)
+        loss, grad = loss_and_gradient(model, _mixed(x, z, share), measurements)
+        if callback:
+            callback(t - 1, loss)
+        mean = _mixed(mean, grad, share)
+        z = model.belief_propagation({q: start[q] - mean[q] * (model.total * t * (t + 1) / (4 * smooth)) for q in start})
+        x = _mixed(x, z, share)
+    return x
+
+
+def _interior_gradient(model: GraphicalModel, measurements, iterations: int, callback) -> dict[Clique, Factor]:
+    """Marginals by the interior gradient method of Auslender and Teboulle with the entropy as its distance."""
+    theta, c = dict(model.potentials), 1.0
+    smooth = _smoothness(model, measurements)
+    x = z = model.belief_propagation(theta)
+    for t in range(iterations):
+        share = (math.sqrt(c * c + 4 * c) - c) / 2  # c is in units of the smoothness
+        loss, grad = loss_and_gradient(model, _mixed(x, z, share), measurements)
+        if callback:
+            callback(t, loss)
+        c *= 1 - share
+        theta = {q: theta[q] - grad[q] * (model.total * share / (c * smooth)) for q in theta}
+        z = model.belief_propagation(theta)
+        x = _mixed(x, z, share)
+    return x
+
+
+def estimate(domain: Domain, measurements: Sequence[Measurement], total: float | None = None, iterations: int = 500, warm: GraphicalModel | None = None, metric: str = "L2", callback: Callable[[int, float], None] | None = None, method: str = "mirror", zeros: dict[Clique, Sequence[tuple[int, ...]]] | None = None) -> GraphicalModel:
+    """The model of the measured cliques whose marginals fit the measurements best. ``method`` is ``mirror`` (entropic
+    mirror descent on the potentials with a backtracking step), ``dual`` (dual averaging) or ``interior`` (interior
+    gradients); the last two take the metric L2. ``zeros`` lists, by sets of attributes, cells that cannot have
+    rows: their potentials are minus infinity throughout, so they get no mass."""
     total = estimate_total(measurements) if total is None else total
-    cliques = [m.query for m in measurements] or [(a,) for a in domain.attrs]
+    cliques = [*(m.query for m in measurements), *(zeros or {})] or [(a,) for a in domain.attrs]
     model = GraphicalModel(domain, cliques, total)
     if warm is not None:
         for q, f in warm.potentials.items():
@@ -397,6 +450,17 @@ def estimate(domain: Domain, measurements: Sequence[Measurement], total: float |
             if home is not None:
                 wide = model.potentials[home] + f
                 model.potentials[home] = Factor(model.potentials[home].domain, wide.project(home).values if wide.domain.attrs != home else wide.values)
+    for q, cells in (zeros or {}).items():
+        forbidden = Factor.zeros(domain.project(q))
+        if len(cells):
+            forbidden.values[tuple(np.array(cells).T)] = -np.inf
+        home = next(c for c in model.cliques if set(q) <= set(c))
+        model.potentials[home] = Factor(model.potentials[home].domain, (model.potentials[home] + forbidden).values)
+    if method != "mirror":
+        if metric != "L2":
+            raise ValueError(f"{method} takes the metric L2")
+        found = {"dual": _dual_averaging, "interior": _interior_gradient}[method](model, measurements, iterations, callback)
+        return model.fit({q: f.flat() for q, f in found.items()})
     theta = model.potentials
     marginals = model.belief_propagation(theta)
     loss, grad = loss_and_gradient(model, marginals, measurements, metric)

@@ -39,8 +39,9 @@ def _dealt(key: np.ndarray, ends: np.ndarray, rng: np.random.Generator) -> np.nd
     return out
 
 
-def rows(spark: SparkSession, model: GraphicalModel, n: int | None = None, seed: str | int = 0) -> DataFrame:
-    """``n`` rows (the model's total if not given) with the domain's columns. They depend on the model,
+def rows(spark: SparkSession, model: GraphicalModel, n: int | None = None, seed: str | int = 0, decode: dict[str, tuple[np.ndarray, np.ndarray]] | None = None) -> DataFrame:
+    """``n`` rows (the model's total if not given) with the domain's columns. ``decode`` has, for attributes whose
+    codes stand for other values, the values of all codes but the last, and those that share the last. They depend on the model,
     n and the seed only; the tasks get the model's conditional tables, whose size its limit bounds."""
     n = max(0, round(model.total)) if n is None else n
     steps = []
@@ -59,6 +60,8 @@ def rows(spark: SparkSession, model: GraphicalModel, n: int | None = None, seed:
                 for attr, parents, shape, ends in steps:
                     key = np.ravel_multi_index([drawn[p] for p in parents], shape) if parents else np.zeros(size, dtype=np.int64)
                     drawn[attr] = _dealt(key, ends, rng)
+                for attr, (own, shared) in (decode or {}).items():
+                    drawn[attr] = np.append(own, 0)[drawn[attr]] + np.where(drawn[attr] == len(own), shared[rng.integers(0, len(shared), size)], 0)
                 yield pa.RecordBatch.from_arrays([pa.array(drawn[a].astype(np.int32)) for a in attrs], names=attrs)
 
     chunks = -(-n // CHUNK)

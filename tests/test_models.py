@@ -149,3 +149,35 @@ def test_adaptive_grid_mechanism(spark):
     assert np.abs(found.model.project(("x", "y", "z")).values - truth).sum() / 4000 < 0.08
     again = adaptive.adaptive_grid(df, SMALL, 10.0, 1e-6, targets=["z"], seed=3, iterations=300)
     np.testing.assert_allclose(again.model.datavector(), found.model.datavector())
+
+
+def measurements(seed=9):
+    rng = np.random.default_rng(seed)
+    truth = rng.integers(0, 30, D.shape).astype(float)
+    truth[0, 1] = 0
+    truth[:, 2, :, 1] = 0
+    found = [pgm.Measurement(q, pgm.Factor(D, truth).project(q).flat() + rng.normal(0, 20, D.size(q)), 20.0) for q in CLIQUES[0]]
+    return [*found, pgm.Measurement(("a", "c"), pgm.Factor(D, truth).project(("a", "c")).flat()[:3], 5.0, np.eye(8)[:3])]
+
+
+@pytest.mark.parametrize("method, rounds", [("dual", 400), ("interior", 400)])
+def test_other_estimators_fit_as_well(method, rounds):
+    parts, losses = measurements(), []
+    best = pgm.estimate(D, parts, iterations=2000)
+    found = pgm.estimate(D, parts, iterations=rounds, method=method, callback=lambda t, loss: losses.append(loss))
+    loss = lambda m: pgm.loss_and_gradient(m, m.marginals, parts)[0]
+    assert loss(found) <= loss(best) * 1.01 + 1e-6 and len(losses) == rounds
+    assert found.datavector().sum() == pytest.approx(best.total)
+    with pytest.raises(ValueError):
+        pgm.estimate(D, parts, method=method, metric="L1")
+
+
+@pytest.mark.parametrize("method", ["mirror", "dual", "interior"])
+def test_forbidden_cells_get_no_mass(method):
+    parts = measurements()
+    zeros = {("a", "b"): [(0, 1)], ("b", "d"): [(2, 1)], ("e",): []}
+    m = pgm.estimate(D, parts, iterations=200, method=method, zeros=zeros)
+    assert m.project(("a", "b")).values[0, 1] == 0 and m.project(("b", "d")).values[2, 1] == 0
+    assert np.isfinite(m.datavector()).all() and m.datavector().sum() == pytest.approx(m.total)
+    again = pgm.estimate(D, parts, iterations=50, warm=m, zeros=zeros)
+    assert again.project(("b", "d")).values[2, 1] == 0

@@ -99,3 +99,34 @@ def test_likelihood_prefers_the_fitted_model(spark, table, truth):
     flat = pgm.GraphicalModel(D, [("a",), ("b",), ("c",)], 3000.0)
     a, b = (utility.negative_log_likelihood(table, m).first().nll for m in (fitted, flat))
     assert a < b == pytest.approx(3000 * np.log(12))
+
+
+def test_random_shards_keep_repeated_keys_together(spark):
+    from marginalia.operators import shard
+
+    frame = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (2, "d"), (None, "e"), (None, "f")], "k long, v string")
+    found = shard.random(frame, "k", 2, 5).collect()
+    assert sorted(r.v for r in found) == list("abcdef")
+    assert len({r.shard for r in found if r.k == 1}) == len({r.shard for r in found if r.k is None}) == 1
+    assert {r.shard for r in found} == {0, 1}
+
+
+def test_rare_values_are_merged_and_drawn_again(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.integers(0, 3, 6000), np.arange(3, 23)])
+    y = np.where(rng.random(len(x)) < 0.9, x % 2, 1 - x % 2)
+    frame = spark.createDataFrame(list(zip(x.tolist(), y.tolist())), "x int, y int")
+    found = mechanisms.mst(frame, Domain.of({"x": 23, "y": 2}), 2.0, 1e-6, seed=4, iterations=200)
+    assert found.model.domain["x"] == 4 and found.model.domain["y"] == 2
+    rows = found.rows(spark, 6020, seed=1).toPandas()
+    assert rows.x.between(0, 22).all() and rows.x[rows.x >= 3].nunique() >= 5
+    for k in range(3):
+        for j in range(2):
+            assert abs(((rows.x == k) & (rows.y == j)).sum() - ((x == k) & (y == j)).sum()) < 150
+
+
+def test_mwem_measures_the_number_of_rows(spark):
+    frame = spark.range(5000).selectExpr("CAST(id % 3 AS INT) AS a", "CAST(id % 2 AS INT) AS b")
+    found = mechanisms.mwem_pgm(frame, Domain.of({"a": 3, "b": 2}), [("a", "b"), ("a",)], 1.0, 1e-6, rounds=2, iterations=50)
+    assert found.model.total != 5000 and abs(found.model.total - 5000) < 100
+    assert found.ledger.spent <= found.ledger.rho * (1 + 1e-9)
