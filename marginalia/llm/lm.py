@@ -9,17 +9,18 @@ by batched matrix products; the probabilities of all words after any context sum
 that were never seen have one place in each tail.
 
 Counts of words are taken over all training texts. The network too goes through every token of every
-training text: each task trains on its own texts from one common start, and the vectors are averaged by
-how many examples moved them. So work and evidence grow with the corpus, a task holds one model and one
+training text: trainers, as many as there are TRAINER tokens, learn from their own texts from one common
+start, and the vectors are averaged by how many examples moved them. So work and evidence grow with the corpus, a task holds one model and one
 buffer of tokens, and the driver holds one model.
 """
 
 from __future__ import annotations
 
+import copy
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import slices, written
+from marginalia.llm.common import BATCH_ROWS, slices, written
 
 TAILS = 256
 VOCABULARY = (1 << 16) - TAILS  # targets of their own, the end among them; all ids fit 16 bits
@@ -36,7 +37,9 @@ NEAR, FAR = NEAR_OWN + TAILS, 32
 SIZE = 16  # of a vector
 END = b""  # no word is empty
 HEAD = 1 << 18  # words, at most, whose counts every task has; all other words meet their counts in a join
-_FLUSH = 200_000  # distinct words that a task holds before it passes their counts on
+HEAD_BYTES = 64  # of a word of the head
+TRAINER = 1 << 21  # tokens, about, that one trainer learns from
+_FLUSH, _FLUSH_BYTES = 200_000, 32 << 20  # distinct words that a task holds before it passes their counts on
 _BUFFER = 1 << 22  # tokens whose examples a task counts at once
 _ADD = 0.1
 
@@ -62,7 +65,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 seen.update(words(text))
-            if len(seen) > _FLUSH:
+            if len(seen) > _FLUSH or sum(map(len, seen)) > _FLUSH_BYTES:
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
                 seen.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
@@ -71,9 +74,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def frequent(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
-    """The words above some count, ``most`` at most, most frequent first, and their counts. The count is
+    """The words of HEAD_BYTES at most above some count, ``most`` at most, most frequent first, and their counts. The count is
     found from how many words have counts of about a size, 16 sizes to a power of 2, so only those words
     are sent."""
+    counts = counts.where(F.length("word") <= HEAD_BYTES)
     sizes = counts.groupBy(F.floor(F.log2("c") * 16).alias("s")).agg(F.count("*").alias("n")).collect()
     least, seen = math.inf, 0
     for r in sorted(sizes, key=lambda r: -r.s):
@@ -133,6 +137,12 @@ class LogBilinear:
             "A": np.eye(size, dtype=np.float32) * np.float32(0.5), "B": np.eye(size, dtype=np.float32),
         }
 
+    def copy(self) -> LogBilinear:
+        """A model with arrays of its own, so that training leaves this one as it is."""
+        other = copy.copy(self)
+        other.p = {k: v.copy() for k, v in self.p.items()}
+        return other
+
     def start(self, rate: float = 0.05) -> None:
         """Forgets what training has seen."""
         self.rate = np.float32(rate)
@@ -233,27 +243,29 @@ def pack(far: np.ndarray, near: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return far.astype(np.int64) << 32 | near.astype(np.int64) << 16 | ids
 
 
-def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _joined(column: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a column of binaries, and where each row ends."""
-    rows = [np.frombuffer(x.as_buffer(), dtype=np.uint16) for x in column]
+    rows = [np.frombuffer(x, dtype=np.uint16) for x in column]
     return np.concatenate([np.zeros(0, dtype=np.uint16), *rows]), np.cumsum([len(r) for r in rows], dtype=np.int64)
 
 
-def trained(texts: DataFrame, vocabulary, start, steps: int) -> LogBilinear:
-    """The average of the models that tasks train on the rows ``ids`` of ``texts``, each going through all
-    of its tokens, and again while it has made fewer than ``steps`` steps. A row of a table weighs as much
-    as examples that moved it; rows that none has moved stay as they were."""
+def trained(texts: DataFrame, vocabulary, start, steps: int, trainers: int = 1) -> LogBilinear:
+    """The average of the models that ``trainers`` make of the rows ``ids`` of ``texts``, each from a copy of the
+    same start and on rows of its own, dealt by a hash of their ids. A trainer goes through all of its tokens, and again
+    while it has made fewer than ``steps`` steps. A row of a table weighs as much as examples that moved it;
+    rows that none has moved stay as they were. What a trainer makes follows from its rows alone, in
+    whatever order and wherever they come."""
     size = len(start.value.p["A"])
     parts = ("near", "far", "target", "bias", "A", "B")
     names = ["part", "k", "n", *(f"v{j}" for j in range(size))]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, model = vocabulary.value, start.value
-        model.p = {k: v.copy() for k, v in model.p.items()}
+    def run(table: pa.Table) -> pa.Table:
+        own, model = vocabulary.value, start.value.copy()
         model.start()
         rng, done, held, size_held = np.random.default_rng(11), 0, [], 0
-        for batch in slices(batches):
-            ids, ends = _joined(batch.column(0))
+        rows = sorted(table.column("ids").to_pylist(), key=lambda x: (len(x), x))
+        for k in range(0, len(rows), BATCH_ROWS):
+            ids, ends = _joined(rows[k : k + BATCH_ROWS])
             held.append(pack(*examples(ids, ends, own), ids))
             size_held += len(ids)
             if size_held >= _BUFFER:
@@ -264,21 +276,19 @@ def trained(texts: DataFrame, vocabulary, start, steps: int) -> LogBilinear:
             done += model.train(*last, rng)
             while done < steps:
                 done += model.train(*last, rng)
-        if not done:
-            return
-        for number, name in enumerate(parts):
-            rows = np.flatnonzero(model.moved[name])
-            for k in range(0, len(rows), 20_000):
-                at = rows[k : k + 20_000]
-                values = model.p[name][at]
-                columns = [pa.array(values[:, j]) if j < values.shape[1] else pa.nulls(len(at), pa.float32()) for j in range(size)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(model.moved[name][at]), *columns], names=names)
-
-    moved = texts.select("ids").mapInArrow(run, "part int, k int, n double, " + ", ".join(f"{c} float" for c in names[3:]))
+        found = []
+        for number, name in enumerate(parts if done else ()):
+            at = np.flatnonzero(model.moved[name])
+            values = model.p[name][at]
+            columns = [pa.array(values[:, j]) if j < values.shape[1] else pa.nulls(len(at), pa.float32()) for j in range(size)]
+            found.append(pa.table([pa.array(np.full(len(at), number, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(model.moved[name][at]), *columns], names=names))
+        return pa.concat_tables(found) if found else pa.table([pa.array([], k) for k in (pa.int32(), pa.int32(), pa.float64(), *[pa.float32()] * size)], names=names)
+
+    dealt = texts.select("ids", F.pmod(F.xxhash64("ids"), F.lit(trainers)).alias("trainer"))
+    moved = dealt.groupBy("trainer").applyInArrow(run, "part int, k int, n double, " + ", ".join(f"{c} float" for c in names[3:]))
     averaged = moved.groupBy("part", "k").agg(*((F.sum(F.col(c) * F.col("n")) / F.sum("n")).cast("float").alias(c) for c in names[3:]))
     rows = averaged.toArrow()  # as many as the model has
-    model = start.value
-    model.p = {k: v.copy() for k, v in model.p.items()}
+    model = start.value.copy()
     part, at = (rows.column(c).to_numpy() for c in ("part", "k"))
     values = [rows.column(c).to_numpy(zero_copy_only=False) for c in names[3:]]
     for number, name in enumerate(parts):
@@ -358,7 +368,7 @@ def score(docs: DataFrame, folds: int = 10, head: int = HEAD, vocabulary: int =
     both = written(docs.mapInArrow(encode, "key bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_head bigint, base double, within double, ids binary, word binary, times bigint, k int"), "ids")
     texts = both.where("ids IS NOT NULL")
     start = spark.sparkContext.broadcast(LogBilinear(size))
-    network = spark.sparkContext.broadcast(trained(texts.where("NOT held_out"), shared, start, steps))
+    network = spark.sparkContext.broadcast(trained(texts.where("NOT held_out"), shared, start, steps, max(1, total // TRAINER)))
 
     def sums_over_targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,7 +385,7 @@ def score(docs: DataFrame, folds: int = 10, head: int = HEAD, vocabulary: int =
         (a, b), bias = model.contexts(), model.log_share + model.p["bias"][:, 0]
         names = ["key", "doc_id", "held_out", "n_tokens", "n_head", "base", "within"]
         for batch in slices(batches):
-            ids, ends = _joined(batch.column("ids"))
+            ids, ends = _joined(batch.column("ids").to_pylist())
             far, near = examples(ids, ends, own)
             found = np.zeros(len(ids) + 1)
             for k in range(0, len(ids), _BUFFER):

@@ -67,20 +67,92 @@ def name_score(own: frozenset[str], above: frozenset[str] = frozenset()) -> floa
     return max(score(own), _ABOVE * score(own | above))
 
 
+_EDGE = max(map(len, PLACEHOLDERS)) - 1  # characters at an end that can be part of a placeholder across it
+_LARGE = 200  # the power of 2 from which counts are scaled down; they stay exact below 2^53
+
+
+class Summary:
+    """What the score of a joined literal follows from: its length, the counts of its characters, whether a
+    placeholder is in it, its ends, and whether all of it is quoted. Joining two takes time in the number of
+    different characters, whatever the length."""
+
+    __slots__ = ("counts", "head", "placeholder", "power", "quoted", "size", "tail")
+
+    def __init__(self, literal: str = "", quoted: bool = True):
+        low = literal.lower()
+        self.size, self.quoted = float(len(literal)), quoted
+        self.counts, self.power = {c: float(k) for c, k in Counter(literal).items()}, 0  # times 2^power
+        self.placeholder = any(p in low for p in PLACEHOLDERS)
+        self.head, self.tail = low[:_EDGE], low[-_EDGE:]
+
+    def add(self, other: Summary) -> None:
+        across = self.tail + other.head
+        self.placeholder = self.placeholder or other.placeholder or any(p in across for p in PLACEHOLDERS)
+        self.head, self.tail = (self.head + other.head)[:_EDGE], (self.tail + other.tail)[-_EDGE:]
+        self.quoted = self.quoted and other.quoted
+        self.size = min(self.size + other.size, 1e300)
+        power = max(self.power, other.power)
+        if power > self.power:
+            self.counts = {c: math.ldexp(k, self.power - power) for c, k in self.counts.items()}
+        for c, k in other.counts.items():
+            self.counts[c] = self.counts.get(c, 0.0) + math.ldexp(k, other.power - power)
+        self.power = power
+        if max(self.counts.values(), default=0.0) > 2.0**_LARGE:
+            self.counts = {c: math.ldexp(k, -_LARGE) for c, k in self.counts.items()}
+            self.power += _LARGE
+
+    def score(self) -> float:
+        """From 0 to 1: random-looking literals score high, words and placeholders low."""
+        if self.size < 6 or self.placeholder:
+            return 0.0
+        if " " in self.counts:
+            return 0.6 if self.quoted and any(c.isdigit() for c in self.counts) else 0.2
+        n = sum(self.counts.values())
+        entropy = -sum(k / n * math.log2(k / n) for k in self.counts.values() if k)
+        if any(c.isdigit() for c in self.counts) and any(c.isalpha() for c in self.counts) and entropy >= 2.3:
+            return 1.0
+        if self.size >= 16 and entropy >= 3.5:
+            return 0.8
+        return 0.6 if self.quoted and self.size >= 8 and entropy >= 2.3 else 0.2
+
+
+class Value:
+    """What a name was given: literals (start, end, text, quoted) and values of other names, which are referred
+    to, never copied. What follows from a value is worked out once."""
+
+    __slots__ = ("listed", "parts", "summary")
+
+    def __init__(self, parts: list):
+        self.parts, self.summary, self.listed = parts, None, False
+
+    def summed(self) -> Summary:
+        waiting = [self]
+        while waiting:
+            top = waiting[-1]
+            open_parts = [p for p in top.parts if isinstance(p, Value) and p.summary is None] if top.summary is None else []
+            if open_parts:
+                waiting += open_parts
+                continue
+            waiting.pop()
+            if top.summary is None:
+                top.summary = Summary()
+                for p in top.parts:
+                    top.summary.add(p.summary if isinstance(p, Value) else Summary(p[2], p[3]))
+        return self.summary
+
+    def list_into(self, out: list[tuple[int, int]]) -> None:
+        """Adds the spans of all literals that have not been listed before."""
+        waiting = [self]
+        while waiting:
+            top = waiting.pop()
+            if not top.listed:
+                top.listed = True
+                out += [p[:2] for p in top.parts if not isinstance(p, Value) and p[0] < p[1]]
+                waiting += [p for p in top.parts if isinstance(p, Value)]
+
+
 def literal_score(literal: str, quoted: bool) -> float:
-    """From 0 to 1: random-looking literals score high, words and placeholders low."""
-    low = literal.lower()
-    if len(literal) < 6 or any(p in low for p in PLACEHOLDERS):
-        return 0.0
-    if " " in literal:
-        return 0.6 if quoted and any(c.isdigit() for c in literal) else 0.2
-    counts, n = Counter(literal), len(literal)
-    entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
-    if any(c.isdigit() for c in literal) and any(c.isalpha() for c in literal) and entropy >= 2.3:
-        return 1.0
-    if n >= 16 and entropy >= 3.5:
-        return 0.8
-    return 0.6 if quoted and n >= 8 and entropy >= 2.3 else 0.2
+    return Summary(literal, quoted).score()
 
 
 @dataclass
@@ -205,21 +277,21 @@ def literals(text: str, least: float = 0.5) -> list[tuple[int, int]]:
     right stands for what it was last given, or else for what it is given later, alone and within joined
     values; every piece of a joined value that reaches ``least`` is a span."""
     found = pairs(text)
-    later = {p.own: [x[:4] for x in p.pieces] for p in reversed(found) if any(x[4] is None for x in p.pieces)}
-    given: dict[str, list[tuple[int, int, str, bool]]] = {}
-    out = set()
+    later = {p.own: Value([x[:4] for x in p.pieces]) for p in reversed(found) if any(x[4] is None for x in p.pieces)}
+    given: dict[str, Value] = {}
+    out: list[tuple[int, int]] = []
     for p in found:
-        value = []
+        parts = []
         for a, b, string, quoted, name in p.pieces:
             known = None if name is None else given.get(name) or later.get(name)
             if known or name is None or len(p.pieces) == 1:
-                value += known or [(a, b, string, quoted)]
-        given[p.own] = value
+                parts.append(known or (a, b, string, quoted))
+        given[p.own] = value = Value(parts) if parts else None
         own = sensitive_words(p.own)
         score = name_score(own, p.above) if own or p.above else 0.0
-        if score and value and score * literal_score("".join(x[2] for x in value), all(x[3] for x in value)) >= least:
-            out.update((a, b) for a, b, _, _ in value if a < b)
-    return sorted(out)
+        if score and value and score * value.summed().score() >= least:
+            value.list_into(out)
+    return sorted(set(out))
 
 
 def spans(text: str | None) -> list[tuple[int, int, int, int]]:
@@ -232,9 +304,11 @@ def spans(text: str | None) -> list[tuple[int, int, int, int]]:
         found += [(0, m.start(), m.end(), m.start(2)) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     found += [(1, m.start(), m.end(), m.start()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(2, m.start(), m.end(), m.start()) for m in _HEX.finditer(text)]
-    base = list(found)
-    for a, b in literals(text) if ":" in text or "=" in text or "</" in text else ():
-        if not any(s <= a and b <= e for _, s, e, _ in base):
+    base, k, end = sorted((s, e) for _, s, e, _ in found), 0, 0
+    for a, b in literals(text) if ":" in text or "=" in text or "</" in text else ():  # both by start
+        while k < len(base) and base[k][0] <= a:
+            end, k = max(end, base[k][1]), k + 1
+        if b > end:
             found.append((3, a, b, a))
     return sorted(found, key=lambda s: (s[1], s[0]))
 

@@ -133,3 +133,39 @@ def test_frame_edges(spark):
     assert lm.score(frame.limit(0), steps=5).count() == 0
     alone = lm.score(frame.where("doc_id = 4"), steps=5, folds=1).collect()
     assert alone[0].n_known == 0 and alone[0].train_tokens == 0 and alone[0].held_out
+
+
+def network(spark, rows, parts, trainers):
+    """The arrays that training gives for rows of ids in so many partitions."""
+    frame = spark.createDataFrame([(np.array(r, dtype=np.uint16).tobytes(),) for r in rows], "ids binary").repartition(parts)
+    words = spark.sparkContext.broadcast(lm.Vocabulary([b"", *(b"w%d" % k for k in range(9))], np.arange(10, 0, -1), 20))
+    start = spark.sparkContext.broadcast(lm.LogBilinear(np.arange(276, 0, -1.0)))
+    before = {k: v.copy() for k, v in start.value.p.items()}
+    found = lm.trained(frame, words, start, 30, trainers)
+    assert all((before[k] == start.value.p[k]).all() for k in before)  # the start stays as it was
+    return found.p
+
+
+def test_training_follows_from_the_rows_alone(spark):
+    """Whatever the partitions, their order and the workers that have trained before."""
+    rng = np.random.default_rng(3)
+    rows = [[*rng.integers(1, 10, rng.integers(1, 40)), 0] for _ in range(200)]
+    one = network(spark, rows, 1, 3)
+    for parts in (1, 4, 7):
+        again = network(spark, rows[::-1], parts, 3)
+        assert all(np.allclose(one[k], again[k], atol=1e-6) for k in one)
+
+
+def test_trainers_of_equal_rows_agree(spark):
+    """The average of models that learn the same is that model, as all begin at one start."""
+    rows = [[1, 2, 3, 0]] * 40
+    assert all(np.array_equal(a, b) for a, b in zip(network(spark, rows, 4, 1).values(), network(spark, rows, 1, 5).values()))
+
+
+def test_long_words_stay_out_of_the_head(spark):
+    rows = [(k, f"{'x' * 1_000_000}{k} a b") for k in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    head, _ = lm.frequent(lm.word_counts(frame), 1000)
+    assert sorted(head) == [b"", b"a", b"b"]
+    found = lm.score(frame, steps=5).collect()
+    assert all(r.n_tokens == 4 and math.isfinite(r.score) and r.n_known == (3 if r.held_out else 4) for r in found)

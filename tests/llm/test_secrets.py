@@ -104,6 +104,36 @@ def test_time_is_linear():
         assert time.perf_counter() - began < 3, unit
 
 
+def test_constants_that_double_are_not_written_out():
+    """A chain of constants, each twice in the next, stands for more characters than any memory holds."""
+    for lines in (60, 5000):
+        text = "x0 = 'k9Zq2' + 'Lm4'\n" + "".join(f"x{k} = 'a1' + x{k - 1} + 'b2' + x{k - 1}\n" for k in range(1, lines)) + f"db_pwd = x{lines - 1}\n"
+        began = time.perf_counter()
+        found = secrets.literals(text)
+        assert time.perf_counter() - began < (1 if lines == 60 else 5)
+        assert len(found) == 2 * lines  # every literal that the password is made of
+    text = "A = 'zK39'\nB = A + A\ndb_pwd = B + B + 'x'"
+    assert [text[a:b] for a, b in secrets.literals(text)] == ["zK39", "x"]
+
+
+def test_many_secrets_in_one_text():
+    began = time.perf_counter()
+    found = secrets.spans("".join(f"password = 'abcdef{k}'\n" for k in range(100_000)))
+    assert len(found) == 100_000 and time.perf_counter() - began < 20
+
+
+def test_joined_summaries_equal_those_of_the_whole():
+    rng = random.Random(9)
+    for _ in range(500):
+        parts = ["".join(rng.choice("yYoOuUrR placehold9 \u00c9") for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(1, 5))]
+        if rng.random() < 0.3:
+            parts = [p for x in parts for p in (x, "exa", "mple")]
+        joined = secrets.Summary()
+        for p in parts:
+            joined.add(secrets.Summary(p, True))
+        assert joined.score() == pytest.approx(secrets.literal_score("".join(parts), True)), parts
+
+
 @pytest.mark.parametrize("text", ["", "PASSWORD = abc", "token==abcdefg secret:\"abcdef\" api_key='x.y/z-1' apikey : 123456", "AKIA" + "A" * 15 + " AKIA" + "B" * 16, "f" * 23 + " " + "0" * 24 + "g" + "a" * 30, "é tokeN:abcdef \U0001f600 passwd=abcdef", "toKen=abcdef", "password: token: abcdefgh"])
 def test_base(text):
     found = [(secrets.KINDS[k], a, b) for k, a, b, _ in secrets.spans(text) if k < 3]

@@ -44,6 +44,15 @@ def test_stage_drops_all_near_copies_and_nothing_else(spark, texts):
     assert kept == set(smallest(texts).values())
 
 
+def test_ends_beyond_the_largest_frequency(spark, texts, monkeypatch):
+    """Where frequencies are no longer told apart, no pair is lost."""
+    whole = shingles._met
+    monkeypatch.setattr(shingles, "_met", lambda docs, clusters, often: whole(docs, clusters, often, 1))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()}
+    assert kept == set(smallest(texts).values())
+
+
 def test_stage_on_the_given_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     kept = {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()}
