@@ -10,12 +10,15 @@ temporary files, or replaces a file by itself.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import io
 import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +29,8 @@ from marginalia.llm.common import shared_dir, slices, written
 _ID, _URL, _HTML = "page_id", "url", "html"
 _LEAST_ID = -(1 << 63)  # stands for a null id where ids are compared
 _NO_ID = "null"
-SHARD_BYTES = 16 << 20  # of payload in a shard, about, if the number of shards is not given
+SHARD_BYTES = 256 << 20  # of payload in a shard, about, if the number of shards is not given
+FILE_BYTES = 16 << 20  # compressed, from which a shard goes on in a new file
 _SPACE = uuid.UUID("7e0c0d7c-4f0b-5d54-8d5a-3f0f6f1b6c11")  # record ids are named in this space
 
 MANIFEST = "file string, shard int, records bigint, bytes bigint, sha256 string, first_id bigint, last_id bigint"
@@ -115,28 +119,45 @@ class _Shard:
         return self.done
 
 
-def edges(pages: DataFrame, shards: int, width: int = 4096) -> list[int]:
-    """Ids at which shards 1, 2, ... begin, so that each holds about as many rows. They follow from the
-    rows alone, not from samples or partitions: ids are counted in ranges of equal width, and a range
-    with more than a shard's share is cut again. The driver gets counts of ranges, ``width`` at first
-    and as many for each range that is cut, of which there are fewer than shards."""
-    low, high, total = pages.agg(F.min("pid"), F.max("pid"), F.count("*")).first()
+def _starts(pid: np.ndarray, lows: np.ndarray, highs: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first id of the step that each id is in, of ranges from ``lows`` to ``highs`` (sorted, apart) that are
+    cut into steps, and whether a range has it. Differences are taken without sign, as they may not
+    fit a long."""
+    at = np.searchsorted(lows, pid, side="right") - 1
+    inside = (at >= 0) & (pid <= highs[at])
+    low, step = lows[at].view(np.uint64), steps[at]
+    own = pid.view(np.uint64)
+    return (low + (own - low) // step * step).view(np.int64), inside
+
+
+def edges(sizes: DataFrame, shards: int, width: int = 4096) -> np.ndarray:
+    """Ids at which shards 1, 2, ... begin, so that each holds about as much of the rows' (pid, size). They follow from the rows alone, not from samples or partitions: bytes are summed in ranges of equal width, and
+    a range with more than a shard's share is cut again. The driver gets sums of ranges, ``width`` at first
+    and as many for each range that is cut, of which there are fewer than shards; tasks get the ranges as arrays."""
+    low, high, total = sizes.agg(F.min("pid"), F.max("pid"), F.coalesce(F.sum("size"), F.lit(0))).first()
     if shards < 2 or not total or low == high:
-        return []
+        return np.zeros(0, dtype=np.int64)
     counted: dict[int, int] = {}
     open_ranges = [(low, high)]
     while open_ranges:
-        step = {a: max(1, -(-(b - a + 1) // width)) for a, b in open_ranges}
-        start = F.lit(None).cast("long")
-        for a, b in open_ranges:  # in decimals, as differences of ids may not fit a long
-            d = [f"CAST('{x}' AS DECIMAL(38,0))" for x in (a, step[a])]
-            start = F.when(F.col("pid").between(a, b), F.expr(f"CAST({d[0]} + ((CAST(pid AS DECIMAL(38,0)) - {d[0]}) div {d[1]}) * {d[1]} AS BIGINT)")).otherwise(start)
-        rows = pages.select(start.alias("start")).where("start IS NOT NULL").groupBy("start").agg(F.count("*").alias("n")).collect()
-        further = []
+        open_ranges.sort()
+        cuts = [max(1, -(-(b - a + 1) // width)) for a, b in open_ranges]
+        listed = [np.array([a for a, _ in open_ranges], dtype=np.int64), np.array([b for _, b in open_ranges], dtype=np.int64), np.array(cuts, dtype=np.uint64)]
+        held = sizes.sparkSession.sparkContext.broadcast(listed)  # fewer ranges than shards
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                pid, weights = (c.to_numpy() for c in batch.columns)
+                start, inside = _starts(pid, *held.value)
+                first, at = np.unique(start[inside], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(np.bincount(at, weights[inside], len(first)).astype(np.int64))], names=["start", "n"])
+
+        rows = sizes.select("pid", "size").mapInArrow(run, "start bigint, n bigint").groupBy("start").agg(F.sum("n").alias("n")).collect()
+        lows, further = listed[0].tolist(), []
         for r in rows:
-            a, b = next((a, b) for a, b in open_ranges if a <= r.start <= b)
-            if r.n * shards > total and step[a] > 1:
-                further.append((r.start, min(r.start + step[a] - 1, b)))
+            k = bisect.bisect_right(lows, r.start) - 1
+            if r.n * shards > total and cuts[k] > 1:
+                further.append((r.start, min(r.start + cuts[k] - 1, open_ranges[k][1])))
             else:
                 counted[r.start] = r.n
         open_ranges = further
@@ -145,19 +166,21 @@ def edges(pages: DataFrame, shards: int, width: int = 4096) -> list[int]:
         if seen * shards >= total * (len(found) + 1):
             found.append(start)
         seen += counted[start]
-    return found
+    return np.array(found, dtype=np.int64)
+
+
+def place(spark: SparkSession, starts: np.ndarray):
+    """A function of ids: how many of the sorted ``starts`` are at or before each. Tasks get them as an array."""
+    held = spark.sparkContext.broadcast(starts)  # a number a shard
 
+    @F.pandas_udf("int")
+    def shard(pid: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(held.value, pid.to_numpy(), side="right").astype(np.int32))
 
-def place(pid, starts: list[int]):
-    """How many of the sorted ``starts`` are at or before ``pid``, by binary search."""
-    if not starts:
-        return F.lit(0)
-    listed, n = F.array(*(F.lit(s).cast("long") for s in starts)), len(starts)
-    steps = F.array(*(F.lit(1 << k) for k in reversed(range(n.bit_length()))))
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.element_at(listed, F.least(at + step, F.lit(n))) <= pid), at + step).otherwise(at))
+    return shard
 
 
-def write(pages: DataFrame, folder: str, least_bytes: int = 100, file_bytes: int = 64 << 20, shards: int | None = None, date: str = "2000-01-01T00:00:00Z", level: int = 3) -> DataFrame:
+def write(pages: DataFrame, folder: str, least_bytes: int = 100, file_bytes: int = FILE_BYTES, shards: int | None = None, date: str = "2000-01-01T00:00:00Z", level: int = 3) -> DataFrame:
     """Writes ``pages`` (page_id, url, html; other columns are not kept) to ``folder`` and returns the
     manifest, which is written there as Parquet too.
 
@@ -176,11 +199,12 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 100, file_bytes: int
     again = written(repeats(base, least_bytes).where("pid != first"), "revisits")
     full = base.select(_ID, _URL, "payload", "pid", F.sha2("payload", 256).alias("digest"), F.lit(None).cast("long").alias("first"), F.lit(True).alias("page"))
     told = again.select(F.lit(None).cast("long").alias(_ID), F.lit(None).cast("string").alias(_URL), F.lit(None).cast("string").alias("payload"), "pid", "digest", "first", F.lit(False).alias("page"))
+    sizes = written(base.select("pid", (F.octet_length("payload") + 1).cast("long").alias("size")), "sizes")
     if shards is None:
-        payload = base.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
+        payload = sizes.agg(F.sum("size")).first()[0] or 0
         shards = -(-payload // SHARD_BYTES)  # by the payload alone, so that any session writes the same files
     n = max(1, shards)
-    placed = full.union(told).withColumn("shard", place(F.col("pid"), edges(base, n)))
+    placed = full.union(told).withColumn("shard", place(spark, edges(sizes, n))("pid"))
     ordered = placed.repartitionById(n, "shard").sortWithinPartitions("shard", "pid", "digest", "page", _URL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

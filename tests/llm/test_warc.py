@@ -45,14 +45,36 @@ def test_round_trip_rolls_and_is_deterministic(spark, tmp_path):
 
 @pytest.mark.parametrize("ids", [list(range(1000)), [k * k * k for k in range(500)], [5] * 300 + [-(1 << 63), (1 << 63) - 1], [7]])
 def test_shards_hold_even_parts(spark, ids):
-    frame = spark.createDataFrame([(i,) for i in ids], "pid long")
+    frame = spark.createDataFrame([(i, 1) for i in ids], "pid long, size long")
     starts = warc.edges(frame, 4, width=16)
-    counts = [r["count"] for r in frame.groupBy(warc.place(frame["pid"], starts).alias("s")).count().collect()]
-    assert sum(counts) == len(ids) and starts == sorted(set(starts))
+    counts = [r["count"] for r in frame.groupBy(warc.place(spark, starts)("pid").alias("s")).count().collect()]
+    assert sum(counts) == len(ids) and starts.tolist() == sorted(set(starts.tolist()))
     if len(set(ids)) == len(ids) > 100:
         assert len(counts) == 4 and max(counts) < len(ids) * 0.3
 
 
+def test_shards_hold_even_bytes(spark):
+    frame = spark.createDataFrame([(i, 1000 if i < 50 else 1) for i in range(1000)], "pid long, size long")
+    starts = warc.edges(frame, 5, width=512).tolist()
+    assert len(starts) == 4 and all(abs(a - b) <= 2 for a, b in zip(starts, (10, 20, 30, 40)))
+
+
+def test_query_sees_several_files_a_shard(spark, monkeypatch):
+    """Files roll by compressed size within a shard, and the query's rows are the same."""
+    sf, whole = "/root/testdata/sf0.01", warc.write
+    listed = []
+
+    def small(pages, folder, **options):
+        listed.append(whole(pages, folder, file_bytes=40_000, shards=2, **options))
+        return listed[0]
+
+    plain_rows = sorted(map(tuple, queries.QUERIES["op4_warc"](spark, sf).collect()))
+    monkeypatch.setattr(warc, "write", small)
+    assert sorted(map(tuple, queries.QUERIES["op4_warc"](spark, sf).collect())) == plain_rows
+    files = [r.shard for r in listed[0].collect()]
+    assert files.count(0) > 2 and files.count(1) > 2
+
+
 def test_unlisted_files_are_not_read(spark, tmp_path):
     frame = spark.createDataFrame([(1, "u", "x" * 200)], "page_id long, url string, html string")
     warc.write(frame, f"file://{tmp_path}/w")
