@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from marginalia.catalog import table
 from marginalia.functions.rng import keyed_laplace
-from marginalia.operators import implicit, ranges
-from marginalia.plans import cells
-from marginalia.queries import query, uniform_sql
+from marginalia.operators import implicit, marginals, ranges
+from marginalia.plans import cells, dyadic
+from marginalia.queries import ITEMS, ITEMS_SQL, items, query, uniform_sql
 
 LINE = 1_000_000  # cells of prices
 BOX_ATTRS, BOX_SHAPE = ("q", "d", "mo", "t"), (50, 11, 12, 9)
@@ -157,3 +157,58 @@ def kronecker_answers(spark, sf_dir):
     counts = box_rows(spark, sf_dir).groupBy((F.col("q") * 12 + F.col("mo")).alias("i")).agg(F.count("*").alias("v"))
     work = implicit.Kronecker([implicit.Prefix(50), implicit.Stack([implicit.Identity(12), implicit.Total(12)])])
     return work.apply(implicit.vector(counts, 600))
+
+
+def _factored_sql(rounds: int) -> str:
+    """Two groups, each updated by itself from even cells; the answer on one attribute of each is their product."""
+    parts = [ITEMS_SQL.strip(), "t AS (SELECT count(*)::DOUBLE AS t FROM enc)"]
+    for name, attrs, size in (("g", ("rf", "ls"), 6), ("h", ("qb",), 8)):
+        index = "x.range * 2 + y.range" if len(attrs) > 1 else "x.range"
+        cells_of = f"range({3 if len(attrs) > 1 else 8}) x" + (", range(2) y" if len(attrs) > 1 else "")
+        match = "enc.rf = x.range AND enc.ls = y.range" if len(attrs) > 1 else "enc.qb = x.range"
+        parts.append(f"{name}y AS (SELECT x.range AS {attrs[0]}, {index} AS i, (SELECT count(*) FROM enc WHERE {match}) + 5.0 * {laplace_sql(name, '(' + index + ')')} AS y FROM {cells_of})")
+        parts.append(f"{name}0 AS (SELECT i, {attrs[0]}, y, t / {size} AS x FROM {name}y, t)")
+        for k in range(rounds):
+            parts.append(f"{name}m{k} AS (SELECT i, {attrs[0]}, y, x * exp((y - x) / (2 * t)) AS x FROM {name}{k}, t)")
+            parts.append(f"{name}{k + 1} AS (SELECT i, {attrs[0]}, y, x * t / (SELECT sum(x) FROM {name}m{k}) AS x FROM {name}m{k}, t)")
+    return f"WITH {', '.join(parts)} SELECT rf * 8 + qb AS i, round(sum(g{rounds}.x * h{rounds}.x) / any_value(t), 4) AS v FROM g{rounds}, h{rounds}, t GROUP BY rf, qb"
+
+
+@query("factored_weights", _factored_sql(3))
+def factored_weights(spark, sf_dir):
+    """Flags by quantities under independent groups of attributes, each fitted to noisy answers."""
+    df = items(spark, sf_dir)
+    measured = []
+    for q, seed in ((("rf", "ls"), "g"), (("qb",), "h")):
+        known = marginals.zero_filled(marginals.dense(df, ITEMS, [q]), ITEMS, [q])
+        measured.append((q, known.select(F.col("cell").alias("i"), (F.col("cnt") + 5.0 * keyed_laplace(seed, "cell")).alias("v"))))
+    found = cells.FactoredWeights(ITEMS, measured, df.count(), 3)
+    return found.answer(("rf", "qb")).select("i", F.round("v", 4).alias("v"))
+
+
+POWER = 17
+
+
+def _dyadic_sql(price: float) -> str:
+    """Costs and best costs level by level from the cells up, then what is a bucket from the top down."""
+    parts = [
+        f"h AS (SELECT least({(1 << POWER) - 1}, CAST(floor(l_extendedprice) AS BIGINT)) AS i, count(*) AS c FROM lineitem GROUP BY ALL)",
+        f"x AS MATERIALIZED (SELECT range AS i, coalesce(c, 0)::DOUBLE AS v FROM range({1 << POWER}) LEFT JOIN h ON range = i)",
+        f"b0 AS MATERIALIZED (SELECT i AS node, TRUE AS alone, {price}::DOUBLE AS best FROM x)",
+    ]
+    for k in range(1, POWER + 1):
+        parts.append(f"c{k} AS (SELECT i >> {k} AS node, sum(abs(v - m)) AS cost FROM x JOIN (SELECT i >> {k} AS p, avg(v) AS m FROM x GROUP BY ALL) ON p = i >> {k} GROUP BY ALL)")
+        parts.append(f"b{k} AS MATERIALIZED (SELECT node, cost + {price} <= halves AS alone, least(cost + {price}, halves) AS best FROM c{k} JOIN (SELECT node >> 1 AS node, sum(best) AS halves FROM b{k - 1} GROUP BY ALL) USING (node))")
+    parts.append(f"o{POWER} AS (SELECT node, alone FROM b{POWER})")
+    for k in reversed(range(POWER)):
+        parts.append(f"o{k} AS MATERIALIZED (SELECT b.node, b.alone FROM b{k} b JOIN o{k + 1} o ON b.node >> 1 = o.node AND NOT o.alone)")
+    last = " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS level, node FROM o{k} WHERE alone" for k in range(POWER + 1))
+    return f"WITH {', '.join(parts)} {last}"
+
+
+@query("dyadic_partition", _dyadic_sql(3.0))
+def dyadic_partition(spark, sf_dir):
+    """The dyadic buckets of prices of the least cost, without noise."""
+    place = F.least(F.lit((1 << POWER) - 1), F.floor(F.col("l_extendedprice")))
+    x = implicit.vector(table(spark, sf_dir, "lineitem").groupBy(place.alias("i")).agg(F.count("*").alias("v")), 1 << POWER)
+    return dyadic.dyadic_partition(x, 1 << POWER, 3.0)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.operators import marginals, workload
-from marginalia.plans import adaptive, mechanisms, pgm
+from marginalia.plans import adaptive, mechanisms, pgm, regions
 from marginalia.queries import ITEMS, ITEMS_SQL, cell_sql, items, query
 
 CHAIN = list(zip(ITEMS.attrs, ITEMS.attrs[1:]))  # each attribute with the next
@@ -129,3 +129,29 @@ def adaptive_grid_rows(spark, sf_dir):
         own = rows.select(F.lit(marginals.name(q)).alias("query_id"), "part", "cell", F.round("v", 6).alias("v"))
         out = own if out is None else out.unionByName(own)
     return out
+
+
+STEPS = list(zip(FEW, FEW[1:]))
+
+
+def _regions_sql() -> str:
+    """Brute force over all cells of the attributes: products of one more than the pairs' counts."""
+    parts = [f"s_{a}_{b} AS (SELECT x.range AS {a}, y.range AS {b}, count(enc.l_orderkey)::DOUBLE + 1 AS c FROM range({ITEMS[a]}) x CROSS JOIN range({ITEMS[b]}) y LEFT JOIN enc ON enc.{a} = x.range AND enc.{b} = y.range GROUP BY ALL)" for a, b in STEPS]
+    tables = f"s_{STEPS[0][0]}_{STEPS[0][1]} " + " ".join(f"JOIN s_{a}_{b} USING ({a})" for a, b in STEPS[1:])
+    weight = " * ".join(f"s_{a}_{b}.c" for a, b in STEPS)
+    parts.append(f"w AS (SELECT {', '.join(FEW)}, {weight} AS w FROM {tables})")
+    parts.append("z AS (SELECT sum(w) AS z FROM w)")
+    each = " UNION ALL ".join(f"SELECT '{a},{b}' AS query_id, {cell_sql((a, b))} AS cell, round(1000 * sum(w) / any_value(z), 5) AS v FROM w, z GROUP BY {a}, {b}" for a, b in STEPS)
+    return f"WITH {ITEMS_SQL}, {', '.join(parts)} {each}"
+
+
+@query("region_propagation", _regions_sql())
+def region_propagation(spark, sf_dir):
+    """Marginals, per thousand, of a chain whose potentials are logarithms of pair counts, by joins over regions."""
+    graph = regions.RegionGraph.junction(ITEMS.project(FEW), STEPS)
+    number = {q: k for k, q in enumerate(graph.regions)}
+    known = marginals.zero_filled(marginals.dense(items(spark, sf_dir), ITEMS, STEPS), ITEMS, STEPS)
+    names = spark.createDataFrame([(marginals.name(q), number[q]) for q in STEPS], "query_id string, region int")
+    tables = known.join(F.broadcast(names), "query_id").select("region", "cell", F.log(F.col("cnt") + 1.0).alias("theta"))  # a name a pair
+    found = regions.propagate(graph, tables, 1000.0, rounds=10)
+    return found.join(F.broadcast(names), "region").select("query_id", "cell", F.round("v", 5).alias("v"))

@@ -13,7 +13,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.operators.implicit import Operator, Stack, Weighted, ones
+from marginalia.domain import Domain
+from marginalia.functions.cells import cell, coordinates
+from marginalia.operators.implicit import Identity, Kronecker, Operator, Stack, Total, Weighted, ones
 from marginalia.storage import written
 
 #: An operator, its answers (i, v), and the deviation of their noise.
@@ -114,3 +116,54 @@ def multiplicative_weights(parts: Sequence[tuple[Operator, DataFrame]], x: DataF
         moved = written(x.join(push, "i").select("i", (F.col("v") * F.exp(F.col("u") / (2 * total))).alias("v")), "weights")
         x = moved.withColumn("v", F.col("v") * (total / _total(moved, F.col("v"))))
     return x
+
+
+class FactoredWeights:
+    """Multiplicative weights over a domain too large to list: attributes that no measured query connects are
+    independent, so every group of connected ones has a table of its own. ``measured`` has a query and its answers (i, v),
+    cells in the order of the query's attributes."""
+
+    def __init__(self, domain: Domain, measured: Sequence[tuple[Sequence[str], DataFrame]], total: float, rounds: int = 50):
+        self.domain, self.total = domain, float(total)
+        groups: list[set[str]] = []
+        for query, _ in measured:
+            touched = [g for g in groups if g & set(query)]
+            groups = [g for g in groups if g not in touched] + [set(query).union(*touched)]
+        self.groups = [domain.canonical(g) for g in groups]
+        self.tables = {}
+        for g in self.groups:
+            parts = [(self.marginal(g, q), self._ordered(q, y)) for q, y in measured if set(q) <= set(g)]
+            size = domain.size(g)
+            even = ones(parts[0][1].sparkSession, size).withColumn("v", F.lit(self.total / size))
+            self.tables[g] = multiplicative_weights(parts, even, rounds)
+
+    def marginal(self, group: Sequence[str], query: Sequence[str]) -> Operator:
+        """The marginal on the attributes of ``query``, in the group's order, as an operator on the group's cells."""
+        return Kronecker([Identity(self.domain[a]) if a in query else Total(self.domain[a]) for a in group])
+
+    def _ordered(self, query: Sequence[str], y: DataFrame) -> DataFrame:
+        """Answers with cells in the domain's order of attributes."""
+        own = self.domain.canonical(query)
+        at = y.select("v", *coordinates("i", list(query), self.domain.project(query).shape))
+        return at.select(cell(own, self.domain.project(own).shape).alias("i"), "v")
+
+    def answer(self, query: Sequence[str]) -> DataFrame:
+        """(i, v): the marginal on any attributes, as the product of those of the groups; attributes without a group
+        are even."""
+        query = tuple(query)
+        spark = next(iter(self.tables.values())).sparkSession
+        parts = []
+        for g in self.groups:
+            if own := tuple(a for a in g if a in query):
+                found = self.marginal(g, own).apply(self.tables[g])
+                parts.append(found.select(*coordinates("i", list(own), self.domain.project(own).shape), F.col("v").alias(f"_v{len(parts)}")))
+        for a in query:
+            if not any(a in g for g in self.groups):
+                parts.append(spark.range(self.domain[a]).select(F.col("id").cast("int").alias(a), F.lit(self.total / self.domain[a]).alias(f"_v{len(parts)}")))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.crossJoin(p)  # the cells of the query, which is what is asked for
+        value = F.lit(self.total)
+        for k in range(len(parts)):
+            value = value * (F.col(f"_v{k}") / self.total)
+        return out.select(cell(query, self.domain.project(query).shape).alias("i"), value.alias("v"))

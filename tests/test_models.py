@@ -7,7 +7,7 @@ import pytest
 
 from marginalia.domain import Domain
 from marginalia.operators import workload
-from marginalia.plans import adaptive, approximate, pgm
+from marginalia.plans import adaptive, approximate, cells, inference, pgm, regions, strategy
 
 D = Domain.of({"a": 2, "b": 3, "c": 4, "d": 2, "e": 3})
 
@@ -181,3 +181,130 @@ def test_forbidden_cells_get_no_mass(method):
     assert np.isfinite(m.datavector()).all() and m.datavector().sum() == pytest.approx(m.total)
     again = pgm.estimate(D, parts, iterations=50, warm=m, zeros=zeros)
     assert again.project(("b", "d")).values[2, 1] == 0
+
+
+def spread(spark, graph, factors):
+    """Potentials of cliques as a table, each on the first region that has its attributes."""
+    rows = []
+    for q, f in factors.items():
+        r = next(k for k, x in enumerate(graph.regions) if set(q) <= set(x))
+        wide = (f.expand(D.project(graph.regions[r])) + np.zeros(D.project(graph.regions[r]).shape)).ravel()
+        rows += [(r, k, float(v)) for k, v in enumerate(wide)]
+    return spark.createDataFrame(rows, "region int, cell bigint, v double").groupBy("region", "cell").sum("v").withColumnRenamed("sum(v)", "theta")
+
+
+def beliefs(found, graph):
+    out = [np.zeros(D.size(q)) for q in graph.regions]
+    for r in found.collect():
+        out[r.region][r.cell] = r.v
+    return [pgm.Factor(D.project(q), v.reshape(D.project(q).shape)) for q, v in zip(graph.regions, out)]
+
+
+@pytest.mark.parametrize("cliques", [CLIQUES[0], CLIQUES[3]])
+def test_region_propagation_is_exact_on_a_tree(spark, cliques):
+    m = model(cliques, 4)
+    p = pgm.Factor(D, whole(m))
+    graph = regions.RegionGraph.junction(D, cliques)
+    found = beliefs(regions.propagate(graph, spread(spark, graph, m.potentials), m.total, rounds=8), graph)
+    for f in found:
+        np.testing.assert_allclose(f.values, p.project(f.domain.attrs).values, rtol=1e-6)
+
+
+LOOP = [("a", "b"), ("b", "c"), ("a", "c")]
+
+
+def test_region_propagation_on_a_loop(spark):
+    """Counting numbers of spanning trees: regions agree, and marginals are within 20 % of the total of the exact ones, where
+    potentials are of about 0.5."""
+    rng = np.random.default_rng(6)
+    factors = {q: pgm.Factor(D.project(q), rng.normal(size=D.project(q).shape) * 0.5) for q in LOOP}
+    logs = sum(f.expand(D) for f in factors.values()) + np.zeros(D.shape)
+    exact = pgm.Factor(D, np.exp(logs) / np.exp(logs).sum())
+    graph = regions.RegionGraph.lattice(D, LOOP, 2 / 3)
+    assert len(graph.regions) == 6 and len(graph.edges) == 6
+    found = beliefs(regions.propagate(graph, spread(spark, graph, factors), rounds=25, damping=0.3, tolerance=1e-4), graph)
+    assert graph.counting == pytest.approx([2 / 3] * 3 + [-1 / 3] * 3)
+    for p, r in graph.edges:
+        np.testing.assert_allclose(found[p].project(found[r].domain.attrs).values, found[r].values, atol=2e-3)
+    for f in found:
+        assert np.abs(f.values - exact.project(f.domain.attrs).values).sum() < 0.2
+
+
+def test_region_graphs():
+    graph = regions.RegionGraph.bethe(D, [("a", "b"), ("b", "c")])
+    assert graph.counting == [1, 1, 0, -1, 0] and len(graph.edges) == 4
+    deep = regions.RegionGraph.lattice(D, [("a", "b", "c"), ("b", "c", "d"), ("b", "e")])
+    assert set(deep.regions) == {("a", "b", "c"), ("b", "c", "d"), ("b", "e"), ("b", "c"), ("b",)}
+    assert {(deep.regions[p], deep.regions[r]) for p, r in deep.edges} == {(("a", "b", "c"), ("b", "c")), (("b", "c", "d"), ("b", "c")), (("b", "c"), ("b",)), (("b", "e"), ("b",))}
+    with pytest.raises(ValueError):
+        regions.propagate(regions.RegionGraph(D, [("a", "b"), ("a",)], [(0, 1)], [-1.0, 1.0]), _nothing())
+
+
+def _nothing():
+    class Table:
+        sparkSession = None
+
+    return Table()
+
+
+def test_errors_of_strategies_equal_those_of_matrices():
+    work = {("a", "b"): 1.0, ("b", "c"): 2.0, ("c",): 1.0}
+    small = Domain.of({"a": 3, "b": 4, "c": 2})
+    measured = [q for k in range(4) for q in combinations(small.attrs, k)]
+    key = lambda q: sum(1 << k for k, a in enumerate(small.attrs) if a in q)
+    error = strategy.Error(small, work, measured)
+    rng = np.random.default_rng(0)
+    asked = np.zeros(8)
+    for q, w in work.items():
+        asked[key(q)] = w
+    for _ in range(5):
+        u, weights = rng.random(8), np.zeros(8)
+        for q, x in zip(measured, u):
+            weights[key(q)] = np.sqrt(x)
+        a, w = inference.marginal_gram(small.shape, weights), inference.marginal_gram(small.shape, asked)
+        assert error(u) == pytest.approx(u.sum() * np.trace(np.linalg.pinv(a) @ w))
+
+
+def test_best_strategy():
+    error = strategy.Error(D, dict.fromkeys(workload.k_way(D.attrs, 2), 1.0), workload.closure(workload.k_way(D.attrs, 3)))
+    best = error.best()
+    assert best.sum() == pytest.approx(1) and best.min() >= 0
+    rng = np.random.default_rng(1)
+    others = [error(rng.dirichlet(np.full(len(best), 0.3))) for _ in range(500)]
+    even = [error(np.array([float(len(q) == k) for q in error.measured])) for k in (2, 3)]
+    assert error(best) <= min(*others, *even) * (1 + 1e-9)
+    identity = strategy.Error(D, dict.fromkeys(workload.k_way(D.attrs, 2), 1.0), [D.attrs])
+    assert error(best) < identity(np.ones(1))
+    near = best * np.exp(rng.normal(0, 1e-3, len(best)))
+    assert error(near) >= error(best) * (1 - 1e-9)
+    with pytest.raises(ValueError):
+        strategy.Error(D, {("a", "b"): 1.0}, [("a",), ("b",)])
+
+
+def test_optimised_mechanism(spark):
+    x = np.random.default_rng(2).integers(0, 3, 3000)
+    df = spark.createDataFrame([(int(v), int(v + k % 2), int(v > 0)) for k, v in enumerate(x)], "x int, y int, z int")
+    found = strategy.optimised(df, SMALL, [("x", "y"), ("y", "z")], 5.0, 1e-6, seed=1, iterations=300)
+    assert found.ledger.spent <= found.ledger.rho * (1 + 1e-9) and ("x", "y") in found.chosen
+    truth = np.zeros((3, 4))
+    np.add.at(truth, (x, x + np.arange(3000) % 2), 1)
+    assert np.abs(found.model.project(("x", "y")).values - truth).sum() < 150
+
+
+def test_factored_weights(spark):
+    """One group: plain multiplicative weights; two: the product; an attribute that nothing measures: even."""
+    rng = np.random.default_rng(3)
+    small = Domain.of({"x": 2, "y": 3, "z": 2, "w": 2})
+    table = lambda v: spark.createDataFrame([(k, float(n)) for k, n in enumerate(v)], "i long, v double")
+    ab, bz = rng.integers(5, 30, 6).astype(float), rng.integers(5, 30, 6).astype(float)
+    measured = [(("y", "x"), table(ab)), (("y", "z"), table(bz))]
+    found = cells.FactoredWeights(small, measured, 100.0, 2)
+    assert found.groups == [("x", "y", "z")]
+    p = np.full((2, 3, 2), 100 / 12)
+    for _ in range(2):
+        lack_ab, lack_bz = ab.reshape(3, 2) - p.sum(axis=2).T, bz.reshape(3, 2) - p.sum(axis=0)
+        p = p * np.exp((lack_ab.T[:, :, None] + lack_bz[None]) / 200)
+        p *= 100 / p.sum()
+    got = {r.i: r.v for r in found.answer(("z", "x", "w")).collect()}
+    want = np.einsum("xyz,w->zxw", p, np.full(2, 0.5)).ravel()
+    np.testing.assert_allclose([got[k] for k in range(8)], want, rtol=1e-9)
