@@ -3,8 +3,8 @@
 Every word of a language has a place in an order from frequent to rare, and an n-gram is owned by its rarest
 word, its pivot (the leftmost, if that word repeats). Each occurrence of a word sends the stretch around it,
 up to the next rarer word on each side and cut at words that are too rare for any phrase, to the
-partition of that word; there the n-grams through the occurrence are counted, and no other partition counts
-them. Equal stretches are combined before they are sent. Words so frequent that one task could not hold their
+partition of that word; there the n-grams through the occurrence are counted, from pairs to longer ones, and
+no other partition counts them. Equal stretches are combined before they are sent. Words so frequent that one task could not hold their
 partition have it dealt by stretch, and the parts are summed.
 
 The order comes from an array of CELLS bytes that every task has: the size of the largest count among the
@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -132,9 +133,9 @@ class _Places(dict):
 _NOWHERE = 1 << 62
 
 
-def stretches(words: list[bytes], places: np.ndarray, start: int, stop: int, longest: int) -> Iterator[tuple[bytes, int, bytes]]:
-    """(pivot, words before it, stretch) of each word from ``start`` to ``stop`` that has a word beside it
-    which is no rarer; before it stand words that are more frequent, after it such words or itself."""
+def stretches(words: list[bytes], places: np.ndarray, start: int, stop: int, longest: int) -> Iterator[bytes]:
+    """The stretch of each word from ``start`` to ``stop`` that has a word beside it which is no rarer, after a byte
+    that says how many words stand before it; those are more frequent, what is after it too, or the word itself."""
     n, wide = len(places), longest - 1
     padded = np.full(n + 2 * wide, _NOWHERE, dtype=np.int64)
     padded[wide : wide + n] = places
@@ -146,19 +147,18 @@ def stretches(words: list[bytes], places: np.ndarray, start: int, stop: int, lon
         left += go_left
         right += go_right
     at = start + np.flatnonzero((left + right)[start:stop])
-    join = b" ".join
-    for i, a, b in zip(at.tolist(), left[at].tolist(), right[at].tolist()):
-        yield words[i], a, join(words[i - a : i + b + 1])
+    before, join = [bytes([k]) for k in range(longest)], b" ".join
+    return (before[a] + join(words[i:e]) for a, i, e in zip(left[at].tolist(), (at - left[at]).tolist(), (at + right[at] + 1).tolist()))
 
 
 def routed(texts: DataFrame, cells: Broadcast, longest: int, flush: int = _FLUSH, block: int = _WORDS) -> DataFrame:
-    """(lang, pivot, before, stretch, c): what occurrences send, combined in each task."""
-    names = ["lang", "pivot", "before", "stretch", "c"]
+    """(lang, pivot, stretch, c): what occurrences send (see stretches), combined in each task."""
+    names = ["lang", "pivot", "stretch", "c"]
 
     def rows(seen: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
         for lang, own in seen.items():
-            pivots, before, found = zip(*own) if own else ((), (), ())
-            columns = [pa.array([lang] * len(own), pa.string()), pa.array(pivots, pa.string()), pa.array(before, pa.int32()), pa.array(found, pa.string()), pa.array(list(own.values()), pa.int64())]
+            pivots = [x[1:].split(b" ", x[0] + 1)[x[0]] for x in own]
+            columns = [pa.array([lang] * len(own), pa.string()), pa.array(pivots, pa.binary()), pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,23 +191,92 @@ def routed(texts: DataFrame, cells: Broadcast, longest: int, flush: int = _FLUSH
                 seen = {}
         yield from rows(seen)
 
-    return texts.mapInArrow(run, "lang string, pivot string, before int, stretch string, c bigint")
+    return texts.mapInArrow(run, "lang string, pivot binary, stretch binary, c bigint")
+
+
+def owned(pivot: bytes, sent: list[bytes], times: list[int], least: int, longest: int) -> dict[bytes, int]:
+    """The n-grams of one pivot that occur ``least`` times in the stretches that were sent to it. Those of two words
+    come first: whatever is longer holds one of them, and is counted only where that one is kept."""
+    split = [x[1:].split(b" ") for x in sent]
+    left: dict[bytes, int] = {}
+    right: dict[bytes, int] = {}
+    for x, words, c in zip(sent, split, times):
+        at = x[0]
+        if at:
+            w = words[at - 1]
+            left[w] = left.get(w, 0) + c
+        if at + 1 < len(words):
+            w = words[at + 1]
+            right[w] = right.get(w, 0) + c
+    left, right = ({w: c for w, c in side.items() if c >= least} for side in (left, right))
+    out = {w + b" " + pivot: c for w, c in left.items()} | {pivot + b" " + w: c for w, c in right.items()}
+    longer: dict[bytes, int] = {}
+    join = b" ".join
+    for x, words, c in zip(sent, split, times):
+        if len(words) == 2:
+            continue
+        at = x[0]
+        before = at if at and words[at - 1] in left else 0
+        after = len(words) - at - 1
+        if after and words[at + 1] not in right:
+            after = 0
+        if before + after > 1:
+            for i in range(before + 1):
+                for j in range(max(0, 2 - i), min(after, longest - 1 - i) + 1):
+                    p = join(words[at - i : at + j + 1])
+                    longer[p] = longer.get(p, 0) + c
+    out.update((p, c) for p, c in longer.items() if c >= least)
+    return out
 
 
 def mined(sent: DataFrame, words: DataFrame, least: int, longest: int, tasks: int) -> DataFrame:
-    """(lang, phrase, hot, a): what partitions count. ``words`` has (lang, word, c): one with more than a task's
-    share of all words is hot, and dealt by stretch; its phrases have a count in each part."""
+    """(lang, phrase, hot, a): what partitions count. ``words`` has (lang, word, c): one with more than an eighth of a
+    task's share of all words is hot, and dealt by stretch; its phrases have a count in each part, however small."""
     every = words.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    hot = words.where(F.col("c") * tasks > every).select("lang", F.col("word").alias("pivot"), F.lit(True).alias("hot"))  # fewer than ``tasks`` rows
-    share = F.when(F.col("hot"), F.pmod(F.xxhash64("stretch"), F.lit(tasks))).otherwise(F.lit(0))
-    dealt = sent.join(F.broadcast(hot), ["lang", "pivot"], "left").withColumn("part", share.cast("int"))
-    cuts = [F.struct(F.lit(k).alias("l"), F.lit(size - 1 - k).alias("r")) for size in range(2, longest + 1) for k in range(size)]
-    split = dealt.repartition(tasks, "lang", "pivot", "part").withColumn("words", F.split("stretch", " ", -1))
-    through = split.withColumn("cut", F.explode(F.array(*cuts))).where((F.col("cut.l") <= F.col("before")) & (F.col("cut.r") < F.size("words") - F.col("before")))
-    phrase = F.array_join(F.slice("words", F.col("before") + 1 - F.col("cut.l"), F.col("cut.l") + F.col("cut.r") + 1), " ")
-    # the rows of a key are in one task already, so this is counted where they are
-    counted = through.select("lang", "pivot", "part", F.coalesce("hot", F.lit(False)).alias("hot"), phrase.alias("phrase"), "c").groupBy("lang", "pivot", "part", "hot", "phrase").agg(F.sum("c").alias("a"))
-    return counted.where(F.col("hot") | (F.col("a") >= least)).select("lang", "phrase", "hot", "a")
+    hot = words.where(F.col("c") * 8 * tasks > every).select("lang", F.col("word").cast("binary").alias("pivot"), F.lit(True).alias("hot"))  # fewer than 8 rows a task
+    share = F.when(F.col("hot"), F.pmod(F.xxhash64("stretch"), F.lit(tasks))).otherwise(F.lit(-1))
+    dealt = sent.join(F.broadcast(hot), ["lang", "pivot"], "left").select("lang", "pivot", share.cast("int").alias("part"), "stretch", "c")
+    names = ["lang", "phrase", "hot", "a"]
+    kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, times = None, [], []  # the key that the rows are of so far
+        out: list[tuple] = []
+
+        def mine() -> None:
+            lang, pivot, part = now
+            out.extend((lang, p, part >= 0, a) for p, a in owned(pivot, held, times, least if part < 0 else 1, longest).items())
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, keys = batch.num_rows, [batch.column(k) for k in range(3)]
+            same = np.ones(n - 1, dtype=bool)
+            for c in keys:
+                same &= pc.equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(~same) + 1).tolist(), n]
+            sent_here, times_here = (batch.column(k).to_numpy(zero_copy_only=False).tolist() for k in (3, 4))  # a scalar each would take longer
+            for a, b in zip(edges, edges[1:]):
+                key = tuple(c[a].as_py() for c in keys)
+                if key != now:
+                    if held:
+                        mine()
+                    now, held, times = key, [], []
+                held += sent_here[a:b]
+                times += times_here[a:b]
+            if len(out) > _FLUSH:
+                yield rows()
+                out = []
+        if held:
+            mine()
+        if out:
+            yield rows()
+
+    keys = ["lang", "pivot", "part"]
+    return dealt.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(run, "lang string, phrase string, hot boolean, a bigint")
 
 
 def phrases(found: DataFrame, least: int) -> DataFrame:

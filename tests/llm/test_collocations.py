@@ -88,9 +88,9 @@ def test_every_occurrence_has_one_owner():
         order = {w: rng.choice([k, collocations._NOWHERE, 1]) for k, w in enumerate(set(words))}  # ties and gaps
         places = np.array([order[w] for w in words])
         found = Counter()
-        for pivot, before, stretch in collocations.stretches(words, places, 0, len(words), 4):
-            parts = stretch.split()
-            assert parts[before] == pivot
+        for sent in collocations.stretches(words, places, 0, len(words), 4):
+            before, parts = sent[0], sent[1:].split()
+            assert 1 < len(parts) <= 7 and order[parts[before]] == max(order[w] for w in parts)
             found.update(tuple(parts[a:b]) for a in range(before + 1) for b in range(before + 1, len(parts) + 1) if 2 <= b - a <= 4)
         spans = [tuple(words[a : a + s]) for s in (2, 3, 4) for a in range(len(words) - s + 1)]
         assert found == Counter(p for p in spans if all(order[w] < collocations._NOWHERE for w in p))
@@ -118,7 +118,7 @@ def test_empty_tables(spark):
 
 def test_stretches_are_dealt_once(spark):
     """Their n-grams are counted where they are, without a second shuffle."""
-    sent = spark.createDataFrame([("en", "b", 1, "a b", 2)], "lang string, pivot string, before int, stretch string, c long")
+    sent = spark.createDataFrame([("en", b"b", b"\x01a b", 2)], "lang string, pivot binary, stretch binary, c long")
     words = spark.createDataFrame([("en", "b", 2)], "lang string, word string, c long")
     found = collocations.mined(sent, words, 1, 4, 4)
     plan = found._jdf.queryExecution().executedPlan().toString()
