@@ -29,7 +29,7 @@ from marginalia.llm.common import shared_dir, slices, written
 _ID, _URL, _HTML = "page_id", "url", "html"
 _LEAST_ID = -(1 << 63)  # stands for a null id where ids are compared
 _NO_ID = "null"
-SHARD_BYTES = 256 << 20  # of payload in a shard, about, if the number of shards is not given
+SHARD_BYTES = 128 << 20  # of payload in a shard, about, if the number of shards is not given
 FILE_BYTES = 16 << 20  # compressed, from which a shard goes on in a new file
 _SPACE = uuid.UUID("7e0c0d7c-4f0b-5d54-8d5a-3f0f6f1b6c11")  # record ids are named in this space
 
