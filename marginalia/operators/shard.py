@@ -10,6 +10,7 @@ import re
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,10 +89,6 @@ def sample_skew(df: DataFrame, key: str, clients: int, a: float, seed: int) -> D
     return by_weights(df, key, zipf_weights(clients, a), seed, "client_id")
 
 
-#: Classes whose counts and sizes the driver holds in Dirichlet splits, at most.
-MAX_CLASSES = 100_000
-
-
 def dirichlet_sizes(total: int, shares: Sequence[float]) -> np.ndarray:
     """Whole sizes that sum to ``total``, one a client, from its shares: cut down, at least 1, and what is
     then missing goes to the first smallest, what is too much comes off the largest ones. With fewer rows
@@ -112,28 +109,28 @@ def dirichlet_sizes(total: int, shares: Sequence[float]) -> np.ndarray:
 
 
 def _class_counts(df: DataFrame, label: str) -> list[tuple]:
-    found = df.groupBy(label).count().orderBy(label).limit(MAX_CLASSES + 1).collect()  # bounded by the limit
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"{label} has over {MAX_CLASSES} classes")
-    return [(r[0], r["count"]) for r in found]
+    """(number, rows) of each class in ascending order; the classes themselves stay where they are."""
+    found = df.groupBy(label).agg(F.count("*").alias("n")).orderBy(label).select("n").toArrow()  # a number a class
+    return list(enumerate(found.column("n").to_pylist()))
 
 
 def by_sizes(df: DataFrame, key: str, label: str | None, counts: Sequence[tuple], sizes: Sequence[np.ndarray], seed: int) -> DataFrame:
     """The rows of each class, in a random order, to clients of the given sizes one after the other.
-    ``counts`` has (class, rows) in ascending order, nulls first; without a label all rows are one class."""
-    ends, at = [], 0
-    for (_, count), own in zip(counts, sizes):
-        ends += (at + np.cumsum(own)).tolist()
-        at += count
+    ``counts`` has (class, rows) in ascending order, nulls first; without a label all rows are one class. A row's
+    place among all of them, in the order of classes, says both its class and its client: tasks find it by binary search
+    among the ends of all shares, 8 bytes for each class and client."""
+    clients = len(sizes[0]) if len(sizes) else 1
+    own = np.array(sizes, dtype=np.int64).reshape(-1, clients)
+    starts = np.append(0, np.cumsum([n for _, n in counts], dtype=np.int64))[: len(own)]
+    ends = df.sparkSession.sparkContext.broadcast((starts[:, None] + np.cumsum(own, axis=1)).ravel())
+
+    @F.pandas_udf("int")
+    def client(place: pd.Series) -> pd.Series:
+        return pd.Series((np.searchsorted(ends.value, place.to_numpy(), side="right") % clients).astype(np.int32))
+
     order = [*([F.col(label).asc_nulls_first()] if label else []), F.col("_u"), F.col(key)]
     placed = numbered(df.withColumn("_u", keyed_uniform(seed, key)), order, "_place")
-    # the place among all rows says both the class and the client; ends that repeat are of empty shares
-    clients = len(sizes[0]) if len(sizes) else 1
-    spans = [(a, b, k % clients) for k, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
-    width = max(1, at // 4096)
-    spark = df.sparkSession
-    listed = spark.createDataFrame(spans, "_a bigint, _b bigint, client_id int").withColumn("_k", F.explode(F.sequence(F.expr(f"_a div {width}"), F.expr(f"(_b - 1) div {width}"))))
-    return placed.withColumn("_k", F.expr(f"_place div {width}")).join(listed, "_k").where((F.col("_place") >= F.col("_a")) & (F.col("_place") < F.col("_b"))).select(*df.columns, "client_id")
+    return placed.withColumn("client_id", client("_place")).select(*df.columns, "client_id")
 
 
 def label_skew(df: DataFrame, key: str, label: str, clients: int, beta: float, seed: int) -> DataFrame:

@@ -17,20 +17,23 @@ from marginalia.sources.tabular import read_text
 
 
 def cached(spark: SparkSession, folder: str, settings: dict, make: Callable[[], DataFrame], by: Sequence[str] = ()) -> DataFrame:
-    """The table that ``make`` gives, written once for each ``settings`` and read from then on. It is
-    written under a name of its own and renamed when whole, so a job that fails leaves no half of it."""
+    """The table that ``make`` gives, written once for each ``settings`` and read from then on. It is written to a
+    folder of its own, and counts from when an empty file names that folder, so half a table is never read, and
+    no store has to rename anything. Of jobs that write at once all are whole, and all read the one whose name comes first."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    of = jvm.org.apache.hadoop.fs.Path
     name = hashlib.sha256(json.dumps(settings, sort_keys=True, default=str).encode()).hexdigest()
-    path = f"{folder.rstrip('/')}/{name}"
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    store = target.getFileSystem(conf)
-    if not store.exists(target):
-        made = f"{folder.rstrip('/')}/_{name}-{uuid.uuid4().hex}"
-        make().write.partitionBy(*by).parquet(made)
-        source = jvm.org.apache.hadoop.fs.Path(made)
-        if store.exists(target) or not store.rename(source, target):  # another job was first
-            store.delete(source, True)
-    return spark.read.parquet(path)
+    root = folder.rstrip("/")
+    store = of(root).getFileSystem(conf)
+
+    def made() -> list[str]:
+        return sorted(s.getPath().getName().split("@")[1] for s in store.globStatus(of(f"{root}/_made-{name}@*")) or ())
+
+    if not made():
+        own = uuid.uuid4().hex
+        make().write.partitionBy(*by).parquet(f"{root}/{name}-{own}")
+        store.create(of(f"{root}/_made-{name}@{own}"), False).close()
+    return spark.read.parquet(f"{root}/{name}-{made()[0]}")
 
 
 def save_model(spark: SparkSession, model: GraphicalModel, path: str) -> None:

@@ -105,3 +105,29 @@ def test_no_jobs_pend_for_ever(spark):
 def test_best_metric_ties_and_nulls(spark):
     df = spark.createDataFrame([("x", 1, 2.0), ("x", 2, 2.0), ("x", 3, None), ("y", 4, None)], "g string, t int, m double")
     assert [tuple(r) for r in evaluate.best_metric(df, "g", "m", "t").collect()] == [("x", 1, 2.0)]
+
+
+def test_half_a_cache_is_not_read(spark, tmp_path):
+    """What a lost job left does not count, nor does a second writer's table replace the first."""
+    from marginalia.sources import sinks
+
+    settings, calls = {"seed": 1}, []
+
+    def make():
+        calls.append(1)
+        return spark.range(5)
+
+    assert sinks.cached(spark, str(tmp_path), settings, make).count() == 5
+    marker = next(p for p in tmp_path.iterdir() if p.name.startswith("_made-"))
+    (tmp_path / marker.name.replace("_made-", "").replace("@", "-")).rename(tmp_path / "elsewhere")
+    marker.unlink()  # as if the job had been lost before it was done
+    assert sinks.cached(spark, str(tmp_path), settings, make).count() == 5 and len(calls) == 2
+    assert sinks.cached(spark, str(tmp_path), settings, make).count() == 5 and len(calls) == 2
+
+
+def test_splits_of_many_classes(spark):
+    from marginalia.operators import shard
+
+    frame = spark.range(400_000).selectExpr("id", "CAST(id % 200000 AS STRING) AS label")
+    found = shard.label_skew(frame, "id", "label", 3, 0.5, 1).groupBy("client_id").count().collect()
+    assert sum(r["count"] for r in found) == 400_000 and {r.client_id for r in found} == {0, 1}  # two rows a class
