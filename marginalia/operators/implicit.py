@@ -259,7 +259,8 @@ class Weighted(Operator):
         return self._scaled(self.base.adjoint(y, by), by)
 
     def absolute(self):
-        return Weighted(self.base.absolute(), abs(self.weight))
+        base = self.base.absolute()
+        return self if base is self.base and self.weight >= 0 else Weighted(base, abs(self.weight))
 
 
 class Stack(Operator):
@@ -288,7 +289,8 @@ class Stack(Operator):
         return out if len(self.parts) == 1 else out.groupBy(*by, "i").agg(F.sum("v").alias("v"))
 
     def absolute(self):
-        return Stack([p.absolute() for p in self.parts])
+        parts = [p.absolute() for p in self.parts]
+        return self if all(a is p for a, p in zip(parts, self.parts)) else Stack(parts)
 
 
 class Sum(Operator):
@@ -390,7 +392,8 @@ class Kronecker(Operator):
         return self._times(y, by, False)
 
     def absolute(self):
-        return Kronecker([p.absolute() for p in self.parts])
+        parts = [p.absolute() for p in self.parts]
+        return self if all(a is p for a, p in zip(parts, self.parts)) else Kronecker(parts)
 
 
 def box_tree(shape: Sequence[int], branching: int = 2, root: bool = True, leaves: bool = True) -> Stack:

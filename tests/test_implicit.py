@@ -81,6 +81,12 @@ def test_cancelling_entries_are_refused(spark):
         implicit.Stack([implicit.Total(3), implicit.Total(4)])
 
 
+def test_entries_that_are_their_own_absolutes():
+    own = implicit.Kronecker([implicit.Stack([implicit.Prefix(4), implicit.Weighted(implicit.Total(4), 0.5)]), implicit.Tree(3)])
+    assert own.absolute() is own and implicit.Product(implicit.Total(own.rows), own).absolute().left.columns == own.rows
+    assert implicit.Weighted(implicit.Total(4), -1).absolute().weight == 1
+
+
 def test_running_sums_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(implicit, "STRIDE", 4)
     x = np.arange(50.0)
